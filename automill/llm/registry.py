@@ -1,6 +1,6 @@
 """All queries of this subpackage and the SQL of those that SQL can express."""
 
-from automill.llm import queries_native, queries_near
+from automill.llm import queries_models, queries_native, queries_near, queries_web
 
-QUERIES = {**queries_native.QUERIES, **queries_near.QUERIES}
-ORACLES = {**queries_native.ORACLES}
+QUERIES = {**queries_native.QUERIES, **queries_models.QUERIES, **queries_near.QUERIES, **queries_web.QUERIES}
+ORACLES = {**queries_native.ORACLES, **queries_models.ORACLES, **queries_web.ORACLES}
