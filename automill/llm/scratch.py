@@ -28,7 +28,7 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return what a reader gets back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/automill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # snappy's buffers are off the heap and outlive the task
     _live.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._automill_path = path
