@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,8 @@ BANDS, ROWS = 36, 5
 UNIVERSE = 1 << 20
 #: Share of equal coordinates under which a pair isn't confirmed: five standard deviations below 0.75.
 LEAST_AGREEMENT = 0.58
+#: Parts of the hash range in which common shingles are bounded one by one.
+PARTS = 32
 #: Followers of a pivot that are compared in one group.
 GROUP = 2000
 SEED = 20_24
@@ -183,7 +185,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     linked = links.select(F.col("b").alias("id"), F.col("a").alias("root"))
     roots = links.select(F.col("a").alias("id")).distinct().join(linked.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left_anti")
     trees = settle(linked.unionByName(roots.select("id", F.col("id").alias("root"))))
-    across = keep(_across(members, trees, classes), "near-across")
+    across = keep(_across(members, trees, classes, texts), "near-across")
     more = confirmed(across, texts)
     roots_of = lambda c: trees.select(F.col("id").alias(f"{c}_id"), F.col("root").alias(f"{c}_root"))
     more = more.join(roots_of("a"), F.col("a") == F.col("a_id"), "left").join(roots_of("b"), F.col("b") == F.col("b_id"), "left")
@@ -206,7 +208,26 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def _across(members: DataFrame, trees: DataFrame, classes: DataFrame) -> DataFrame:
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = list(kernels.shingle_sets(batch.column(1), SHINGLE))
+        ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(s) for s in sets])
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(flat.view(np.int64))], ["id", "s"])
+
+
+def _shared_shingles(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """i and c0, c1, ...: how many of its shingles that another of the ids also has fall into each part of the hash range."""
+    held = texts.join(ids, texts["id"] == ids["i"], "left_semi").select("id", "text").mapInArrow(_exploded, "id long, s long")
+    by_part = [F.count(F.when(F.pmod("s", F.lit(PARTS)) == k, 1)) for k in range(PARTS)]
+    every = held.groupBy(F.col("id").alias("i")).agg(*[c.alias(f"n{k}") for k, c in enumerate(by_part)])
+    own = held.groupBy("s").agg(F.min("id").alias("o"), F.max("id").alias("last")).where("o = last")
+    own = own.groupBy("o").agg(*[c.alias(f"o{k}") for k, c in enumerate(by_part)])
+    left = [(F.col(f"n{k}") - F.coalesce(f"o{k}", F.lit(0))).alias(f"c{k}") for k in range(PARTS)]
+    return every.join(own, every["i"] == own["o"], "left").select("i", *left)
+
+
+def _across(members: DataFrame, trees: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of different components that share a bucket."""
     tree_of = trees.select(F.col("id").alias("t"), F.col("root").alias("tree"))
     placed = members.join(tree_of, members["id"] == tree_of["t"], "left")
@@ -216,9 +237,13 @@ def _across(members: DataFrame, trees: DataFrame, classes: DataFrame) -> DataFra
     main = main.where("k > 1").select(F.col("band").alias("band_"), F.xxhash64("band").alias("key_"), (-F.col("x.m")).alias("main"))
     mixed = placed.join(main, (F.xxhash64("band") == F.col("key_")) & (F.col("band") == F.col("band_")))
     mixed = keep(mixed.select("band", "id", "n", "tree", "main"), "near-mixed")
-    few = mixed.where("tree <> main").select(F.col("band").alias("band_"), *[F.col(c).alias(f"{c}_") for c in ("id", "n", "tree")])
+    shared = _shared_shingles(texts, mixed.select(F.col("id").alias("i")).distinct())
+    mixed = keep(mixed.join(shared, mixed["id"] == shared["i"]).drop("i"), "near-mixed")
+    few = mixed.where("tree <> main")
+    few = few.select(*[F.col(c).alias(f"{c}_") for c in few.columns if c != "main"])
     near = (F.col("band") == F.col("band_")) & (F.col("tree") != F.col("tree_"))
-    near &= (100 * F.least("n", "n_") >= LEAST * F.greatest("n", "n_")) & ((F.col("tree") == F.col("main")) | (F.col("id") < F.col("id_")))
+    most = reduce(lambda x, k: x + F.least(f"c{k}", f"c{k}_"), range(1, PARTS), F.least("c0", "c0_"))
+    near &= (100 * most >= LEAST * (F.col("n") + F.col("n_") - most)) & ((F.col("tree") == F.col("main")) | (F.col("id") < F.col("id_")))
     pairs = mixed.join(few, near).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
     sign = lambda c: classes.select(F.col("id").alias(f"{c}_id"), F.col("sign").alias(f"{c}_sign"))
     pairs = pairs.join(sign("a"), F.col("a") == F.col("a_id")).join(sign("b"), F.col("b") == F.col("b_id"))
