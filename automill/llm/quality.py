@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from automill.llm import kernels
 
 #: Labelled texts at most, about; latent dimensions; neighbours; power of the similarity.
-SAMPLE, RANK, NEIGHBOURS, SHARP = 6000, 64, 15, 4
+SAMPLE, RANK, NEIGHBOURS, SHARP = 3000, 64, 15, 4
 #: Hashed features: trigrams and shapes.
 GRAMS, SHAPES = 2048, 1024
 SHAPE_WEIGHT = 2.0
@@ -79,15 +79,24 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def fit(texts: list[str | None], labels: np.ndarray) -> dict:
-    """Mean features, projection, and the labelled texts' latent unit vectors with their labels."""
-    rows = [features(data, offsets) for _, data, offsets in kernels.slices(pa.array(texts, pa.string()), 1_000_000)]
-    x = np.concatenate(rows) if rows else np.zeros((0, GRAMS + SHAPES), np.float32)
+def fit(texts: pa.Array, labels: np.ndarray) -> dict:
+    """Mean features, projection, and the labelled texts' latent unit vectors with their labels.
+
+    The leading directions come from a randomised decomposition with a fixed seed, so no square matrix
+    of the features is made.
+    """
+    x = np.zeros((len(texts), GRAMS + SHAPES), np.float32)
+    for i, data, offsets in kernels.slices(texts, 500_000):
+        x[i : i + len(offsets) - 1] = features(data, offsets)
     mean = x.mean(axis=0) if len(x) else np.zeros(GRAMS + SHAPES, np.float32)
-    centred = (x - mean).astype(np.float64)
-    values, vectors = np.linalg.eigh(centred.T @ centred)
-    project = vectors[:, np.argsort(-values)[:RANK]].astype(np.float32)
-    return {"mean": mean, "project": project, "vectors": _unit((x - mean) @ project), "labels": labels.astype(np.float32)}
+    x -= mean
+    basis = np.random.default_rng(7).standard_normal((x.shape[1], RANK + 16), dtype=np.float32)
+    for _ in range(4):
+        basis, _ = np.linalg.qr(x.T @ (x @ basis))
+    small = x @ basis
+    _, vectors = np.linalg.eigh(small.T @ small)
+    project = np.ascontiguousarray((basis @ vectors[:, ::-1][:, :RANK]).astype(np.float32))
+    return {"mean": mean, "project": project, "vectors": _unit(x @ project), "labels": labels.astype(np.float32)}
 
 
 def score(model: dict, rows: np.ndarray) -> np.ndarray:
@@ -117,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = drawn.select(F.col(id_col).alias("__label_id"), "y")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), F.col("id") == F.col("__label_id"))
     got = rows.select("id", "text", "y").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
-    return fit(got["text"].to_pylist(), got["y"].to_numpy())
+    return fit(got["text"].combine_chunks(), got["y"].to_numpy())
 
 
 def classify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
