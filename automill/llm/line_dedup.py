@@ -2,12 +2,13 @@
 
 A *line* is a piece of text up to a newline or to the space after a sentence's end, so a passage that
 was pasted behind other text on one line is found too. A *window* is the shortest run of lines, from a
-given line onwards or backwards, that has ``min_words`` words. Which line of a window has the least
-hash depends on the window's content alone, so two texts that share a run of ``min_words`` words share
-a window and its minimum: the minima are guaranteed fingerprints. Fingerprints that occur once rule
-their windows out. The windows of the others are compared by content; each one that has an earlier
-occurrence, by id and position, is a later repeat. Forward and backward windows together reach both
-ends of every repeated run, which is how a match extends both ways. The lines of later repeats go.
+given line onwards or backwards, that has ``min_words`` words. Line hashes order longer lines first.
+Which line of a window is least depends on the window's content alone, so two texts that share a run
+of ``min_words`` words share a forward window and its minimum: the minima are guaranteed fingerprints.
+Fingerprints that occur once rule their windows out, and the backward windows that start with those.
+The other windows are compared by content; each one that has an earlier occurrence, by id and position,
+is a later repeat. Forward and backward windows together reach both ends of every repeated run, which
+is how a match extends both ways. The lines of later repeats go.
 
 Very long texts are cut into blocks of ``BLOCK`` lines with overlapping margins, so the work on one row
 is bounded. No pairs of documents are made: an occurrence is compared with the first one only.
@@ -34,78 +35,114 @@ BLOCK = 512
 CUT = r"(?<=\n|[.!?] )"
 
 
-def lines_of(text: Column) -> Column:
-    """The pieces of a text; joined, they are the text."""
-    return F.split(text, CUT, -1)
+#: Stands for a cut while the cuts are made by plain replacement, several times as fast as the pattern.
+_MARK = "\x1e"
 
 
-def _words(piece: Column) -> Column:
-    return F.when(piece == "", 0).otherwise(F.length(piece) - F.length(F.replace(piece, F.lit(" "))) + 1).cast("int")
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def lines_of(text: Column, bare: bool = False) -> Column:
+    """The pieces of a text; joined, they are the text. bare: without the white space at which they were cut."""
+    marked = text
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit((end[:-1] if bare else end) + _MARK))
+    cut = F.split(text, CUT, -1)
+    if bare:
+        cut = F.transform(cut, lambda u: F.regexp_replace(u, r"(?<=[.!?]) $|\n$", ""))
+    return F.when(F.contains(text, F.lit(_MARK)), cut).otherwise(F.split(marked, _MARK, -1))
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str, margin: int) -> DataFrame:
-    """id, th, and by block: n lines of its own from index lo on, and the arrays p, h, w of lines with margins."""
-    trimmed = lambda u: F.btrim(u, F.lit(" \t\r\n"))
-    piece = F.transform(
-        lines_of(F.col(text_col)),
-        lambda u, i: F.struct(i.cast("int").alias("p"), F.xxhash64(trimmed(u)).alias("h"), _words(trimmed(u)).alias("w")),
-    )
+    """id, th, and by block: n lines of its own from index lo on, and with margins the arrays p (index), h (hash), c.
+
+    c has the number of words before each line, and before the end.
+    """
+    def piece(t: Column, i: Column) -> Column:
+        w = (F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "))) + 1).cast("int")
+        key = F.lit(63) - F.least(w, F.lit(63))
+        h = F.shiftleft(key.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(t), 7))
+        return F.when(t != "", F.struct(i.cast("int").alias("p"), h.alias("h"), w.alias("w")))
+
+    pieces = F.transform(F.transform(lines_of(F.col(text_col), bare=True), lambda u: F.trim(u)), piece)
     rows = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.filter(piece, lambda x: x["w"] > 0).alias("a")
-    )
-    rows = rows.where(F.size("a") > 0).select(
-        "id", "th", "a", F.explode(F.sequence(F.lit(0), ((F.size("a") - 1) / BLOCK).cast("int"))).alias("block")
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.filter(pieces, lambda x: x.isNotNull()).alias("a")
     )
+    blocks = F.when(F.size("a") > 0, F.sequence(F.lit(0), F.floor((F.size("a") - 1) / BLOCK).cast("int")))
+    rows = rows.select("id", "th", "a", F.explode(blocks).alias("block"))
     first = F.greatest(F.col("block") * BLOCK - margin, F.lit(0))
     part = F.slice("a", first + 1, BLOCK + 2 * margin)
     lo = F.col("block") * BLOCK - first
-    return rows.select(
+    rows = rows.select(
         "id", "th", "block", lo.alias("lo"), F.least(F.lit(BLOCK), F.size("a") - F.col("block") * BLOCK).alias("n"), part.alias("a")
-    ).select("id", "th", "block", "lo", "n", F.col("a.p").alias("p"), F.col("a.h").alias("h"), F.col("a.w").alias("w"))
+    )
+    sums = F.aggregate("a.w", F.array(F.lit(0)), lambda acc, w: F.array_append(acc, F.element_at(acc, -1) + w))
+    return rows.select("id", "th", "block", "lo", "n", F.col("a.p").alias("p"), F.col("a.h").alias("h"), sums.alias("c"))
+
 
+#: A window is one number: its first line's index times SPAN, plus its number of lines.
+SHIFT = 10
+SPAN = 1 << SHIFT
 
-def _windows(min_words: int) -> Column:
-    """Of a row of the narrow table: structs s (index), k (lines), m (index of the least hash), f (that hash)."""
 
-    def reach(i: Column, step: int) -> Column:
-        """Lines from line i on, in the direction of step, until there are min_words words; else null."""
-        sums, total = [], None
-        for j in range(min_words):
-            at = F.get("w", i + step * j) if step > 0 else F.when(i >= j, F.get("w", F.greatest(i - j, F.lit(0))))
-            total = at if total is None else total + at
-            sums.append(total)
-        return F.coalesce(reduce(lambda c, jt: c.when(jt[1] >= min_words, jt[0] + 1), enumerate(sums), F.when(F.lit(False), 0)), F.lit(0))
+def _windows(min_words: int, ahead: bool) -> Column:
+    """The windows of a row of the narrow table that start (ahead) or end at its own lines, as numbers."""
+
+    def reach(i: Column) -> Column:
+        """Lines from line i on, or back from it, until there are min_words words; else 0."""
+        start, step = (i, 1) if ahead else (i + 1, -1)
+
+        def count(goal: Column) -> Column:
+            chain = F
+            for j in range(1, min_words + 1):
+                there = F.get("c", start + step * j)
+                chain = chain.when(there >= goal if ahead else there <= goal, j)
+            return chain.otherwise(0)
+
+        return _let(F.get("c", start) + step * min_words, count)
 
     own = F.sequence(F.col("lo"), F.col("lo") + F.col("n") - 1)
-    ahead = F.transform(own, lambda i: F.struct(i.alias("s"), reach(i, 1).alias("k")))
-    back = F.transform(own, lambda i: F.struct(i.alias("e"), reach(i, -1).alias("k")))
-    back = F.transform(back, lambda x: F.struct((x["e"] - x["k"] + 1).alias("s"), x["k"].alias("k")))
-    spans = F.filter(F.array_distinct(F.concat(ahead, back)), lambda x: x["k"] > 0)
+    if ahead:
+        return F.filter(F.transform(own, lambda i: i * SPAN + reach(i)), lambda x: x % SPAN > 0)
+    back = F.filter(F.transform(own, lambda i: (i + 1) * SPAN + reach(i)), lambda x: x % SPAN > 0)
+    return F.transform(back, lambda x: x - (x % SPAN) * SPAN)
 
-    def least(x: Column) -> Column:
-        own_hashes = F.slice("h", x["s"] + 1, x["k"])
-        return F.struct(x["s"].alias("s"), x["k"].alias("k"), F.array_min(own_hashes).alias("f"), own_hashes.alias("g"))
 
-    return F.transform(spans, least)
+def _hashes(x: Column) -> Column:
+    """The line hashes of a window."""
+    return F.slice("h", F.shiftright(x, SHIFT) + 1, x % SPAN)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
     """id, th (hash of the text) and gone: the indices of the lines that repeat an earlier run."""
     narrow = keep(_narrow(docs, id_col, text_col, min_words), "line-hashes")
-    windows = narrow.withColumn("wins", _windows(min_words))
-    at = lambda x: (x["s"] + F.array_position(x["g"], x["f"]) - 1).alias("m")
-    minima = F.array_distinct(F.transform("wins", lambda x: F.struct(x["f"].alias("f"), at(x))))
-    minima = keep(windows.select("id", "th", "block", F.explode(minima).alias("x")).select("id", "th", "block", "x.f"), "line-minima")
+    windows = narrow.withColumn("wins", _windows(min_words, ahead=True))
+    least_at = lambda x: F.shiftright(x, SHIFT) - 1 + _let(_hashes(x), lambda g: F.array_position(g, F.array_min(g)))
+    minima = F.transform(F.array_distinct(F.transform("wins", least_at)), lambda m: F.get("h", m.cast("int")))
+    minima = keep(windows.select("id", "th", "block", F.explode(minima).alias("f")), "line-minima")
     again = minima.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("f").alias("f_"), F.xxhash64("f").alias("key_"))
     found = minima.distinct().join(again, (F.xxhash64("f") == F.col("key_")) & (F.col("f") == F.col("f_")), "left_semi")
     found = keep(found.groupBy("id", "th", "block").agg(F.collect_set("f").alias("fs")), "line-found")
     same = lambda a, b, *more: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in ("id", "th", *more)])
-    shared = narrow.join(found, same(narrow, found, "block")).select(narrow["*"], "fs").withColumn("wins", _windows(min_words))
-    place = lambda x: F.struct(
-        F.get("p", x["s"]).alias("a"), F.get("p", x["s"] + x["k"] - 1).alias("b"), F.xxhash64(x["g"]).alias("k1"), F.hash(x["g"]).alias("k2")
-    )
-    spans = F.transform(F.filter("wins", lambda x: F.array_contains("fs", x["f"])), place)
-    spans = keep(shared.select("id", "th", F.explode(spans).alias("x")).select("id", "th", "x.*"), "line-windows")
+    shared = narrow.join(found, same(narrow, found, "block")).select(narrow["*"], "fs")
+    ahead = F.filter(_windows(min_words, ahead=True), lambda x: F.array_contains("fs", F.array_min(_hashes(x))))
+
+    def with_back(z: Column) -> Column:
+        # A repeated backward window holds the forward window of its first line, which may be a block's margin.
+        fits = lambda x: (F.shiftright(x, SHIFT) < F.col("lo")) | F.array_contains(z["from"], F.shiftright(x, SHIFT))
+        return F.array_distinct(F.concat(z["ahead"], F.filter(_windows(min_words, ahead=False), fits)))
+
+    froms = lambda w: F.struct(w.alias("ahead"), F.transform(w, lambda x: F.shiftright(x, SHIFT)).alias("from"))
+    wins = _let(_let(ahead, froms), with_back)
+
+    def place(x: Column) -> Column:
+        first = F.shiftright(x, SHIFT)
+        ends = F.get("p", first).alias("a"), F.get("p", first + x % SPAN - 1).alias("b")
+        return _let(_hashes(x), lambda g: F.struct(*ends, F.xxhash64(g).alias("k1"), F.hash(g).alias("k2")))
+
+    spans = keep(shared.select("id", "th", F.explode(F.transform(wins, place)).alias("x")).select("id", "th", "x.*"), "line-windows")
     drop(minima)
     first = spans.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "a")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     first = first.select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), F.xxhash64("k1", "k2").alias("key_"), "first")
@@ -117,18 +154,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents without later repeated runs, with two more columns: ``__lines`` and ``__lines_gone`` (counts)."""
+    """The documents without later repeated runs, with one more column: ``__lines_gone`` (how many went)."""
     gone = repeated_lines(docs, id_col, text_col, min_words=min_words).select(
         F.col("id").alias("__gone_id"), F.col("th").alias("__gone_th"), F.col("gone").alias("__gone")
     )
     on = docs[id_col].eqNullSafe(gone["__gone_id"]) & (F.xxhash64(docs[text_col]) == gone["__gone_th"])
-    rows = docs.join(gone, on, "left").withColumn("__pieces", lines_of(F.col(text_col)))
+    rows = docs.join(gone, on, "left").withColumn("__pieces", F.when(F.col("__gone").isNotNull(), lines_of(F.col(text_col))))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__pieces") - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get("__pieces", i)), "")
     )
     return rows.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.coalesce(F.size("__pieces"), F.lit(0)).alias("__lines"),
         F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("__lines_gone"),
     )

@@ -21,7 +21,6 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return out.select(
         "doc_id",
-        F.col("__lines").alias("n_lines"),
         F.col("__lines_gone").alias("n_removed"),
         F.length(text).cast("long").alias("n_chars"),
         F.sha2(text.cast("binary"), 256).alias("text_sha256"),
