@@ -43,6 +43,8 @@ UNIVERSE = 1 << 20
 LEAST_AGREEMENT = 0.58
 #: Parts of the hash range in which common shingles are bounded one by one.
 PARTS = 32
+#: Ids of candidates that are broadcast at most, to pick their texts; more of them are joined by a shuffle of the texts.
+BROADCAST_IDS = 1_000_000
 #: Followers of a pivot that are compared in one group.
 GROUP = 2000
 SEED = 20_24
@@ -179,7 +181,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     best = members.where("id <> pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("c"))
     best = best.groupBy("id").agg(F.max(F.struct("c", (-F.col("pivot")).alias("p"))).alias("x"))
     pairs = keep(best.select((-F.col("x.p")).alias("a"), F.col("id").alias("b")), "near-pairs")
-    involved = members.select(F.col("id").alias("i")).distinct()
+    involved = keep(members.select(F.col("id").alias("i")).distinct(), "near-ids")
+    if involved.count() <= BROADCAST_IDS:
+        involved = F.broadcast(involved)
     texts = keep(texts.join(involved, texts["id"] == involved["i"]).groupBy("id").agg(F.max("text").alias("text")), "near-texts")
     links = keep(confirmed(pairs, texts), "near-links")
     linked = links.select(F.col("b").alias("id"), F.col("a").alias("root"))

@@ -32,7 +32,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates; of rows that repeat an id, one."""
     found = keep(near_dedup.near_dedup(docs).select(F.col("doc_id").alias("__id"), "kept"), "pipeline-near")
-    out = docs.join(found.where("not kept").select("__id").distinct(), F.col("doc_id") == F.col("__id"), "left_anti")
+    gone = found.where("not kept").select("__id").distinct()
+    few = gone.count() <= near_dedup.BROADCAST_IDS
+    out = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__id"), "left_anti")
     again = keep(found.where("__id is not null").groupBy("__id").count().where("count > 1").select("__id"), "pipeline-again")
     if again.isEmpty():
         return out
