@@ -1,6 +1,6 @@
 """Line deduplication by winnowing over line hashes.
 
-A *line* is a piece of text up to a newline or to the space after a sentence's end, so a passage that
+A *line* is a piece of text up to a newline or to the space after a full stop, so a passage that
 was pasted behind other text on one line is found too. A *window* is the shortest run of lines, from a
 given line onwards or backwards, that has ``min_words`` words. Line hashes order longer lines first.
 Which line of a window is least depends on the window's content alone, so two texts that share a run
@@ -31,118 +31,113 @@ from automill.llm.scratch import drop, keep
 MIN_WORDS = 30
 #: Lines of one row of the narrow table.
 BLOCK = 512
-#: Where a text is cut: behind a newline, or behind the space that follows a sentence's end.
-CUT = r"(?<=\n|[.!?] )"
+#: Where a text is cut: behind a newline, or behind the space that follows a full stop.
+CUT = r"(?<=\n|[.] )"
 
 
 #: Stands for a cut while the cuts are made by plain replacement, several times as fast as the pattern.
 _MARK = "\x1e"
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value worked out once however often the body names it."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
-
-
 def lines_of(text: Column, bare: bool = False) -> Column:
     """The pieces of a text; joined, they are the text. bare: without the white space at which they were cut."""
     marked = text
-    for end in ("\n", ". ", "! ", "? "):
+    for end in ("\n", ". "):
         marked = F.replace(marked, F.lit(end), F.lit((end[:-1] if bare else end) + _MARK))
     cut = F.split(text, CUT, -1)
     if bare:
-        cut = F.transform(cut, lambda u: F.regexp_replace(u, r"(?<=[.!?]) $|\n$", ""))
+        cut = F.transform(cut, lambda u: F.regexp_replace(u, r"(?<=[.]) $|\n$", ""))
     return F.when(F.contains(text, F.lit(_MARK)), cut).otherwise(F.split(marked, _MARK, -1))
 
 
-def _narrow(docs: DataFrame, id_col: str, text_col: str, margin: int) -> DataFrame:
-    """id, th, and by block: n lines of its own from index lo on, and with margins the arrays p (index), h (hash), c.
+def _reach(words: Column, i: Column, min_words: int, step: int) -> Column:
+    """How many lines it takes from place i on, or back from it, until there are min_words words; null if they don't suffice.
 
-    c has the number of words before each line, and before the end.
+    words is the number of words before that place.
     """
-    def piece(t: Column, i: Column) -> Column:
-        w = (F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "))) + 1).cast("int")
-        key = F.lit(63) - F.least(w, F.lit(63))
-        h = F.shiftleft(key.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(t), 7))
-        return F.when(t != "", F.struct(i.cast("int").alias("p"), h.alias("h"), w.alias("w")))
-
-    pieces = F.transform(F.transform(lines_of(F.col(text_col), bare=True), lambda u: F.trim(u)), piece)
-    rows = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.filter(pieces, lambda x: x.isNotNull()).alias("a")
-    )
-    blocks = F.when(F.size("a") > 0, F.sequence(F.lit(0), F.floor((F.size("a") - 1) / BLOCK).cast("int")))
-    rows = rows.select("id", "th", "a", F.explode(blocks).alias("block"))
+    chain = F
+    for j in range(1, min_words + 1):
+        there = F.get("c", i + step * j)
+        chain = chain.when(there >= words + min_words if step > 0 else there <= words - min_words, j)
+    return chain.otherwise(F.lit(None).cast("int"))
+
+
+def _narrow(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """id, th, and by block: n lines of its own from index lo on, and, with margins of min_words lines, arrays.
+
+    h has a line's hash, c the number of words before it and, at the end, of all; kf the number of lines of
+    the window that starts at it, null where there are too few words. Lines without words are left out:
+    p has the indices of the others, or is null if there are none; first is the index of the first one then.
+    """
+    margin = min_words
+
+    def key(t: Column) -> Column:
+        first = F.lit(63) - F.least(F.shiftright(F.octet_length(t), 3), F.lit(63))
+        return F.shiftleft(first.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(t), 7))
+
+    def add_words(acc: Column, t: Column) -> Column:
+        words = F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "))) + 1
+        return F.array_append(acc, (F.element_at(acc, -1) + words).cast("int"))
+
+    pieces = F.transform(lines_of(F.col(text_col), bare=True), lambda u: F.trim(u))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), pieces.alias("t0"))
+    rows = rows.select("id", "th", "t0", F.filter("t0", lambda t: t != "").alias("t"))
+    places = F.filter(F.transform("t0", lambda t, i: F.when(t != "", i.cast("int"))), lambda i: i.isNotNull())
+    blocks = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.floor((F.size("t") - 1) / BLOCK).cast("int")))
+    rows = rows.select("id", "th", "t", F.when(F.size("t") < F.size("t0"), places).alias("p"), F.explode(blocks).alias("block"))
     first = F.greatest(F.col("block") * BLOCK - margin, F.lit(0))
-    part = F.slice("a", first + 1, BLOCK + 2 * margin)
     lo = F.col("block") * BLOCK - first
     rows = rows.select(
-        "id", "th", "block", lo.alias("lo"), F.least(F.lit(BLOCK), F.size("a") - F.col("block") * BLOCK).alias("n"), part.alias("a")
+        "id", "th", "block", lo.alias("lo"), F.least(F.lit(BLOCK), F.size("t") - F.col("block") * BLOCK).alias("n"), first.alias("first"),
+        F.slice("p", first + 1, BLOCK + 2 * margin).alias("p"), F.slice("t", first + 1, BLOCK + 2 * margin).alias("t"),
+    )
+    rows = rows.select(
+        "id", "th", "block", "lo", "n", "first", "p", F.transform("t", key).alias("h"), F.aggregate("t", F.array(F.lit(0)), add_words).alias("c")
     )
-    sums = F.aggregate("a.w", F.array(F.lit(0)), lambda acc, w: F.array_append(acc, F.element_at(acc, -1) + w))
-    return rows.select("id", "th", "block", "lo", "n", F.col("a.p").alias("p"), F.col("a.h").alias("h"), sums.alias("c"))
-
-
-#: A window is one number: its first line's index times SPAN, plus its number of lines.
-SHIFT = 10
-SPAN = 1 << SHIFT
+    return rows.withColumn("kf", F.transform("c", lambda x, i: _reach(x, i, min_words, 1)))
 
 
-def _windows(min_words: int, ahead: bool) -> Column:
-    """The windows of a row of the narrow table that start (ahead) or end at its own lines, as numbers."""
-
-    def reach(i: Column) -> Column:
-        """Lines from line i on, or back from it, until there are min_words words; else 0."""
-        start, step = (i, 1) if ahead else (i + 1, -1)
-
-        def count(goal: Column) -> Column:
-            chain = F
-            for j in range(1, min_words + 1):
-                there = F.get("c", start + step * j)
-                chain = chain.when(there >= goal if ahead else there <= goal, j)
-            return chain.otherwise(0)
-
-        return _let(F.get("c", start) + step * min_words, count)
-
-    own = F.sequence(F.col("lo"), F.col("lo") + F.col("n") - 1)
-    if ahead:
-        return F.filter(F.transform(own, lambda i: i * SPAN + reach(i)), lambda x: x % SPAN > 0)
-    back = F.filter(F.transform(own, lambda i: (i + 1) * SPAN + reach(i)), lambda x: x % SPAN > 0)
-    return F.transform(back, lambda x: x - (x % SPAN) * SPAN)
+def _hashes(s: Column | str, k: Column | str) -> Column:
+    """The line hashes of a window."""
+    return F.slice("h", (F.col(s) if isinstance(s, str) else s) + 1, k)
 
 
-def _hashes(x: Column) -> Column:
-    """The line hashes of a window."""
-    return F.slice("h", F.shiftright(x, SHIFT) + 1, x % SPAN)
+def _by_line(narrow: DataFrame, *more: str) -> DataFrame:
+    """A row for each line i of a block, with the block's arrays at hand: they are read in place, not copied."""
+    own = F.explode(F.sequence(F.col("lo"), F.col("lo") + F.col("n") - 1)).alias("i")
+    return narrow.select("id", "th", "block", "lo", "first", "p", "h", "kf", *more, own)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
     """id, th (hash of the text) and gone: the indices of the lines that repeat an earlier run."""
     narrow = keep(_narrow(docs, id_col, text_col, min_words), "line-hashes")
-    windows = narrow.withColumn("wins", _windows(min_words, ahead=True))
-    least_at = lambda x: F.shiftright(x, SHIFT) - 1 + _let(_hashes(x), lambda g: F.array_position(g, F.array_min(g)))
-    minima = F.transform(F.array_distinct(F.transform("wins", least_at)), lambda m: F.get("h", m.cast("int")))
-    minima = keep(windows.select("id", "th", "block", F.explode(minima).alias("f")), "line-minima")
+    rows = _by_line(narrow).withColumn("k", F.get("kf", F.col("i"))).withColumn("k_", F.get("kf", F.col("i") - 1))
+    rows = rows.where("k is not null").withColumn("f", F.array_min(_hashes("i", "k")))
+    at = F.col("i") + F.array_position(_hashes("i", "k"), F.col("f"))
+    before = F.when((F.col("i") > F.col("lo")) & F.col("k_").isNotNull(), F.array_min(_hashes(F.col("i") - 1, "k_")))
+    rows = rows.withColumn("m", at).withColumn("f_", before)
+    # Minima move forward only: a window adds none if the window before it, in the same block, has it at the same place.
+    same_place = F.col("f_").eqNullSafe(F.col("f")) & (F.col("i") - 1 + F.array_position(_hashes(F.col("i") - 1, "k_"), F.col("f_")) == F.col("m"))
+    minima = keep(rows.where(~F.coalesce(same_place, F.lit(False))).select("id", "th", "block", "f"), "line-minima")
     again = minima.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("f").alias("f_"), F.xxhash64("f").alias("key_"))
     found = minima.distinct().join(again, (F.xxhash64("f") == F.col("key_")) & (F.col("f") == F.col("f_")), "left_semi")
     found = keep(found.groupBy("id", "th", "block").agg(F.collect_set("f").alias("fs")), "line-found")
     same = lambda a, b, *more: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in ("id", "th", *more)])
     shared = narrow.join(found, same(narrow, found, "block")).select(narrow["*"], "fs")
-    ahead = F.filter(_windows(min_words, ahead=True), lambda x: F.array_contains("fs", F.array_min(_hashes(x))))
-
-    def with_back(z: Column) -> Column:
-        # A repeated backward window holds the forward window of its first line, which may be a block's margin.
-        fits = lambda x: (F.shiftright(x, SHIFT) < F.col("lo")) | F.array_contains(z["from"], F.shiftright(x, SHIFT))
-        return F.array_distinct(F.concat(z["ahead"], F.filter(_windows(min_words, ahead=False), fits)))
-
-    froms = lambda w: F.struct(w.alias("ahead"), F.transform(w, lambda x: F.shiftright(x, SHIFT)).alias("from"))
-    wins = _let(_let(ahead, froms), with_back)
-
-    def place(x: Column) -> Column:
-        first = F.shiftright(x, SHIFT)
-        ends = F.get("p", first).alias("a"), F.get("p", first + x % SPAN - 1).alias("b")
-        return _let(_hashes(x), lambda g: F.struct(*ends, F.xxhash64(g).alias("k1"), F.hash(g).alias("k2")))
-
-    spans = keep(shared.select("id", "th", F.explode(F.transform(wins, place)).alias("x")).select("id", "th", "x.*"), "line-windows")
+    back = F.transform("c", lambda x, i: _reach(x, i, min_words, -1))
+    rows = _by_line(shared.withColumn("kb", back), "fs", "kb").withColumn("k", F.get("kf", F.col("i"))).withColumn("ke", F.get("kb", F.col("i") + 1))
+    rows = rows.withColumn("sb", F.col("i") + 1 - F.col("ke")).withColumn("ks", F.get("kf", F.col("sb")))
+    known = lambda s, k: F.array_contains("fs", F.array_min(_hashes(s, k)))
+    window = lambda s, k: F.struct(F.col(s).alias("s"), F.col(k).alias("k"))
+    ahead = F.when(F.col("k").isNotNull() & known("i", "k"), window("i", "k"))
+    # A repeated backward window holds the forward window of its first line, which may be a block's margin.
+    # Where it is that window, it is there already.
+    back = F.when((F.col("sb") < F.col("lo")) | ((F.col("ks") < F.col("ke")) & known("sb", "ks")), window("sb", "ke"))
+    spans = rows.select("id", "th", "first", "p", "h", F.explode(F.array(ahead, back)).alias("x")).where("x is not null")
+    spans = spans.select("id", "th", "first", "p", F.col("x.s").alias("s"), F.col("x.k").alias("k"), _hashes(F.col("x.s"), F.col("x.k")).alias("g"))
+    index = lambda i: F.coalesce(F.get("p", i), F.col("first") + i)
+    ends = index(F.col("s")).alias("a"), index(F.col("s") + F.col("k") - 1).alias("b")
+    spans = keep(spans.select("id", "th", *ends, F.xxhash64("g").alias("k1"), F.hash("g").alias("k2")), "line-windows")
     drop(minima)
     first = spans.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "a")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     first = first.select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), F.xxhash64("k1", "k2").alias("key_"), "first")
