@@ -13,7 +13,7 @@ import pyarrow as pa
 
 _U = np.uint64
 #: Bytes of text that a kernel handles at a time; one longer text is handled alone.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 300_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
