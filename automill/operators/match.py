@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,10 @@ from automill.plans import kernels, planner, relational
 from automill.plans.planner import Group
 from automill.sources import streams as sources
 
-#: Segments that a stream is cut into of its own accord, when its matches can be found from a bounded past.
-AUTO_SEGMENT = 8_000_000
+#: States whose groups are broadcast together; more of them are further passes over the streams.
+BROADCAST_STATES = 200_000
+#: Segments from this size on are dealt out anew, so that one long stream is not one task.
+LARGE_SEGMENT = 1_000_000
 
 
 def match(
@@ -133,12 +136,31 @@ def _hits(group: Group, payloads: list[bytes], firsts: list[bool]) -> Iterator[k
     return kernels.lazy(group.compiled, payloads, firsts)
 
 
+def _passes(plan: list[Group]) -> list[list[Group]]:
+    """The groups in parts of at most BROADCAST_STATES states; a group by itself is smaller."""
+    out: list[list[Group]] = [[]]
+    room = BROADCAST_STATES
+    for group in plan:
+        n = len(group.compiled.names)
+        if out[-1] and n > room:
+            out.append([])
+            room = BROADCAST_STATES
+        out[-1].append(group)
+        room -= n
+    return out
+
+
 def scan(cut: DataFrame, plan: list[Group]) -> DataFrame:
     """Reports of segments: every task runs all groups over its batches, so payloads are not copied by group.
 
     A report is made once, because segments part the offsets and groups part the states; nothing is
     shuffled.
     """
+    passes = [_scan(cut, part) for part in _passes(plan)]
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _scan(cut: DataFrame, plan: list[Group]) -> DataFrame:
     shared = cut.sparkSession.sparkContext.broadcast(plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,15 +214,16 @@ def _exact(cut: DataFrame, streams: DataFrame, plan: list[Group], strategy: str,
         upto = F.least(F.col("own") + segment_bytes, F.col("end"))
         data = F.substring("payload", (base + 1).cast("int"), (upto - base).cast("int"))
         rows = rows.select("stream_id", "own", base.alias("base"), (base == 0).alias("first"), data.alias("payload"))
-        parts.append(_trimmed(rows, bounded, back, segment_bytes))
+        if segment_bytes >= LARGE_SEGMENT:
+            rows = rows.repartition("stream_id", "own")
+        parts += [_trimmed(rows, part) for part in _passes(bounded)]
     if rest:
         one = whole.select("stream_id", F.lit(0).cast("long").alias("base"), F.lit(True).alias("first"), F.substring("payload", F.lit(1), F.col("end").cast("int")).alias("payload"))
         parts.append(scan(one, rest))
-    out = parts[0] if parts else scan(cut.limit(0), plan)
-    return out.unionByName(parts[1]) if len(parts) > 1 else out
+    return reduce(DataFrame.unionByName, parts) if parts else scan(cut.limit(0), plan)
 
 
-def _trimmed(rows: DataFrame, plan: list[Group], back: int, segment_bytes: int) -> DataFrame:
+def _trimmed(rows: DataFrame, plan: list[Group]) -> DataFrame:
     """Reports at own offsets only. A segment's own part starts where the one before it ends."""
     shared = rows.sparkSession.sparkContext.broadcast(plan)
 

@@ -56,6 +56,18 @@ def test_segments_and_replicas(data):
     assert match(a, None, df, mode="count").first().n == len(exact)
 
 
+def test_many_passes(data, monkeypatch):
+    """Automata that are too large for one broadcast, and large segments that are dealt out anew."""
+    from automill.operators import match as module
+
+    rows, df = data
+    monkeypatch.setattr(module, "BROADCAST_STATES", 3)
+    monkeypatch.setattr(module, "LARGE_SEGMENT", 1)
+    a = keywords("k", ["ab", "bc", "abc", "c"])
+    want = {(k, *x) for k, v in rows.items() for x in oracle.reports(a, v)}
+    assert got(match(a, None, df, groups=4)) == want == got(match(a, None, df, groups=4, segment_bytes=6, seam="exact", tail="keep"))
+
+
 def test_duplicate_rule(spark):
     """Segments as long as the stream: start-of-data fires in each."""
     a = keywords("s", ["a"], start="start-of-data")
