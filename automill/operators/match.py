@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from automill.model import REPORTS, Automaton, Compiled, from_frames
+from automill.model import REPORTS, Automaton, from_frames
 from automill.operators.scratch import keep
 from automill.plans import kernels, planner, relational
 from automill.plans.planner import Group

@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from automill.functions import symbolset
 from automill.functions.words import gram
-from automill.model import ALL_INPUT, START_OF_DATA, Automaton, Compiled
+from automill.model import ALL_INPUT, START_OF_DATA, Compiled
 from automill.sources.streams import positions
 
 #: Rounds after which a match by joins gives up; cyclic automata need as many as the longest segment.
