@@ -105,11 +105,11 @@ ORACLES = {
     "match_keyword_documents": f"SELECT {_SHORT} FROM ({_DOCS})",
     "match_multi_keyword_events": f"SELECT {_SHORT} FROM ({_keywords(_TYPES, ('click', 'view', 'purchase', 'i'))})",
     "match_class_digits_props": _digits(_PROPS),
-    "match_start_of_data_part": f'SELECT stream_id, 6 AS "offset", {_PART} FROM ({_BRANDS})',
+    "match_start_of_data_part": f'SELECT stream_id, 6::BIGINT AS "offset", {_PART} FROM ({_BRANDS})',
     "match_gap_selfloop_events": _GAP,
     "match_arrow": _GAP,
     "match_wildcard_dot": f"SELECT stream_id, p + 2 AS \"offset\", 'v2' AS original_id, 'vv' AS report_code {_DOT}",
-    "nfa_match_sql": f"SELECT CAST(stream_id AS BIGINT) AS n_nationkey, p + 2 AS pos, 'v2' AS original_id {_DOT}",
+    "nfa_match_sql": f"SELECT CAST(stream_id AS INTEGER) AS n_nationkey, p + 2 AS pos, 'v2' AS original_id {_DOT}",
     "match_count_only": "SELECT CAST(sum(" + " + ".join(_count_of(w, "text") for w in ("the", "and", "tion", "ch", "é")) + ") AS BIGINT) AS n FROM documents",
     "match_report_codes": f"SELECT report_code, count(*) AS n, count(DISTINCT stream_id) AS streams FROM ({_DOCS}) GROUP BY report_code",
     "match_segment_reset": _digits(_NAMES, "p // 4 = (p + 1) // 4"),
@@ -136,15 +136,15 @@ ORACLES = {
     "stream_alphabet": "SELECT stream_id, string_agg(CAST(b AS VARCHAR), ',' ORDER BY b) AS bytes FROM (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS stream_id, "
     "ascii(unnest(string_split(p_name, ''))) AS b FROM part) GROUP BY stream_id",
     "stream_slice": "SELECT CAST(c_custkey AS VARCHAR) AS stream_id, hex(encode(substr(c_name, 5, 100))) AS data FROM customer",
-    "stream_chunk": "SELECT CAST(c_custkey AS VARCHAR) AS stream_id, k AS seg_id, 7 * k AS base, hex(encode(substr(c_name, 7 * k + 1, 7))) AS data "
+    "stream_chunk": "SELECT CAST(c_custkey AS VARCHAR) AS stream_id, k::INT AS seg_id, 7 * k AS base, hex(encode(substr(c_name, 7 * k + 1, 7))) AS data "
     "FROM customer, range(len(c_name) // 7) r(k)",
-    "stream_chunk_replicated": "SELECT CAST(n_nationkey AS VARCHAR) AS stream_id, k AS seg_id, 5 * k AS base, hex(encode(substr(repeat(n_name, 3), 5 * k + 1, 5))) AS data "
+    "stream_chunk_replicated": "SELECT CAST(n_nationkey AS VARCHAR) AS stream_id, k::INT AS seg_id, 5 * k AS base, hex(encode(substr(repeat(n_name, 3), 5 * k + 1, 5))) AS data "
     "FROM nation, range((3 * len(n_name) + 4) // 5) r(k)",
-    "stream_pad": "SELECT CAST(n_nationkey AS VARCHAR) AS stream_id, len(n_name) AS length, rpad(hex(encode(n_name)), (2 * 16 * ((len(n_name) + 15) // 16))::INT, '0') AS data FROM nation",
-    "stream_kgrams": "SELECT CAST(n_nationkey AS VARCHAR) AS stream_id, p AS pos, ascii(substr(n_name, p + 1, 1)) * 65536 + ascii(substr(n_name, p + 2, 1)) * 256 "
+    "stream_pad": "SELECT CAST(n_nationkey AS VARCHAR) AS stream_id, len(n_name)::INT AS length, rpad(hex(encode(n_name)), (2 * 16 * ((len(n_name) + 15) // 16))::INT, '0') AS data FROM nation",
+    "stream_kgrams": "SELECT CAST(n_nationkey AS VARCHAR) AS stream_id, p::INT AS pos, ascii(substr(n_name, p + 1, 1)) * 65536 + ascii(substr(n_name, p + 2, 1)) * 256 "
     "+ ascii(substr(n_name, p + 3, 1)) AS gram FROM nation, range(len(n_name) - 2) r(p)",
     "stream_point_edit": "SELECT CAST(r_regionkey AS VARCHAR) AS stream_id, ascii(r_name) AS first, hex(encode(concat(r_name[1], '*', substr(r_name, 3), '!'))) AS data, "
-    "len(r_name) + 1 AS n FROM region",
+    "(len(r_name) + 1)::INT AS n FROM region",
     "nfa_summary": f"WITH {_S}, {_C}, z AS (SELECT cc_id, count(*) AS n FROM c GROUP BY cc_id) SELECT 'mixed' AS nfa_id, count(*) AS states, "
     "count(*) FILTER (start_kind > 0) AS starts, count(*) FILTER (start_kind = 2) AS always_active, count(*) FILTER (is_report) AS reporting, "
     "(SELECT count(*) FROM z) AS components, (SELECT count(*) FILTER (n > 256) FROM z) AS components_over_256, (SELECT max(n) FROM z) AS max_component, "
@@ -162,14 +162,14 @@ ORACLES = {
     "nfa_in_degree_hist": f"WITH {_S}, {_E}, {_D} SELECT 'mixed' AS nfa_id, least(in_degree, 5) AS bucket, count(*) AS n FROM d GROUP BY 2",
     "nfa_log_degree_hist": f"WITH {_S}, {_E}, {_D} SELECT 'mixed' AS nfa_id, CASE WHEN out_degree = 0 THEN 0 ELSE floor(log2(out_degree))::INT + 1 END AS bucket, "
     "count(*) AS n FROM d GROUP BY 2",
-    "nfa_components": f"WITH {_S}, {_C} SELECT 'mixed' AS nfa_id, state_id, cc_id, row_number() OVER (PARTITION BY cc_id ORDER BY state_id) - 1 AS cc_local_id FROM c",
+    "nfa_components": f"WITH {_S}, {_C} SELECT 'mixed' AS nfa_id, state_id, cc_id, (row_number() OVER (PARTITION BY cc_id ORDER BY state_id) - 1)::INT AS cc_local_id FROM c",
     "nfa_counts": f"WITH {_S}, {_E}, {_B} SELECT 'mixed' AS nfa_id, (SELECT count(*) FROM s) AS states, (SELECT count(*) FROM e) AS transitions, "
     "(SELECT count(*) FROM e WHERE src = dst AND (SELECT count(*) FROM y WHERE state_id = src) > 252) AS wide_loops",
     "nfa_alphabet": f"WITH {_B}, z AS (SELECT state_id, count(*) AS n FROM y GROUP BY state_id) SELECT DISTINCT 'mixed' AS nfa_id, b AS byte FROM y JOIN z USING (state_id) WHERE n BETWEEN 3 AND 255",
     "symbolset_ranges": f"WITH {_B}, {_R} SELECT str_id, min(b) AS lo, max(b) + 1 AS hi FROM g GROUP BY str_id, island",
     "symbolset_cardinality": f"WITH {_B} SELECT str_id, count(*)::INT AS n FROM y GROUP BY str_id",
     "symbolset_parse": _PARSE,
-    "symbolset_remap": "SELECT DISTINCT 'a0' AS str_id, CASE WHEN b IN (97, 98) THEN 65 ELSE b END AS byte FROM range(97, 103) r(b)",
+    "symbolset_remap": "SELECT DISTINCT 'a0' AS str_id, (CASE WHEN b IN (97, 98) THEN 65 ELSE b END)::INT AS byte FROM range(97, 103) r(b)",
     "symbolset_completeness": f"WITH {_B}, {_R}, {_COMPLETE} SELECT state_id, n_symbols, n_ranges, complete, complement FROM k",
     "state_activation_profile": f"SELECT 'digits' AS nfa_id, 0 AS state_id, 'd1' AS original_id, count(*) AS activations FROM {_positions(_NAMES)} WHERE {_byte('p')} {_DIGIT} "
     f"UNION ALL SELECT 'digits', 1, 'd2', count(*) FROM ({_digits(_NAMES)})",
@@ -183,7 +183,7 @@ ORACLES = {
     "FROM range(256) a(x), range(256) b(z)) GROUP BY n_states",
     "memo_cutoff": "SELECT 0 AS g, avg(1.0) AS mean_length, median(1.0::DOUBLE) AS median_length, 2 * count(*) AS ids, 8 * count(*) AS bytes "
     "FROM range(256) a(x), range(256) b(z) WHERE x BETWEEN 48 AND 57 AND z BETWEEN 48 AND 57",
-    "renumbered": f"WITH {_S} SELECT row_number() OVER (ORDER BY is_report DESC, state_id) - 1 AS state_id, str_id FROM s",
+    "renumbered": f"WITH {_S} SELECT (row_number() OVER (ORDER BY is_report DESC, state_id) - 1)::INT AS state_id, str_id FROM s",
     "merged": "SELECT 'both' AS nfa_id, src, dst FROM (VALUES (0, 1), (2, 3), (3, 3), (3, 4), (2, 4)) v(src, dst)",
     "induced_subgraph": f"WITH {_S}, {_E} SELECT 'mixed' AS nfa_id, src, dst FROM e WHERE src IN (SELECT state_id FROM s WHERE NOT is_report) "
     "AND dst IN (SELECT state_id FROM s WHERE NOT is_report)",
