@@ -86,8 +86,8 @@ def match(
         dup = F.lit(False)
     if start_scope == "auto" and replicas > 1 and segment_bytes is None:
         # Replicas are segments of their own: each begins anew.
-        cut = sources.segments(streams, None, 1).crossJoin(F.broadcast(streams.sparkSession.range(replicas).withColumnRenamed("id", "rep")))
-        cut = cut.select("stream_id", F.col("rep").cast("int").alias("seg_id"), (F.octet_length("payload") * F.col("rep")).alias("base"), F.lit(True).alias("first"), "payload")
+        cut = sources.segments(streams, None, 1).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
+        cut = cut.select("stream_id", F.col("rep").cast("int").alias("seg_id"), (F.octet_length("payload").cast("long") * F.col("rep")).alias("base"), F.lit(True).alias("first"), "payload")
     else:
         marked = streams.withColumn("__dup", dup) if replicas > 1 else streams
         cut = sources.segments(marked, segment_bytes, replicas, "keep" if seam == "exact" and tail == "keep" else tail)
