@@ -46,7 +46,7 @@ PARTS = 32
 #: Ids of candidates that are broadcast at most, to pick their texts; more of them are joined by a shuffle of the texts.
 BROADCAST_IDS = 1_000_000
 #: Followers of a pivot that are compared in one group.
-GROUP = 2000
+GROUP = 256
 SEED = 20_24
 
 
