@@ -1,6 +1,6 @@
 """Line deduplication by winnowing over line hashes.
 
-A *line* is a piece of text up to a newline or to the space after a full stop, so a passage that
+A *line* is a piece of text up to a newline or to the space after a full stop or question mark, so a passage that
 was pasted behind other text on one line is found too. A *window* is the shortest run of lines, from a
 given line onwards or backwards, that has ``min_words`` words. Line hashes order longer lines first.
 Which line of a window is least depends on the window's content alone, so two texts that share a run
@@ -31,8 +31,8 @@ from automill.llm.scratch import drop, keep
 MIN_WORDS = 30
 #: Lines of one row of the narrow table.
 BLOCK = 512
-#: Where a text is cut: behind a newline, or behind the space that follows a full stop.
-CUT = r"(?<=\n|[.] )"
+#: Where a text is cut: behind a newline, or behind the space that follows a full stop or question mark.
+CUT = r"(?<=\n|[.?] )"
 
 
 #: Stands for a cut while the cuts are made by plain replacement, several times as fast as the pattern.
@@ -42,11 +42,11 @@ _MARK = "\x1e"
 def lines_of(text: Column, bare: bool = False) -> Column:
     """The pieces of a text; joined, they are the text. bare: without the white space at which they were cut."""
     marked = text
-    for end in ("\n", ". "):
+    for end in ("\n", ". ", "? "):
         marked = F.replace(marked, F.lit(end), F.lit((end[:-1] if bare else end) + _MARK))
     cut = F.split(text, CUT, -1)
     if bare:
-        cut = F.transform(cut, lambda u: F.regexp_replace(u, r"(?<=[.]) $|\n$", ""))
+        cut = F.transform(cut, lambda u: F.regexp_replace(u, r"(?<=[.?]) $|\n$", ""))
     return F.when(F.contains(text, F.lit(_MARK)), cut).otherwise(F.split(marked, _MARK, -1))
 
 
@@ -154,11 +154,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("id").alias("__gone_id"), F.col("th").alias("__gone_th"), F.col("gone").alias("__gone")
     )
     on = docs[id_col].eqNullSafe(gone["__gone_id"]) & (F.xxhash64(docs[text_col]) == gone["__gone_th"])
-    rows = docs.join(gone, on, "left").withColumn("__pieces", F.when(F.col("__gone").isNotNull(), lines_of(F.col(text_col))))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__pieces") - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get("__pieces", i)), "")
-    )
+    rows = docs.join(gone, on, "left")
+
+    def rest(pieces: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("__gone"))
+        return F.array_join(F.transform(stay, lambda i: F.get(pieces, i)), "")
+
+    # The pieces are a lambda's variable, so they are cut once a text even where the optimiser repeats the expression.
+    text = F.get(F.transform(F.array(lines_of(F.col(text_col))), lambda pieces: rest(pieces)), F.lit(0))
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(text)
     return rows.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
         F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("__lines_gone"),

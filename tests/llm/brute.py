@@ -49,9 +49,9 @@ def line_dedup(rows: list[tuple[int, str]], min_words: int) -> dict[int, str]:
     """id -> text without the runs of at least min_words words that occur earlier."""
     lines = {}
     for i, t in sorted(rows):
-        pieces = [p for p in re.split(r"(?<=\n)|(?<=[.] )", t)] if t else [""]
+        pieces = [p for p in re.split(r"(?<=\n)|(?<=[.?] )", t)] if t else [""]
         lines[i] = pieces
-    norm = lambda p: re.sub(r"(?<=[.]) $|\n$", "", p).strip(" ")
+    norm = lambda p: re.sub(r"(?<=[.?]) $|\n$", "", p).strip(" ")
     count = lambda p: p.count(" ") + 1 if p else 0
     kept = {i: [(k, norm(p), count(norm(p))) for k, p in enumerate(ps) if norm(p)] for i, ps in lines.items()}
     first = {}
