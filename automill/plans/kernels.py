@@ -105,9 +105,9 @@ def _block(t: Table, longest: int, nexts, marks, payloads, firsts, base) -> Iter
 def lazy(c: Compiled, payloads: list[bytes], firsts: list[bool], every: bool = False) -> Iterator[Hits]:
     """One segment after the other with a table that fills as it is used, and is cleared at its bound."""
     known: dict[tuple[int, int], tuple[int, list[int]]] = {}
+    segs, offs, states = [], [], []
     for k, payload in enumerate(payloads):
         enabled = c.all_input | (c.start_of_data if firsts[k] or every else 0)
-        offs, states = [], []
         for p, b in enumerate(payload):
             got = known.get((enabled, b))
             if got is None:
@@ -119,13 +119,14 @@ def lazy(c: Compiled, payloads: list[bytes], firsts: list[bool], every: bool = F
                 known[enabled, b] = got
             enabled, hits = got
             for s in hits:
+                segs.append(k)
                 offs.append(p)
                 states.append(s)
             if len(offs) > 100_000:
-                yield np.full(len(offs), k), np.array(offs), np.array(states)
-                offs, states = [], []
-        if offs:
-            yield np.full(len(offs), k), np.array(offs), np.array(states)
+                yield np.array(segs), np.array(offs), np.array(states)
+                segs, offs, states = [], [], []
+    if offs:
+        yield np.array(segs), np.array(offs), np.array(states)
 
 
 def profile(c: Compiled, payloads: list[bytes], firsts: list[bool], compat: bool) -> np.ndarray:
