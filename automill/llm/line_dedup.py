@@ -1,17 +1,24 @@
-"""Line deduplication by winnowing over line hashes.
+"""Line deduplication by winnowing over line hashes, then over words.
 
 A *line* is a piece of text up to a newline or to the space after a full stop or question mark, so a passage that
 was pasted behind other text on one line is found too. A *window* is the shortest run of lines, from a
 given line onwards or backwards, that has ``min_words`` words. Line hashes order longer lines first.
-Which line of a window is least depends on the window's content alone, so two texts that share a run
-of ``min_words`` words share a forward window and its minimum: the minima are guaranteed fingerprints.
+Which line of a window is least depends on the window's content alone, so two texts that share whole lines
+with ``min_words`` words share a forward window and its minimum: the minima are guaranteed fingerprints.
 Fingerprints that occur once rule their windows out, and the backward windows that start with those.
 The other windows are compared by content; each one that has an earlier occurrence, by id and position,
 is a later repeat. Forward and backward windows together reach both ends of every repeated run, which
 is how a match extends both ways. The lines of later repeats go.
 
-Very long texts are cut into blocks of ``BLOCK`` lines with overlapping margins, so the work on one row
-is bounded. No pairs of documents are made: an occurrence is compared with the first one only.
+A run that starts or ends inside a line loses that line there, so texts are winnowed once more by words, but for
+windows that go with their lines anyhow. A word window has ``run_words`` words, from any word on. Its anchor is the least word of its first ones, its
+fingerprint the ``GRAM`` words from the anchor on, so equal windows have equal fingerprints. Texts that have
+a fingerprint which occurs again are compared by all their windows with such fingerprints, at every word,
+so a match reaches both ends of a run to the word. The words of windows that occur earlier go, unless
+the earlier one is in the same text and overlaps. Words are what white space separates.
+
+Very long texts are cut into blocks of ``BLOCK`` lines, or ``WORDS`` words, with overlapping margins, so the
+work on one row is bounded. No pairs of documents are made: an occurrence is compared with the first one only.
 
 Edge cases: null text stays null, empty text stays empty; of repeated rows (same id and text) none is
 later than the other, so they fare alike; with equal ids the text's hash decides which is earlier; null
@@ -29,8 +36,12 @@ from automill.llm.scratch import drop, keep
 
 #: Words from which on a repeated run goes.
 MIN_WORDS = 30
-#: Lines of one row of the narrow table.
-BLOCK = 512
+#: Lines of one row of the narrow table, and words of one row of the table of words.
+BLOCK, WORDS = 512, 4096
+#: Words under a word window's fingerprint.
+GRAM = 10
+#: Texts with repeated fingerprints whose keys are broadcast at most; 16 bytes each.
+BROADCAST_TEXTS = 200_000
 #: Where a text is cut: behind a newline, or behind the space that follows a full stop or question mark.
 CUT = r"(?<=\n|[.?] )"
 
@@ -145,25 +156,112 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         first, (F.xxhash64("k1", "k2") == F.col("key_")) & (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_"))
     ).where(~F.struct("id", "th", "a").eqNullSafe(F.col("first")))
     gone = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("a", "b")), lambda x: F.sequence(x["a"], x["b"]))))
-    return keep(later.groupBy("id", "th").agg(gone.alias("gone")), "line-gone")
+    gone = keep(later.groupBy("id", "th").agg(gone.alias("gone")), "line-gone")
+    drop(narrow, found, spans)
+    return gone
+
+
+def _bare_words(text: Column) -> Column:
+    """The words of a text, without the white space between them."""
+    for space in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(text, " ", -1), "")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents without later repeated runs, with one more column: ``__lines_gone`` (how many went)."""
+def _word_blocks(docs: DataFrame, id_col: str, text_col: str, run_words: int) -> DataFrame:
+    """id, th, block, h and g, of texts with enough words: hashes of the block's words and of the margin behind them.
+
+    g has a byte 1 for each of these words that stands in a line which goes, 0 for another; null if no line goes.
+    """
+    hashes = F.transform(_bare_words(F.col(text_col)), lambda w: F.shiftrightunsigned(F.xxhash64(w), 1))
+    rows = docs.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), hashes.alias("h"), F.col("__flags").cast("binary").alias("g")
+    )
+    last = F.when(F.size("h") >= run_words, F.floor((F.size("h") - run_words) / WORDS).cast("int"))
+    rows = rows.select("id", "th", "h", "g", F.explode(F.sequence(F.lit(0), last)).alias("block"))
+    at, n = F.col("block") * WORDS + 1, F.lit(WORDS + run_words - 1)
+    return rows.select("id", "th", "block", F.slice("h", at, n).alias("h"), F.substr("g", at, n).alias("g"))
+
+
+def _by_word(blocks: DataFrame, run_words: int, *more: str) -> DataFrame:
+    """A row for each window of a block, which starts at its word i; none for those of which every word goes with its line."""
+    rows = blocks.select("id", "th", "block", "h", "g", *more, F.explode(F.sequence(F.lit(0), F.size("h") - run_words)).alias("i"))
+    return rows.where(F.col("g").isNull() | (F.substr("g", F.col("i") + 1, F.lit(run_words)) != F.lit(bytearray(b"1" * run_words))))
+
+
+def _repeated_words(docs: DataFrame, id_col: str, text_col: str, run_words: int) -> DataFrame:
+    """The rows of a table of ``keep`` with __run_gone: the indices of the words in later repeats, in order, or null."""
+    gram = min(GRAM, run_words)
+    ahead = run_words - gram + 1
+    # A window has another anchor than the one before it if the word that left it, or the one that came, is the least.
+    # The window before it may be left out where its words go with their lines; one more mark does no harm.
+    moved = F.lit(True)
+    if ahead > 1:
+        between = F.array_min(_hashes("i", F.lit(ahead - 1)))
+        skipped = F.col("g").isNotNull() & (F.substr("g", F.col("i"), F.lit(run_words)) == F.lit(bytearray(b"1" * run_words)))
+        moved = (F.col("i") == 0) | (between >= F.least(F.get("h", F.col("i") - 1), F.get("h", F.col("i") + ahead - 1) + 1)) | F.coalesce(skipped, F.lit(False))
+    front = _hashes("i", F.lit(ahead))
+    mark = F.xxhash64(F.slice("h", F.col("i") + F.array_position(front, F.array_min(front)).cast("int"), gram))
+    minima = keep(_by_word(_word_blocks(docs, id_col, text_col, run_words), run_words).where(moved).select("id", "th", "block", mark.alias("f")), "run-minima")
+    again = minima.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("f").alias("f_"), F.xxhash64("f").alias("key_"))
+    found = minima.join(again, (F.xxhash64("f") == F.col("key_")) & (F.col("f") == F.col("f_")), "left_semi")
+    found = keep(found.groupBy("id", "th", "block").agg(F.collect_set("f").alias("fs")), "run-found")
+    drop(minima)
+    texts = keep(found.select(F.col("id").alias("__run_id"), F.col("th").alias("__run_th")).distinct(), "run-texts")
+    few = texts.count() <= BROADCAST_TEXTS
+    on = lambda a, b: a[id_col].eqNullSafe(b["__run_id"]) & (F.xxhash64(a[text_col]) == b["__run_th"])
+    keys = F.broadcast(texts) if few else texts
+    touched, others = (docs.join(keys, on(docs, keys), how) for how in ("left_semi", "left_anti"))
+    blocks = _word_blocks(touched, id_col, text_col, run_words)
+    same = blocks["id"].eqNullSafe(found["id"]) & (blocks["th"] == found["th"]) & (blocks["block"] == found["block"])
+    rows = _by_word(blocks.join(found, same).select(blocks["*"], "fs"), run_words, "fs").where(F.array_contains("fs", mark))
+    window = _hashes("i", F.lit(run_words))
+    start = (F.col("block") * WORDS + F.col("i")).alias("a")
+    spans = keep(rows.select("id", "th", start, F.xxhash64(window).alias("k1"), F.hash(window).alias("k2")), "run-windows")
+    first = spans.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "a")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    first = first.select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), F.xxhash64("k1", "k2").alias("key_"), "first")
+    later = spans.join(first, (F.xxhash64("k1", "k2") == F.col("key_")) & (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")))
+    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    later = later.where(~own | (F.col("a") >= F.col("first.a") + run_words))
+    later = later.groupBy("id", "th").agg(F.sort_array(F.collect_set("a")).alias("as"))
+    until = lambda a, i: F.least(F.get("as", i + 1) - 1, a + run_words - 1)
+    gone = F.flatten(F.transform("as", lambda a, i: F.sequence(a, until(a, i))))
+    later = keep(later.select(F.col("id").alias("__run_id"), F.col("th").alias("__run_th"), gone.alias("__run_gone")), "run-gone")
+    drop(spans, found)
+    rows = touched.join(later, on(touched, later), "left").select(*docs.columns, "__run_gone")
+    return others.withColumn("__run_gone", F.lit(None).cast("array<int>")).unionByName(rows)
+
+
+def line_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, run_words: int = MIN_WORDS
+) -> DataFrame:
+    """The documents without later repeated runs, with one more column: ``__lines_gone`` (lines that went, plus runs of words that are more than these)."""
     gone = repeated_lines(docs, id_col, text_col, min_words=min_words).select(
         F.col("id").alias("__gone_id"), F.col("th").alias("__gone_th"), F.col("gone").alias("__gone")
     )
     on = docs[id_col].eqNullSafe(gone["__gone_id"]) & (F.xxhash64(docs[text_col]) == gone["__gone_th"])
-    rows = docs.join(gone, on, "left")
+    # The pieces are a lambda's variable, so they are cut once a text even where the optimiser repeats the expression.
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    flag = lambda p, i: F.repeat(F.when(F.array_contains("__gone", i), "1").otherwise("0"), F.size(_bare_words(p)))
+    flags = F.when(F.col("__gone").isNotNull(), once(lines_of(F.col(text_col)), lambda pieces: F.array_join(F.transform(pieces, flag), "")))
+    rows = keep(docs.join(gone, on, "left").select(*docs.columns, "__gone", flags.alias("__flags")), "line-rest")
+    rows = _repeated_words(rows, id_col, text_col, run_words)
 
     def rest(pieces: Column) -> Column:
         stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("__gone"))
         return F.array_join(F.transform(stay, lambda i: F.get(pieces, i)), "")
 
-    # The pieces are a lambda's variable, so they are cut once a text even where the optimiser repeats the expression.
-    text = F.get(F.transform(F.array(lines_of(F.col(text_col))), lambda pieces: rest(pieces)), F.lit(0))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(text)
-    return rows.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("__lines_gone"),
-    )
+    def rest_words(pieces: Column) -> Column:
+        # White space before the first word is a piece of its own.
+        blank = F.when(F.rlike(F.get(pieces, F.lit(0)), F.lit(r"^\s")), 1).otherwise(0)
+        flagged = F.transform(F.split("__flags", "", -1), lambda x, i: F.when(x == "1", i.cast("int")))
+        gone = F.array_union("__run_gone", F.coalesce(flagged, F.array().cast("array<int>")))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.transform(gone, lambda g: g + blank))
+        return F.array_join(F.transform(stay, lambda i: F.get(pieces, i)), "")
+
+    words = once(F.split(F.col(text_col), r"(?<=\s)(?=\S)", -1), rest_words)
+    lines = once(lines_of(F.col(text_col)), rest)
+    text = F.when(F.col("__run_gone").isNotNull(), words).when(F.col("__gone").isNotNull(), lines).otherwise(F.col(text_col))
+    runs = F.size(F.filter("__run_gone", lambda g, i: (i == 0) | (F.get("__run_gone", i - 1) != g - 1)))
+    count = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")) + F.when(F.col("__run_gone").isNull(), 0).otherwise(runs)
+    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], count.alias("__lines_gone"))

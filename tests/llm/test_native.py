@@ -66,6 +66,32 @@ def test_line_dedup_passage_and_edges(spark):
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_inside_lines(spark, monkeypatch):
+    """Runs that start and end inside lines, or have no punctuation, go to the word."""
+    monkeypatch.setattr(line_dedup, "WORDS", 64)  # several blocks in a text
+    r = random.Random(5)
+    fresh = iter(range(10**6))
+    other = lambda n: " ".join(f"o{next(fresh)}" for _ in range(n))
+    plain = " ".join(f"p{r.randrange(10**6)}" for _ in range(200))
+    same = " ".join(f"s{k}" + "." * (k % 9 == 8) for k in range(52))
+    short = other(29)
+    parts = [(other(7), plain, other(9)), (other(90), plain, other(3)), ("  " + other(3), same, other(2)), (other(5), same, ""), (other(4), short, other(4)), (other(6), short, other(4)), ("", " ".join(["x"] * 100), "")]
+    rows = [(i, " ".join(p).strip() if i == 6 else " ".join(p), "s") for i, p in enumerate(parts)]
+    for limit in (line_dedup.BROADCAST_TEXTS, -1):
+        monkeypatch.setattr(line_dedup, "BROADCAST_TEXTS", limit)
+        out = {x.doc_id: x for x in line_dedup.line_dedup(docs(spark, rows)).collect()}
+        assert all(out[i].text == rows[i][1] for i in (0, 2, 4, 5))
+        assert out[1].text == f"{parts[1][0]} {parts[1][2]}" and out[3].text == f"{parts[3][0]} "
+        assert out[6].text.split() == ["x"] * 30
+        assert {i: x["__lines_gone"] for i, x in out.items()} == {0: 0, 1: 1, 2: 0, 3: 5, 4: 0, 5: 0, 6: 1}
+    first, left = {}, 0
+    for x in line_dedup.line_dedup(spark.read.parquet(f"{SF}/documents.parquet")).orderBy("doc_id").collect():
+        w = (x.text or "").split()
+        for p in range(len(w) - 49):
+            left += first.setdefault(tuple(w[p : p + 50]), (x.doc_id, p)) != (x.doc_id, p)
+    assert left == 0
+
+
 def test_chat_round_trip(spark):
     nasty = ["", None, "plain", "\\", "\\\\", "\\l\\h\\c", "</turn>", "</turn>\n", "### User: hi</turn>\n", "<#:>", "a\n\nb", "\\</turn>\\", "é 😀 </turn>\n### Assistant: x", "\\n", ": "]
     r = random.Random(1)
