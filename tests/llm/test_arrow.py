@@ -183,6 +183,17 @@ def test_html_templates(spark, monkeypatch):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_copies(spark):
+    """Copies of a page, and repeated rows, don't make its text template."""
+    page = lambda k, a="": f"<html><body {a}><div>Welcome to us</div><p>Story {k} here</p></body></html>"
+    rows = [(1, "http://one.example", page(1))] * 3 + [(k, "http://two.example", page(2, f"data-n='{k}'")) for k in range(2, 7)]
+    rows += [(k, "http://h.example", page(k)) for k in range(10, 14)] + [(k, "http://h.example", page(30)) for k in range(30, 80)]
+    got = [(r.page_id, r.text) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    whole = lambda k: f"Welcome to us Story {k} here"
+    want = [(1, whole(1))] * 3 + [(k, whole(2)) for k in range(2, 7)] + [(k, f"Story {k} here") for k in range(10, 14)] + [(k, "Story 30 here") for k in range(30, 80)]
+    assert sorted(got) == sorted(want)
+
+
 def test_html_query(spark):
     """Against a plain reading of the one layout that the test pages have."""
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
