@@ -194,6 +194,20 @@ def test_html_copies(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_html_template_in_articles(spark, monkeypatch):
+    """Text that a host's articles share is template if its class nests; text whose place varies is not."""
+    share = "<div><p>Tell your friends</p></div>"
+    page = lambda k: f"<html><body><article><h1>Head {k}</h1>{share}<p>Story {k}</p><p>Read our letter</p></article></body></html>"
+    moved = lambda k: "<html><body><article>" + "".join([f"<p>Story {k}</p>", "<i>One</i>", "<b>Two</b>"][:: 1 if k % 2 else -1]) + "</article></body></html>"
+    rows = [(k, "http://h.example", page(k)) for k in range(6)] + [(k, "http://m.example", moved(k)) for k in range(10, 16)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (html_extract.BROADCAST_TOKENS, -1):
+        monkeypatch.setattr(html_extract, "BROADCAST_TOKENS", limit)
+        got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+        assert all(got[k] == f"Head {k} Story {k}" for k in range(6))
+        assert got[10] == "TwoOne Story 10" and got[11] == "Story 11 OneTwo"
+
+
 def test_html_query(spark):
     """Against a plain reading of the one layout that the test pages have."""
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
