@@ -169,6 +169,17 @@ def test_html_page():
     assert html_extract.host_of("https://A.b/x") == "a.b" and html_extract.host_of(None) == html_extract.host_of("http://[") == ""
 
 
+def test_html_words_inside_articles():
+    """Inside an article only exact classes of adverts, notices and comments drop an element."""
+    text = lambda source: html_extract.Page(source).main_text(frozenset())
+    for kept in ("<section id='discussion'>a</section>", "<h2 id='search'>a</h2>", "<div class='related-work'>a</div>", "<p class='alert'>a</p>", "<p data-id='menu'>a</p>", "<p id='ad'>a</p>"):
+        assert text(f"<article>{kept}<p>b</p></article>") == "a b"
+    assert text("<main class='no-comments'>a</main>") == text("<article class='post has-comments'>a</article>") == "a"
+    for gone in ("<p class='ad'>a</p>", "<div class='x comments'>a</div>", "<article class='comment'>a</article>", "<nav>a</nav>"):
+        assert text(f"<article>{gone}<p>b</p></article>") == "b"
+    assert text("<div data-id='menu'>a</div><div id='menu'>b</div>") == "a"
+
+
 def test_html_templates(spark, monkeypatch):
     """Pages without an article: what all pages of a host share, twice over, is template."""
     page = lambda k: f"<html><body><div>Welcome to us</div><div><p>Story {k} here</p></div><p>All rights reserved</p></body></html>"
