@@ -57,6 +57,20 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")))
 
 
+def aligned(replica: DataFrame, records: DataFrame) -> DataFrame:
+    """A replica's records at the offsets that records with their archive and id have in the first copy.
+
+    Damage that changes a record's length, or a lost record, moves all that stand behind it; these are no differences.
+    Records that repeat an id are taken in order. One that the first copy lacks stands at minus its offset, less one.
+    """
+    nth = F.row_number().over(Window.partitionBy("archive", "id").orderBy("offset"))
+    places = records.select(F.col("archive").alias("archive_"), F.col("id").alias("id_"), nth.alias("nth_"), F.col("offset").alias("offset_"))
+    rows = replica.withColumn("nth", nth)
+    same = F.col("archive").eqNullSafe(F.col("archive_")) & F.col("id").eqNullSafe(F.col("id_")) & (F.col("nth") == F.col("nth_"))
+    offset = F.coalesce("offset_", -1 - F.col("offset")).alias("offset")
+    return rows.join(places, same, "left").select("archive", "id", "length", "sha256", offset)
+
+
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.DOTALL)
 _FIELD = re.compile(rb"^([^:\r\n]+):[ \t]*([^\r\n]*)", re.MULTILINE)
 

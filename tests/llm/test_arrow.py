@@ -250,6 +250,24 @@ def test_warc_audit(spark, monkeypatch):
     assert warc_audit.audit(a, a.limit(0)).count() == 300
 
 
+def test_warc_replica(spark):
+    """A replica with changed lengths and lost records, of its own layout: only these records are reported."""
+    rows = [(i, f"http://a/{i}", f"<p>{i}</p>" if i % 5 else None) for i in range(700)] + [(20, "http://a/20", "<p>20 again</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    records = warc_audit.archive_pages(pages)
+    replica = warc_audit.archive_pages(queries_web.damaged_pages(pages))
+    old, new = ({(r.id, r.sha256): r for r in x.collect()} for x in (records, replica))
+    assert {new[k].length - old[k].length for k in old.keys() & new.keys()} == {0} and any(new[k].offset != old[k].offset for k in old.keys() & new.keys())
+    lengths = {r.id: r.length for r in new.values()}
+    assert len({(lengths[r.id] > r.length) - (lengths[r.id] < r.length) for r in old.values() if r.id % 97 == 13}) == 3
+    at = {(r.archive, r.offset): r.id for r in old.values()}
+    got = [(at[r.archive, r.offset], r.status) for r in warc_audit.audit(records, warc_audit.aligned(replica, records)).collect()]
+    want = [(i, "missing") for i in range(700) if i % 211 == 7] + [(i, "changed") for i in range(700) if i % 97 == 13 and i % 211 != 7]
+    assert sorted(got) == sorted(want)
+    extra = warc_audit.audit(records.where("id != 3"), warc_audit.aligned(records, records.where("id != 3"))).collect()
+    assert [r.status for r in extra] == ["extra"]
+
+
 def test_warc_files(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "<p>é</p>"), (2, None, None)], "page_id long, url string, html string")
     text = "".join(r[0] for r in pages.select(warc_audit.warc_record(*map(pages.__getitem__, ("url", "html", "page_id")))).collect())
