@@ -3,7 +3,7 @@
 Counts of lower-cased bigrams and trigrams are gathered for each language on a bounded sample of the
 training rows, at most about ``SAMPLE`` for each language, drawn by a hash of the id. The table of
 log-probabilities (languages x ``BUCKETS`` floats) is broadcast and every text is scored whole, in
-Arrow batches: one gather and one segmented sum.
+Arrow batches: one gather and one segmented sum for each ``CLASSES`` languages.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; with no training rows
 everything is ``und``; null languages do not train; ties go to the language that sorts first; repeated
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from automill.llm import kernels
 
 BUCKETS = 1 << 15
-#: Training rows of a language at most, about; and languages at most, the most frequent ones.
+#: Training rows of a language at most, about; and languages that are counted or scored at a time.
 SAMPLE, CLASSES = 4000, 256
 ALPHA = 0.5
 UNKNOWN = "und"
@@ -79,13 +79,18 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _count(classes: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {c: k for k, c in enumerate(classes)}
-        counts = np.zeros(len(classes) * BUCKETS, np.int64)
+        dense = len(classes) <= CLASSES  # the counts of more languages are summed up by Spark
+        counts = np.zeros(len(classes) * BUCKETS if dense else 0, np.int64)
         for batch in batches:
             owner = np.array([index.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
             for i, data, offsets in kernels.slices(batch.column(0)):
                 for bucket, of in zip(*ngrams(data, offsets)[:2]):
                     c = owner[i + of]
-                    counts += np.bincount((c * BUCKETS + bucket)[c >= 0], minlength=len(counts))
+                    places = (c * BUCKETS + bucket)[c >= 0]
+                    if dense:
+                        counts += np.bincount(places, minlength=len(counts))
+                    else:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(places, return_counts=True)], ["at", "n"])
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
 
@@ -95,7 +100,7 @@ def _count(classes: list[str]):
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-priors and log-probabilities (languages x buckets)."""
     labelled = rows.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = labelled.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(CLASSES).collect()
+    sizes = labelled.groupBy(label_col).count().collect()
     sizes = {r[0]: r[1] for r in sorted(sizes)}
     classes = list(sizes)
     if not classes:
@@ -115,11 +120,12 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 def predict(rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred and score (the posterior probability of the predicted language)."""
     classes, prior, logp = model
-    shared = rows.sparkSession.sparkContext.broadcast((classes, prior, np.ascontiguousarray(logp.T, np.float32)))
+    tables = [np.ascontiguousarray(logp[k : k + CLASSES].T, np.float32) for k in range(0, len(classes), CLASSES)]
+    shared = rows.sparkSession.sparkContext.broadcast((classes, prior, tables))
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, first, table = shared.value
+        names, first, tables = shared.value
         for batch in batches:
             langs, scores = [], []
             for _, data, offsets in kernels.slices(batch.column(1), 1_000_000):
@@ -129,7 +135,8 @@ def predict(rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id
                 for bucket, of in ((b2, o2), (b3, o3)) if names else ():
                     if len(of):
                         starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-                        total[of[starts]] += np.add.reduceat(table[bucket], starts, axis=0, dtype=np.float64)
+                        for k, table in enumerate(tables):
+                            total[of[starts], k * CLASSES : (k + 1) * CLASSES] += np.add.reduceat(table[bucket], starts, axis=0, dtype=np.float64)
                 best = total.argmax(axis=1)
                 post = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 sure = letters & bool(names)

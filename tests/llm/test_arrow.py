@@ -123,6 +123,19 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in untrained.collect()} == {"und"}
 
 
+def test_many_languages(spark, monkeypatch):
+    """Languages beyond one block are trained and scored like the others."""
+    rows = [(k, " ".join([chr(0x4E00 + 3 * k) * 2, chr(0x4E01 + 3 * k)] * 5), f"l{k:03}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model[0] == [x[2] for x in rows]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, model).collect()}
+    assert all(got[k][0] == lang for k, _, lang in rows)
+    monkeypatch.setattr(langid, "CLASSES", 1000)  # one block
+    whole = langid.train(df)
+    assert np.array_equal(whole[2], model[2]) and {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, whole).collect()} == got
+
+
 def test_ngrams_stay_in_their_text():
     data, offsets = np.frombuffer("abcdé".encode(), np.uint8), np.array([0, 2, 2, 4, 6])
     (b2, b3), (o2, o3), letters = langid.ngrams(data, offsets)
