@@ -28,7 +28,7 @@ def exact_dedup(
 ) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept and text_sha256.
 
-    ``text_sha256`` is null for rows that no other row resembles, unless ``digest_all`` asks for it.
+    ``text_sha256`` is null for rows without an equal one, unless ``digest_all`` asks for it.
     When more groups survive than may be broadcast, every row counts as surviving: more hashing, the
     same result.
     """
@@ -62,5 +62,5 @@ def exact_dedup(
         keep_id.alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.col("id").eqNullSafe(keep_id).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+        (F.col("sha") if digest_all else F.when(F.col("group_size").isNotNull(), F.col("sha"))).alias("text_sha256"),
     )

@@ -41,6 +41,15 @@ def test_exact_dedup_edges(spark, monkeypatch):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
+def test_exact_dedup_digests_either_way(spark, monkeypatch):
+    """Without digest_all, the digests don't depend on how many groups survive."""
+    rows = [(1, "Ab", "s"), (2, "aB", "s"), (3, "alone", "s"), (4, "x" * 300 + "a", "s"), (5, "x" * 300 + "b", "s")]
+    for limit in (exact_dedup.BROADCAST_GROUPS, -1):
+        monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", limit)
+        out = {r.doc_id: r.text_sha256 for r in exact_dedup.exact_dedup(docs(spark, rows)).collect()}
+        assert out == {1: hashlib.sha256(b"ab").hexdigest(), 2: hashlib.sha256(b"ab").hexdigest(), 3: None, 4: None, 5: None}
+
+
 def test_line_dedup_random(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK", 5)  # several blocks in a text
     r = random.Random(3)
