@@ -1,267 +1,202 @@
-"""Line deduplication by winnowing over line hashes, then over words.
-
-A *line* is a piece of text up to a newline or to the space after a full stop or question mark, so a passage that
-was pasted behind other text on one line is found too. A *window* is the shortest run of lines, from a
-given line onwards or backwards, that has ``min_words`` words. Line hashes order longer lines first.
-Which line of a window is least depends on the window's content alone, so two texts that share whole lines
-with ``min_words`` words share a forward window and its minimum: the minima are guaranteed fingerprints.
-Fingerprints that occur once rule their windows out, and the backward windows that start with those.
-The other windows are compared by content; each one that has an earlier occurrence, by id and position,
-is a later repeat. Forward and backward windows together reach both ends of every repeated run, which
-is how a match extends both ways. The lines of later repeats go.
-
-A run that starts or ends inside a line loses that line there, so texts are winnowed once more by words, but for
-windows that go with their lines anyhow. A word window has ``run_words`` words, from any word on. Its anchor is the least word of its first ones, its
-fingerprint the ``GRAM`` words from the anchor on, so equal windows have equal fingerprints. Texts that have
-a fingerprint which occurs again are compared by all their windows with such fingerprints, at every word,
-so a match reaches both ends of a run to the word. The words of windows that occur earlier go, unless
-the earlier one is in the same text and overlaps. Words are what white space separates.
-
-Very long texts are cut into blocks of ``BLOCK`` lines, or ``WORDS`` words, with overlapping margins, so the
-work on one row is bounded. No pairs of documents are made: an occurrence is compared with the first one only.
-
-Edge cases: null text stays null, empty text stays empty; of repeated rows (same id and text) none is
-later than the other, so they fare alike; with equal ids the text's hash decides which is earlier; null
-ids come first; an empty table gives an empty result; other columns pass through.
+"""Line deduplication by winnowing over the hashes of rolling lines.
+
+Passages start and end anywhere in a text, so its lines are rolling ones: every ``GRAM`` consecutive words
+are a line, whatever the text's own line breaks. A *window* is ``run_words`` consecutive words, that is
+``run_words - GRAM + 1`` lines. Its minimum is the line whose first word has the least hash; which one that is
+depends on the window's words alone, so equal windows have equal minima: these are guaranteed fingerprints.
+Over a text the minimum moves only now and then, and a mark is made where it does.
+
+1. Texts that are equal as a whole are found by their digests first. The first of them, by id, stands for all,
+   and the later ones are later repeats as a whole.
+2. Marks are counted by fingerprint. Those that occur at one place only rule their windows out.
+3. The places of the others are joined with their texts. From a mark, the windows that hold its line are
+   looked at one by one, to both sides, and compared by content (128 bits) over all texts; every one with an
+   earlier occurrence, by id and position, is a later repeat. This is what extending matches both ways gives:
+   a maximal repeated run of n >= run_words words is the union of its n - run_words + 1 windows, each of which
+   has a mark in both places (the minimum of equal windows is equal), so all of them are compared, from the
+   run's first word to its last; and a window outside of all repeated runs has no earlier occurrence.
+4. The words of later repeats go, with the white space behind them. Words are what ASCII white space separates.
+
+So a word goes exactly if it stands in a run of ``run_words`` words which occurs earlier, in an earlier text or
+further up in its own, where the first occurrence must not overlap it.
+
+Texts are cut into blocks of ``WORDS`` words with margins, so the work on one row is bounded. No pairs of
+documents are made: occurrences are compared with the first one only. Digests and marks are summed up on the
+map side before they are exchanged, and the joins' keys are hashed once more, so that Spark can split a passage
+that a third of all texts have.
+
+Edge cases: null text stays null, empty text and texts of fewer than ``run_words`` words stay as they are unless
+they repeat themselves; of repeated rows (same id and text) none is later than the other, so they fare alike;
+with equal ids the text's hash decides which is earlier; null ids come first; an empty table gives an empty
+result; other columns pass through, whatever their names, but for ``__lines_gone``, which is replaced.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from automill.llm.scratch import drop, keep
 
 #: Words from which on a repeated run goes.
 MIN_WORDS = 30
-#: Lines of one row of the narrow table, and words of one row of the table of words.
-BLOCK, WORDS = 512, 4096
-#: Words under a word window's fingerprint.
-GRAM = 10
-#: Texts with repeated fingerprints whose keys are broadcast at most; 16 bytes each.
+#: Words of a rolling line.
+GRAM = 8
+#: Windows that start in one row of the table of words.
+WORDS = 4096
+#: Bits of a window's place in its block.
+_BITS = 13
+#: Texts with repeated fingerprints, or groups of equal texts, whose keys are broadcast at most; 16 and 40 bytes each.
 BROADCAST_TEXTS = 200_000
-#: Where a text is cut: behind a newline, or behind the space that follows a full stop or question mark.
-CUT = r"(?<=\n|[.?] )"
-
-
-#: Stands for a cut while the cuts are made by plain replacement, several times as fast as the pattern.
-_MARK = "\x1e"
-
-
-def lines_of(text: Column, bare: bool = False) -> Column:
-    """The pieces of a text; joined, they are the text. bare: without the white space at which they were cut."""
-    marked = text
-    for end in ("\n", ". ", "? "):
-        marked = F.replace(marked, F.lit(end), F.lit((end[:-1] if bare else end) + _MARK))
-    cut = F.split(text, CUT, -1)
-    if bare:
-        cut = F.transform(cut, lambda u: F.regexp_replace(u, r"(?<=[.?]) $|\n$", ""))
-    return F.when(F.contains(text, F.lit(_MARK)), cut).otherwise(F.split(marked, _MARK, -1))
-
-
-def _reach(words: Column, i: Column, min_words: int, step: int) -> Column:
-    """How many lines it takes from place i on, or back from it, until there are min_words words; null if they don't suffice.
-
-    words is the number of words before that place.
-    """
-    chain = F
-    for j in range(1, min_words + 1):
-        there = F.get("c", i + step * j)
-        chain = chain.when(there >= words + min_words if step > 0 else there <= words - min_words, j)
-    return chain.otherwise(F.lit(None).cast("int"))
-
-
-def _narrow(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """id, th, and by block: n lines of its own from index lo on, and, with margins of min_words lines, arrays.
-
-    h has a line's hash, c the number of words before it and, at the end, of all; kf the number of lines of
-    the window that starts at it, null where there are too few words. Lines without words are left out:
-    p has the indices of the others, or is null if there are none; first is the index of the first one then.
-    """
-    margin = min_words
-
-    def key(t: Column) -> Column:
-        first = F.lit(63) - F.least(F.shiftright(F.octet_length(t), 3), F.lit(63))
-        return F.shiftleft(first.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(t), 7))
-
-    def add_words(acc: Column, t: Column) -> Column:
-        words = F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "))) + 1
-        return F.array_append(acc, (F.element_at(acc, -1) + words).cast("int"))
-
-    pieces = F.transform(lines_of(F.col(text_col), bare=True), lambda u: F.trim(u))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), pieces.alias("t0"))
-    rows = rows.select("id", "th", "t0", F.filter("t0", lambda t: t != "").alias("t"))
-    places = F.filter(F.transform("t0", lambda t, i: F.when(t != "", i.cast("int"))), lambda i: i.isNotNull())
-    blocks = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.floor((F.size("t") - 1) / BLOCK).cast("int")))
-    rows = rows.select("id", "th", "t", F.when(F.size("t") < F.size("t0"), places).alias("p"), F.explode(blocks).alias("block"))
-    first = F.greatest(F.col("block") * BLOCK - margin, F.lit(0))
-    lo = F.col("block") * BLOCK - first
-    rows = rows.select(
-        "id", "th", "block", lo.alias("lo"), F.least(F.lit(BLOCK), F.size("t") - F.col("block") * BLOCK).alias("n"), first.alias("first"),
-        F.slice("p", first + 1, BLOCK + 2 * margin).alias("p"), F.slice("t", first + 1, BLOCK + 2 * margin).alias("t"),
-    )
-    rows = rows.select(
-        "id", "th", "block", "lo", "n", "first", "p", F.transform("t", key).alias("h"), F.aggregate("t", F.array(F.lit(0)), add_words).alias("c")
-    )
-    return rows.withColumn("kf", F.transform("c", lambda x, i: _reach(x, i, min_words, 1)))
-
-
-def _hashes(s: Column | str, k: Column | str) -> Column:
-    """The line hashes of a window."""
-    return F.slice("h", (F.col(s) if isinstance(s, str) else s) + 1, k)
-
-
-def _by_line(narrow: DataFrame, *more: str) -> DataFrame:
-    """A row for each line i of a block, with the block's arrays at hand: they are read in place, not copied."""
-    own = F.explode(F.sequence(F.col("lo"), F.col("lo") + F.col("n") - 1)).alias("i")
-    return narrow.select("id", "th", "block", "lo", "first", "p", "h", "kf", *more, own)
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, th (hash of the text) and gone: the indices of the lines that repeat an earlier run."""
-    narrow = keep(_narrow(docs, id_col, text_col, min_words), "line-hashes")
-    rows = _by_line(narrow).withColumn("k", F.get("kf", F.col("i"))).withColumn("k_", F.get("kf", F.col("i") - 1))
-    rows = rows.where("k is not null").withColumn("f", F.array_min(_hashes("i", "k")))
-    at = F.col("i") + F.array_position(_hashes("i", "k"), F.col("f"))
-    before = F.when((F.col("i") > F.col("lo")) & F.col("k_").isNotNull(), F.array_min(_hashes(F.col("i") - 1, "k_")))
-    rows = rows.withColumn("m", at).withColumn("f_", before)
-    # Minima move forward only: a window adds none if the window before it, in the same block, has it at the same place.
-    same_place = F.col("f_").eqNullSafe(F.col("f")) & (F.col("i") - 1 + F.array_position(_hashes(F.col("i") - 1, "k_"), F.col("f_")) == F.col("m"))
-    minima = keep(rows.where(~F.coalesce(same_place, F.lit(False))).select("id", "th", "block", "f"), "line-minima")
-    again = minima.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("f").alias("f_"), F.xxhash64("f").alias("key_"))
-    found = minima.distinct().join(again, (F.xxhash64("f") == F.col("key_")) & (F.col("f") == F.col("f_")), "left_semi")
-    found = keep(found.groupBy("id", "th", "block").agg(F.collect_set("f").alias("fs")), "line-found")
-    same = lambda a, b, *more: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in ("id", "th", *more)])
-    shared = narrow.join(found, same(narrow, found, "block")).select(narrow["*"], "fs")
-    back = F.transform("c", lambda x, i: _reach(x, i, min_words, -1))
-    rows = _by_line(shared.withColumn("kb", back), "fs", "kb").withColumn("k", F.get("kf", F.col("i"))).withColumn("ke", F.get("kb", F.col("i") + 1))
-    rows = rows.withColumn("sb", F.col("i") + 1 - F.col("ke")).withColumn("ks", F.get("kf", F.col("sb")))
-    known = lambda s, k: F.array_contains("fs", F.array_min(_hashes(s, k)))
-    window = lambda s, k: F.struct(F.col(s).alias("s"), F.col(k).alias("k"))
-    ahead = F.when(F.col("k").isNotNull() & known("i", "k"), window("i", "k"))
-    # A repeated backward window holds the forward window of its first line, which may be a block's margin.
-    # Where it is that window, it is there already.
-    back = F.when((F.col("sb") < F.col("lo")) | ((F.col("ks") < F.col("ke")) & known("sb", "ks")), window("sb", "ke"))
-    spans = rows.select("id", "th", "first", "p", "h", F.explode(F.array(ahead, back)).alias("x")).where("x is not null")
-    spans = spans.select("id", "th", "first", "p", F.col("x.s").alias("s"), F.col("x.k").alias("k"), _hashes(F.col("x.s"), F.col("x.k")).alias("g"))
-    index = lambda i: F.coalesce(F.get("p", i), F.col("first") + i)
-    ends = index(F.col("s")).alias("a"), index(F.col("s") + F.col("k") - 1).alias("b")
-    spans = keep(spans.select("id", "th", *ends, F.xxhash64("g").alias("k1"), F.hash("g").alias("k2")), "line-windows")
-    drop(minima)
-    first = spans.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "a")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    first = first.select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), F.xxhash64("k1", "k2").alias("key_"), "first")
-    later = spans.join(
-        first, (F.xxhash64("k1", "k2") == F.col("key_")) & (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_"))
-    ).where(~F.struct("id", "th", "a").eqNullSafe(F.col("first")))
-    gone = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("a", "b")), lambda x: F.sequence(x["a"], x["b"]))))
-    gone = keep(later.groupBy("id", "th").agg(gone.alias("gone")), "line-gone")
-    drop(narrow, found, spans)
-    return gone
+
+_SPACE, _WORD = r"\t-\r ", r"^\t-\r "
+
+
+def _once(value: Column, f) -> Column:
+    """f of a value that is evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _bare_words(text: Column) -> Column:
+def bare_words(text: Column) -> Column:
     """The words of a text, without the white space between them."""
     for space in "\t\n\x0b\x0c\r":
-        text = F.replace(text, F.lit(space), F.lit(" "))
+        text = F.when(F.contains(text, F.lit(space)), F.replace(text, F.lit(space), F.lit(" "))).otherwise(text)
     return F.array_remove(F.split(text, " ", -1), "")
 
 
-def _word_blocks(docs: DataFrame, id_col: str, text_col: str, run_words: int) -> DataFrame:
-    """id, th, block, h and g, of texts with enough words: hashes of the block's words and of the margin behind them.
+def _hashes(text: Column) -> Column:
+    return F.transform(bare_words(text), lambda w: F.xxhash64(w))
 
-    g has a byte 1 for each of these words that stands in a line which goes, 0 for another; null if no line goes.
-    """
-    hashes = F.transform(_bare_words(F.col(text_col)), lambda w: F.shiftrightunsigned(F.xxhash64(w), 1))
-    rows = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), hashes.alias("h"), F.col("__flags").cast("binary").alias("g")
-    )
-    last = F.when(F.size("h") >= run_words, F.floor((F.size("h") - run_words) / WORDS).cast("int"))
-    rows = rows.select("id", "th", "h", "g", F.explode(F.sequence(F.lit(0), last)).alias("block"))
-    at, n = F.col("block") * WORDS + 1, F.lit(WORDS + run_words - 1)
-    return rows.select("id", "th", "block", F.slice("h", at, n).alias("h"), F.substr("g", at, n).alias("g"))
 
+def _part(h: Column, at: Column | int, n: int) -> Column:
+    """n words from place at (from 0)."""
+    return F.slice(h, at + 1, n)
 
-def _by_word(blocks: DataFrame, run_words: int, *more: str) -> DataFrame:
-    """A row for each window of a block, which starts at its word i; none for those of which every word goes with its line."""
-    rows = blocks.select("id", "th", "block", "h", "g", *more, F.explode(F.sequence(F.lit(0), F.size("h") - run_words)).alias("i"))
-    return rows.where(F.col("g").isNull() | (F.substr("g", F.col("i") + 1, F.lit(run_words)) != F.lit(bytearray(b"1" * run_words))))
 
+def first_of_equal(rows: DataFrame) -> DataFrame:
+    """digest and first id (``null_first`` if that is null) of texts that stand under more than one id; rows have id and text."""
+    groups = rows.where("text is not null").groupBy(F.md5("text").alias("digest"))
+    groups = groups.agg(F.min("id").alias("first"), F.max("id").alias("last"), F.bool_or(F.col("id").isNull()).alias("null_first"))
+    return groups.where("first < last or (null_first and first is not null)").drop("last")
 
-def _repeated_words(docs: DataFrame, id_col: str, text_col: str, run_words: int) -> DataFrame:
-    """The rows of a table of ``keep`` with __run_gone: the indices of the words in later repeats, in order, or null."""
-    gram = min(GRAM, run_words)
+
+def _marked(rows: DataFrame, run_words: int, gram: int) -> DataFrame:
+    """id, th, block, f, a and p: the fingerprint f is the minimum of the windows of the block that start at a, its line at p."""
     ahead = run_words - gram + 1
-    # A window has another anchor than the one before it if the word that left it, or the one that came, is the least.
-    # The window before it may be left out where its words go with their lines; one more mark does no harm.
-    moved = F.lit(True)
-    if ahead > 1:
-        between = F.array_min(_hashes("i", F.lit(ahead - 1)))
-        skipped = F.col("g").isNotNull() & (F.substr("g", F.col("i"), F.lit(run_words)) == F.lit(bytearray(b"1" * run_words)))
-        moved = (F.col("i") == 0) | (between >= F.least(F.get("h", F.col("i") - 1), F.get("h", F.col("i") + ahead - 1) + 1)) | F.coalesce(skipped, F.lit(False))
-    front = _hashes("i", F.lit(ahead))
-    mark = F.xxhash64(F.slice("h", F.col("i") + F.array_position(front, F.array_min(front)).cast("int"), gram))
-    minima = keep(_by_word(_word_blocks(docs, id_col, text_col, run_words), run_words).where(moved).select("id", "th", "block", mark.alias("f")), "run-minima")
-    again = minima.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("f").alias("f_"), F.xxhash64("f").alias("key_"))
-    found = minima.join(again, (F.xxhash64("f") == F.col("key_")) & (F.col("f") == F.col("f_")), "left_semi")
-    found = keep(found.groupBy("id", "th", "block").agg(F.collect_set("f").alias("fs")), "run-found")
-    drop(minima)
-    texts = keep(found.select(F.col("id").alias("__run_id"), F.col("th").alias("__run_th")).distinct(), "run-texts")
-    few = texts.count() <= BROADCAST_TEXTS
-    on = lambda a, b: a[id_col].eqNullSafe(b["__run_id"]) & (F.xxhash64(a[text_col]) == b["__run_th"])
-    keys = F.broadcast(texts) if few else texts
-    touched, others = (docs.join(keys, on(docs, keys), how) for how in ("left_semi", "left_anti"))
-    blocks = _word_blocks(touched, id_col, text_col, run_words)
-    same = blocks["id"].eqNullSafe(found["id"]) & (blocks["th"] == found["th"]) & (blocks["block"] == found["block"])
-    rows = _by_word(blocks.join(found, same).select(blocks["*"], "fs"), run_words, "fs").where(F.array_contains("fs", mark))
-    window = _hashes("i", F.lit(run_words))
-    start = (F.col("block") * WORDS + F.col("i")).alias("a")
-    spans = keep(rows.select("id", "th", start, F.xxhash64(window).alias("k1"), F.hash(window).alias("k2")), "run-windows")
-    first = spans.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "a")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    first = first.select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), F.xxhash64("k1", "k2").alias("key_"), "first")
-    later = spans.join(first, (F.xxhash64("k1", "k2") == F.col("key_")) & (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")))
-    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
-    later = later.where(~own | (F.col("a") >= F.col("first.a") + run_words))
-    later = later.groupBy("id", "th").agg(F.sort_array(F.collect_set("a")).alias("as"))
-    until = lambda a, i: F.least(F.get("as", i + 1) - 1, a + run_words - 1)
-    gone = F.flatten(F.transform("as", lambda a, i: F.sequence(a, until(a, i))))
-    later = keep(later.select(F.col("id").alias("__run_id"), F.col("th").alias("__run_th"), gone.alias("__run_gone")), "run-gone")
-    drop(spans, found)
-    rows = touched.join(later, on(touched, later), "left").select(*docs.columns, "__run_gone")
-    return others.withColumn("__run_gone", F.lit(None).cast("array<int>")).unionByName(rows)
-
-
-def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, run_words: int = MIN_WORDS
-) -> DataFrame:
-    """The documents without later repeated runs, with one more column: ``__lines_gone`` (lines that went, plus runs of words that are more than these)."""
-    gone = repeated_lines(docs, id_col, text_col, min_words=min_words).select(
-        F.col("id").alias("__gone_id"), F.col("th").alias("__gone_th"), F.col("gone").alias("__gone")
+
+    def blocks(h: Column) -> Column:
+        last = F.floor((F.size(h) - run_words) / WORDS).cast("int")
+        cut = lambda b: F.struct(b.alias("block"), F.slice(h, b * WORDS + 1, WORDS + run_words - 1).alias("h"))
+        return F.when(F.size(h) >= run_words, F.transform(F.sequence(F.lit(0), last), cut))
+
+    rows = rows.select("id", F.xxhash64("text").alias("th"), F.inline(_once(_hashes(F.col("text")), blocks)))
+    rows = rows.select("id", "th", "block", "h", F.explode(F.sequence(F.lit(0), F.size("h") - run_words)).alias("i"))
+    h, i = F.col("h"), F.col("i")
+    # The minimum has moved if the word that left the window, or the one that came, is the least of them all.
+    both = F.array_min(_part(h, F.greatest(i - 1, F.lit(0)), ahead + 1))
+    rows = rows.where((i == 0) | (both == F.least(F.get(h, i - 1), F.get(h, i + ahead - 1))))
+    front = _part(h, i, ahead)
+    place = (i + F.array_position(front, F.array_min(front)) - 1).cast("int")
+    return rows.select("id", "th", "block", F.xxhash64(_part(h, place, gram)).alias("f"), i.alias("a"), place.alias("p"))
+
+
+def _repeated(marks: DataFrame) -> DataFrame:
+    """Marks by block (id, th, block, starts): the windows that hold a line which is the minimum at another place too."""
+    place = F.xxhash64("id", "th", "block", "a")
+    again = marks.groupBy("f").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
+    again = again.select(F.col("f").alias("f_"), F.xxhash64("f").alias("key_"))
+    found = marks.join(again, (F.xxhash64("f") == F.col("key_")) & (F.col("f") == F.col("f_")), "left_semi")
+    found = found.groupBy("id", "th", "block").agg(F.collect_set(F.struct("a", "p")).alias("ranges"))
+    starts = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["a"], r["p"]))))
+    return found.select("id", "th", "block", starts.alias("starts"))
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """The blocks with uid, which grows with id, th and block, and with the uid of the block before it in its text."""
+    key = [F.col("id").asc_nulls_first(), F.col("th"), F.col("block")]
+    out = found.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("uid", F.monotonically_increasing_id())
+    text = Window.partitionBy("id", "th").orderBy("block")
+    return out.withColumn("before", F.when(F.lag("block").over(text) == F.col("block") - 1, F.lag("uid").over(text)))
+
+
+def _windows(texts: DataFrame, found: DataFrame, run_words: int) -> DataFrame:
+    """ord (uid and place) and the content hashes k1 and k2 of the blocks' windows; texts have id, th and text."""
+    by_text = found.groupBy("id", "th").agg(F.collect_list(F.struct("block", "uid", "starts")).alias("blocks"))
+    by_text = by_text.select(F.col("id").alias("id_"), F.col("th").alias("th_"), "blocks")
+    rows = texts.join(by_text, texts["id"].eqNullSafe(by_text["id_"]) & (texts["th"] == by_text["th_"])).select("text", "blocks")
+    cut = lambda h: F.transform(
+        "blocks", lambda b: F.struct(b["uid"].alias("uid"), b["starts"].alias("starts"), _part(h, b["block"] * WORDS, WORDS + run_words - 1).alias("h"))
     )
-    on = docs[id_col].eqNullSafe(gone["__gone_id"]) & (F.xxhash64(docs[text_col]) == gone["__gone_th"])
-    # The pieces are a lambda's variable, so they are cut once a text even where the optimiser repeats the expression.
-    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-    flag = lambda p, i: F.repeat(F.when(F.array_contains("__gone", i), "1").otherwise("0"), F.size(_bare_words(p)))
-    flags = F.when(F.col("__gone").isNotNull(), once(lines_of(F.col(text_col)), lambda pieces: F.array_join(F.transform(pieces, flag), "")))
-    rows = keep(docs.join(gone, on, "left").select(*docs.columns, "__gone", flags.alias("__flags")), "line-rest")
-    rows = _repeated_words(rows, id_col, text_col, run_words)
-
-    def rest(pieces: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("__gone"))
-        return F.array_join(F.transform(stay, lambda i: F.get(pieces, i)), "")
-
-    def rest_words(pieces: Column) -> Column:
-        # White space before the first word is a piece of its own.
-        blank = F.when(F.rlike(F.get(pieces, F.lit(0)), F.lit(r"^\s")), 1).otherwise(0)
-        flagged = F.transform(F.split("__flags", "", -1), lambda x, i: F.when(x == "1", i.cast("int")))
-        gone = F.array_union("__run_gone", F.coalesce(flagged, F.array().cast("array<int>")))
-        stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.transform(gone, lambda g: g + blank))
-        return F.array_join(F.transform(stay, lambda i: F.get(pieces, i)), "")
-
-    words = once(F.split(F.col(text_col), r"(?<=\s)(?=\S)", -1), rest_words)
-    lines = once(lines_of(F.col(text_col)), rest)
-    text = F.when(F.col("__run_gone").isNotNull(), words).when(F.col("__gone").isNotNull(), lines).otherwise(F.col(text_col))
-    runs = F.size(F.filter("__run_gone", lambda g, i: (i == 0) | (F.get("__run_gone", i - 1) != g - 1)))
-    count = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")) + F.when(F.col("__run_gone").isNull(), 0).otherwise(runs)
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], count.alias("__lines_gone"))
+    rows = rows.select(F.inline(_once(_hashes(F.col("text")), cut))).select("uid", "h", F.explode("starts").alias("i")).where(F.col("i") <= F.size("h") - run_words)
+    window = _part(F.col("h"), F.col("i"), run_words)
+    return rows.select(F.shiftleft("uid", _BITS).bitwiseOR(F.col("i").cast("long")).alias("ord"), F.xxhash64(window).alias("k1"), F.xxhash64(F.lit(1), window).alias("k2"))
+
+
+def _later(windows: DataFrame, found: DataFrame, run_words: int) -> DataFrame:
+    """id, th and gone: the places, in order, of the words in windows that occur earlier."""
+    first = windows.groupBy("k1", "k2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last")
+    first = first.select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), F.xxhash64("k1", "k2").alias("key_"), "first")
+    same = (F.xxhash64("k1", "k2") == F.col("key_")) & (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_"))
+    later = windows.join(first, same & (F.col("ord") > F.col("first")))
+    place = lambda x: x.bitwiseAND((1 << _BITS) - 1).cast("int")
+    found_at = F.struct(place(F.col("ord")).alias("i"), F.col("first"))
+    later = later.groupBy(F.shiftrightunsigned("ord", _BITS).alias("u")).agg(F.collect_set(found_at).alias("at"))
+    later = later.join(found.select("uid", "before", "id", "th", "block"), F.col("u") == F.col("uid"))
+
+    def apart(x: Column) -> Column:
+        """Whether the first occurrence does not overlap this one: it would lie in the same block of the text or in the one before."""
+        there, gap = F.shiftrightunsigned(x["first"], _BITS), x["i"] - place(x["first"])
+        return F.when(there == F.col("uid"), gap >= run_words).when(there == F.col("before"), gap + WORDS >= run_words).otherwise(True)
+
+    later = later.select("id", "th", F.transform(F.filter("at", apart), lambda x: F.col("block") * WORDS + x["i"]).alias("at")).where("size(at) > 0")
+    later = later.groupBy("id", "th").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("at"))
+    until = lambda a, i: F.least(F.coalesce(F.get("at", i + 1) - 1, a + run_words - 1), a + run_words - 1)
+    return later.select("id", "th", F.flatten(F.transform("at", lambda a, i: F.sequence(a, until(a, i)))).alias("gone"))
+
+
+def _rest(text: Column, gone: Column) -> Column:
+    """The text without the words at these places and the white space behind them."""
+    # White space before the first word is a piece of its own.
+    blank = F.when(F.rlike(text, F.lit(f"^[{_SPACE}]")), 1).otherwise(0)
+
+    def stay(pieces: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.transform(gone, lambda g: g + blank))
+        return F.array_join(F.transform(left, lambda i: F.get(pieces, i)), "")
+
+    return _once(F.split(text, f"(?<=[{_SPACE}])(?=[{_WORD}])", -1), stay)
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run_words: int = MIN_WORDS) -> DataFrame:
+    """The documents without later repeated runs, with one more column: ``__lines_gone``, the number of runs that went."""
+    gram = min(GRAM, run_words)
+    columns = [c for c in docs.columns if c != "__lines_gone"]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(c) for c in columns if c != text_col]).alias("rest"))
+    equal = keep(first_of_equal(rows.select("id", "text")), "line-equal")
+    keys = F.broadcast(equal) if equal.count() <= BROADCAST_TEXTS else equal
+    first = F.when(~F.col("null_first"), F.col("first"))
+    rows = rows.join(keys, F.md5("text") == keys["digest"], "left").withColumn("copy", F.col("digest").isNotNull() & ~F.col("id").eqNullSafe(first))
+    rows = rows.select("id", F.xxhash64("text").alias("th"), "text", "rest", "copy")
+    fresh = rows.where(~F.col("copy"))
+
+    marks = keep(_marked(fresh, run_words, gram), "line-marks")
+    found = keep(_repeated(marks), "line-found")
+    drop(marks)
+    blocks = keep(_numbered(found), "line-blocks")
+    drop(found)
+    texts = keep(blocks.select(F.col("id").alias("id_"), F.col("th").alias("th_")).distinct(), "line-texts")
+    keys = F.broadcast(texts) if texts.count() <= BROADCAST_TEXTS else texts
+    on = lambda a, b: a["id"].eqNullSafe(b["id_"]) & (a["th"] == b["th_"])
+    touched, others = fresh.join(keys, on(fresh, keys), "left_semi"), rows.join(keys, on(rows, keys) & ~rows["copy"], "left_anti")
+    windows = keep(_windows(touched.select("id", "th", "text"), blocks, run_words), "line-windows")
+    later = keep(_later(windows, blocks, run_words), "line-later").select(F.col("id").alias("id_"), F.col("th").alias("th_"), "gone")
+    drop(windows, blocks)
+
+    touched = touched.join(later, on(touched, later), "left").select("text", "rest", "gone")
+    runs = F.size(F.filter("gone", lambda g, i: (i == 0) | (F.get("gone", i - 1) != g - 1)))
+    cut = F.when(F.col("gone").isNotNull(), _rest(F.col("text"), F.col("gone"))).otherwise(F.col("text"))
+    touched = touched.select("rest", cut.alias("text"), F.when(F.col("gone").isNotNull(), runs).otherwise(0).alias("runs"))
+    whole = F.when(F.col("copy"), F.size(bare_words(F.col("text"))) >= run_words).otherwise(False)
+    bare = F.regexp_extract("text", f"^[{_SPACE}]*", 0)
+    others = others.select("rest", F.when(whole, bare).otherwise(F.col("text")).alias("text"), F.when(whole, 1).otherwise(0).alias("runs"))
+    out = others.unionByName(touched)
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in columns], F.col("runs").alias("__lines_gone"))

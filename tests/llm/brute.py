@@ -43,40 +43,16 @@ def near_components(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int,
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-
-
-def line_dedup(rows: list[tuple[int, str]], min_words: int) -> dict[int, str]:
-    """id -> text without the runs of at least min_words words that occur earlier."""
-    lines = {}
+def line_dedup(rows: list[tuple[int, str]], run_words: int) -> dict[int, str]:
+    """id -> text without the words, and the white space behind them, of runs of run_words words that occur earlier."""
+    first, out = {}, {}
     for i, t in sorted(rows):
-        pieces = [p for p in re.split(r"(?<=\n)|(?<=[.?] )", t)] if t else [""]
-        lines[i] = pieces
-    norm = lambda p: re.sub(r"(?<=[.?]) $|\n$", "", p).strip(" ")
-    count = lambda p: p.count(" ") + 1 if p else 0
-    kept = {i: [(k, norm(p), count(norm(p))) for k, p in enumerate(ps) if norm(p)] for i, ps in lines.items()}
-    first = {}
-    runs = []
-    for i, ls in kept.items():
-        n = len(ls)
-        for s in range(n):
-            words = 0
-            for e in range(s, n):
-                words += ls[e][2]
-                if words >= min_words:
-                    # every minimal run, from the left and from the right
-                    left = words - ls[e][2] < min_words
-                    right = words - ls[s][2] < min_words
-                    if left or right:
-                        runs.append((i, s, e, tuple(x[1] for x in ls[s : e + 1])))
-                    if not left:
-                        if words - ls[s][2] >= min_words:
-                            break
-    out = {}
-    gone = defaultdict(set)
-    for i, s, e, key in runs:
-        first.setdefault(key, (i, s))
-        if first[key] != (i, s):
-            gone[i].update(range(kept[i][s][0], kept[i][e][0] + 1))
-    for i, ps in lines.items():
-        out[i] = "".join(p for k, p in enumerate(ps) if k not in gone[i])
+        found = [(m.group(), m.start()) for m in WORD.finditer(t or "")]
+        words, ends = [w for w, _ in found], [a for _, a in found[1:]] + [len(t or "")]
+        gone = set()
+        for p in range(len(words) - run_words + 1):
+            doc, q = first.setdefault(tuple(words[p : p + run_words]), (i, p))
+            if doc != i or q + run_words <= p:
+                gone.update(range(p, p + run_words))
+        out[i] = t and t[: found[0][1] if found else len(t)] + "".join(t[found[p][1] : ends[p]] for p in range(len(words)) if p not in gone)
     return out

@@ -51,16 +51,31 @@ def test_exact_dedup_digests_either_way(spark, monkeypatch):
 
 
 def test_line_dedup_random(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BLOCK", 5)  # several blocks in a text
+    """Texts with runs of blanks, tabs, line ends and any punctuation, and repeats of any length, against brute force."""
+    monkeypatch.setattr(line_dedup, "WORDS", 64)  # several blocks in a text
     r = random.Random(3)
-    pool = [" ".join(r.choice("abcdefgh") for _ in range(r.choice([1, 3, 9]))) + r.choice([".", ".", ""]) for _ in range(25)]
+    space = lambda: r.choice([" ", " ", " ", "\n", "\n\n", "\t", "  \r\n", " " * 30, "\x0b"])
+    word = lambda: r.choice("abcdefghijklmnop") * r.choice([1, 1, 2]) + r.choice(["", "", "", "!", ". ", "?", "\u00a0", "\u00e9"])
+    pool = ["".join(word() + space() for _ in range(r.choice([1, 5, 11, 12, 13, 20, 90]))) for _ in range(25)]
     rows = []
-    for i in range(40):
-        parts = [r.choice(pool) for _ in range(r.choice([0, 3, 12, 40]))]
-        rows.append((i, "".join(p + r.choice([" ", "\n", "\n\n"]) for p in parts), "s"))
-    want = brute.line_dedup([(i, t) for i, t, _ in rows], 12)
-    got = {x.doc_id: x.text for x in line_dedup.line_dedup(docs(spark, rows), min_words=12).collect()}
-    assert got == want and sum(got[i] != t for i, t, _ in rows) > 5
+    for i in range(60):
+        parts = [r.choice(pool) if r.random() < 0.6 else word() + space() for _ in range(r.choice([0, 3, 12, 40]))]
+        rows.append((i, r.choice(["", " ", "\n\t"]) + "".join(parts), "s"))
+    rows += [(60, rows[7][1], "s"), (61, rows[8][1], "s"), (62, "la " * 200, "s"), (63, "one two three four five " * 40, "s")]
+    for size in (12, 5, 30):
+        want = brute.line_dedup([(i, t) for i, t, _ in rows], size)
+        got = {x.doc_id: x.text for x in line_dedup.line_dedup(docs(spark, rows), run_words=size).collect()}
+        assert got == want and sum(got[i] != t for i, t, _ in rows) > 5
+
+
+def test_line_dedup_names(spark):
+    """Columns with the names that are used inside pass through."""
+    passage = " ".join(f"w{i}" for i in range(40))
+    names = ["__gone", "id", "th", "text_", "rest", "gone", "copy", "digest", "first", "runs", "uid", "block", "__run_gone"]
+    df = spark.createDataFrame([(1, "a " + passage, *names), (2, "b " + passage, *names), (None, None, *names)], ["doc_id", "text", *names])
+    out = line_dedup.line_dedup(df).collect()
+    assert {x.doc_id: x.text for x in out} == {1: "a " + passage, 2: "b ", None: None}
+    assert all([x[n] for n in names] == names for x in out)
 
 
 def test_line_dedup_passage_and_edges(spark):
@@ -92,7 +107,7 @@ def test_line_dedup_inside_lines(spark, monkeypatch):
         assert all(out[i].text == rows[i][1] for i in (0, 2, 4, 5))
         assert out[1].text == f"{parts[1][0]} {parts[1][2]}" and out[3].text == f"{parts[3][0]} "
         assert out[6].text.split() == ["x"] * 30
-        assert {i: x["__lines_gone"] for i, x in out.items()} == {0: 0, 1: 1, 2: 0, 3: 5, 4: 0, 5: 0, 6: 1}
+        assert {i: x["__lines_gone"] for i, x in out.items()} == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 0, 6: 1}
     first, left = {}, 0
     for x in line_dedup.line_dedup(spark.read.parquet(f"{SF}/documents.parquet")).orderBy("doc_id").collect():
         w = (x.text or "").split()
@@ -101,6 +116,13 @@ def test_line_dedup_inside_lines(spark, monkeypatch):
     assert left == 0
 
 
+def test_line_dedup_documents(spark):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = brute.line_dedup(list(rows.items()), line_dedup.MIN_WORDS)
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    assert got == want and got != rows
+
+
 def test_chat_round_trip(spark):
     nasty = ["", None, "plain", "\\", "\\\\", "\\l\\h\\c", "</turn>", "</turn>\n", "### User: hi</turn>\n", "<#:>", "a\n\nb", "\\</turn>\\", "é 😀 </turn>\n### Assistant: x", "\\n", ": "]
     r = random.Random(1)
