@@ -59,8 +59,12 @@ def _once(value: Column, f) -> Column:
 
 def bare_words(text: Column) -> Column:
     """The words of a text, without the white space between them."""
+
+    def blank(space: Column):
+        return lambda t: F.when(F.contains(t, space), F.replace(t, space, F.lit(" "))).otherwise(t)
+
     for space in "\t\n\x0b\x0c\r":
-        text = F.when(F.contains(text, F.lit(space)), F.replace(text, F.lit(space), F.lit(" "))).otherwise(text)
+        text = _once(text, blank(F.lit(space)))
     return F.array_remove(F.split(text, " ", -1), "")
 
 
@@ -101,14 +105,12 @@ def _marked(rows: DataFrame, run_words: int, gram: int) -> DataFrame:
 
 
 def _repeated(marks: DataFrame) -> DataFrame:
-    """Marks by block (id, th, block, starts): the windows that hold a line which is the minimum at another place too."""
+    """Marks by block (id, th, block, ranges of a and p) whose fingerprint is there at another place too."""
     place = F.xxhash64("id", "th", "block", "a")
     again = marks.groupBy("f").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
     again = again.select(F.col("f").alias("f_"), F.xxhash64("f").alias("key_"))
     found = marks.join(again, (F.xxhash64("f") == F.col("key_")) & (F.col("f") == F.col("f_")), "left_semi")
-    found = found.groupBy("id", "th", "block").agg(F.collect_set(F.struct("a", "p")).alias("ranges"))
-    starts = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["a"], r["p"]))))
-    return found.select("id", "th", "block", starts.alias("starts"))
+    return found.groupBy("id", "th", "block").agg(F.collect_set(F.struct("a", "p")).alias("ranges"))
 
 
 def _numbered(found: DataFrame) -> DataFrame:
@@ -119,15 +121,17 @@ def _numbered(found: DataFrame) -> DataFrame:
     return out.withColumn("before", F.when(F.lag("block").over(text) == F.col("block") - 1, F.lag("uid").over(text)))
 
 
-def _windows(texts: DataFrame, found: DataFrame, run_words: int) -> DataFrame:
-    """ord (uid and place) and the content hashes k1 and k2 of the blocks' windows; texts have id, th and text."""
-    by_text = found.groupBy("id", "th").agg(F.collect_list(F.struct("block", "uid", "starts")).alias("blocks"))
+def _windows(texts: DataFrame, found: DataFrame, run_words: int, ahead: int) -> DataFrame:
+    """ord (uid and place) and the content hashes k1 and k2 of the windows of these marks; texts have id, th and text."""
+    by_text = found.groupBy("id", "th").agg(F.collect_list(F.struct("block", "uid", "ranges")).alias("blocks"))
     by_text = by_text.select(F.col("id").alias("id_"), F.col("th").alias("th_"), "blocks")
     rows = texts.join(by_text, texts["id"].eqNullSafe(by_text["id_"]) & (texts["th"] == by_text["th_"])).select("text", "blocks")
     cut = lambda h: F.transform(
-        "blocks", lambda b: F.struct(b["uid"].alias("uid"), b["starts"].alias("starts"), _part(h, b["block"] * WORDS, WORDS + run_words - 1).alias("h"))
+        "blocks", lambda b: F.struct(b["uid"].alias("uid"), b["ranges"].alias("ranges"), _part(h, b["block"] * WORDS, WORDS + run_words - 1).alias("h"))
     )
-    rows = rows.select(F.inline(_once(_hashes(F.col("text")), cut))).select("uid", "h", F.explode("starts").alias("i")).where(F.col("i") <= F.size("h") - run_words)
+    rows = rows.select(F.inline(_once(_hashes(F.col("text")), cut))).select("uid", "h", F.explode("ranges").alias("r"))
+    rows = rows.select("uid", "h", "r", F.explode(F.sequence("r.a", F.least(F.col("r.p"), F.size("h") - run_words))).alias("i"))
+    rows = rows.where(F.array_min(_part(F.col("h"), F.col("i"), ahead)) == F.get("h", F.col("r.p")))
     window = _part(F.col("h"), F.col("i"), run_words)
     return rows.select(F.shiftleft("uid", _BITS).bitwiseOR(F.col("i").cast("long")).alias("ord"), F.xxhash64(window).alias("k1"), F.xxhash64(F.lit(1), window).alias("k2"))
 
@@ -156,12 +160,13 @@ def _later(windows: DataFrame, found: DataFrame, run_words: int) -> DataFrame:
 
 def _rest(text: Column, gone: Column) -> Column:
     """The text without the words at these places and the white space behind them."""
-    # White space before the first word is a piece of its own.
-    blank = F.when(F.rlike(text, F.lit(f"^[{_SPACE}]")), 1).otherwise(0)
 
     def stay(pieces: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.transform(gone, lambda g: g + blank))
-        return F.array_join(F.transform(left, lambda i: F.get(pieces, i)), "")
+        # White space before the first word is a piece of its own.
+        blank = F.when(F.rlike(F.get(pieces, F.lit(0)), F.lit(f"^[{_SPACE}]")), 1).otherwise(0)
+        left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1 - blank), gone)
+        head = F.when(blank == 1, F.get(pieces, F.lit(0))).otherwise("")
+        return F.concat(head, _once(F.slice(pieces, blank + 1, F.size(pieces)), lambda p: F.array_join(F.transform(left, lambda i: F.get(p, i)), "")))
 
     return _once(F.split(text, f"(?<=[{_SPACE}])(?=[{_WORD}])", -1), stay)
 
@@ -187,7 +192,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = F.broadcast(texts) if texts.count() <= BROADCAST_TEXTS else texts
     on = lambda a, b: a["id"].eqNullSafe(b["id_"]) & (a["th"] == b["th_"])
     touched, others = fresh.join(keys, on(fresh, keys), "left_semi"), rows.join(keys, on(rows, keys) & ~rows["copy"], "left_anti")
-    windows = keep(_windows(touched.select("id", "th", "text"), blocks, run_words), "line-windows")
+    windows = keep(_windows(touched.select("id", "th", "text"), blocks, run_words, run_words - gram + 1), "line-windows")
     later = keep(_later(windows, blocks, run_words), "line-later").select(F.col("id").alias("id_"), F.col("th").alias("th_"), "gone")
     drop(windows, blocks)
 
