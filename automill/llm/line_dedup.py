@@ -46,7 +46,7 @@ GRAM = 8
 WORDS = 4096
 #: Bits of a window's place in its block.
 _BITS = 13
-#: Texts with repeated fingerprints, or groups of equal texts, whose keys are broadcast at most; 16 and 40 bytes each.
+#: Texts with repeated fingerprints, or groups of equal texts, whose keys are broadcast at most; 16 and 32 bytes each.
 BROADCAST_TEXTS = 200_000
 
 _SPACE, _WORD = r"\t-\r ", r"^\t-\r "
@@ -78,14 +78,14 @@ def _part(h: Column, at: Column | int, n: int) -> Column:
 
 
 def first_of_equal(rows: DataFrame) -> DataFrame:
-    """digest and first id (``null_first`` if that is null) of texts that stand under more than one id; rows have id and text."""
-    groups = rows.where("text is not null").groupBy(F.md5("text").alias("digest"))
+    """Two hashes and the first id (``null_first`` if that is null) of texts that stand under more than one id; rows have id, text, th and tk."""
+    groups = rows.where("text is not null").groupBy(F.col("th").alias("th_"), F.col("tk").alias("tk_"))
     groups = groups.agg(F.min("id").alias("first"), F.max("id").alias("last"), F.bool_or(F.col("id").isNull()).alias("null_first"))
     return groups.where("first < last or (null_first and first is not null)").drop("last")
 
 
 def _marked(rows: DataFrame, run_words: int, gram: int) -> DataFrame:
-    """id, th, block, f, a and p: the fingerprint f is the minimum of the windows of the block that start at a, its line at p."""
+    """id, th, f and place: block, a and p, one behind the other in ``_BITS`` each. The fingerprint f is the minimum, at p, of the windows from a on."""
     ahead = run_words - gram + 1
 
     def blocks(h: Column) -> Column:
@@ -93,7 +93,7 @@ def _marked(rows: DataFrame, run_words: int, gram: int) -> DataFrame:
         cut = lambda b: F.struct(b.alias("block"), F.slice(h, b * WORDS + 1, WORDS + run_words - 1).alias("h"))
         return F.when(F.size(h) >= run_words, F.transform(F.sequence(F.lit(0), last), cut))
 
-    rows = rows.select("id", F.xxhash64("text").alias("th"), F.inline(_once(_hashes(F.col("text")), blocks)))
+    rows = rows.select("id", "th", F.inline(_once(_hashes(F.col("text")), blocks)))
     rows = rows.select("id", "th", "block", "h", F.explode(F.sequence(F.lit(0), F.size("h") - run_words)).alias("i"))
     h, i = F.col("h"), F.col("i")
     # The minimum has moved if the word that left the window, or the one that came, is the least of them all.
@@ -101,16 +101,23 @@ def _marked(rows: DataFrame, run_words: int, gram: int) -> DataFrame:
     rows = rows.where((i == 0) | (both == F.least(F.get(h, i - 1), F.get(h, i + ahead - 1))))
     front = _part(h, i, ahead)
     place = (i + F.array_position(front, F.array_min(front)) - 1).cast("int")
-    return rows.select("id", "th", "block", F.xxhash64(_part(h, place, gram)).alias("f"), i.alias("a"), place.alias("p"))
+    packed = F.shiftleft(F.shiftleft(F.col("block").cast("long"), _BITS).bitwiseOR(i.cast("long")), _BITS).bitwiseOR(place.cast("long"))
+    return rows.select("id", "th", F.xxhash64(_part(h, place, gram)).alias("f"), packed.alias("place"))
+
+
+def _low(x: Column) -> Column:
+    return x.bitwiseAND((1 << _BITS) - 1).cast("int")
 
 
 def _repeated(marks: DataFrame) -> DataFrame:
     """Marks by block (id, th, block, ranges of a and p) whose fingerprint is there at another place too."""
-    place = F.xxhash64("id", "th", "block", "a")
+    place = F.xxhash64("id", "th", "place")
     again = marks.groupBy("f").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
     again = again.select(F.col("f").alias("f_"), F.xxhash64("f").alias("key_"))
     found = marks.join(again, (F.xxhash64("f") == F.col("key_")) & (F.col("f") == F.col("f_")), "left_semi")
-    return found.groupBy("id", "th", "block").agg(F.collect_set(F.struct("a", "p")).alias("ranges"))
+    found = found.groupBy("id", "th", F.shiftright("place", 2 * _BITS).cast("int").alias("block")).agg(F.collect_set(F.col("place").bitwiseAND((1 << 2 * _BITS) - 1).cast("int")).alias("ranges"))
+    ranges = F.transform("ranges", lambda x: F.struct(F.shiftright(x, _BITS).alias("a"), _low(x).alias("p")))
+    return found.select("id", "th", "block", ranges.alias("ranges"))
 
 
 def _numbered(found: DataFrame) -> DataFrame:
@@ -131,7 +138,8 @@ def _windows(texts: DataFrame, found: DataFrame, run_words: int, ahead: int) ->
     )
     rows = rows.select(F.inline(_once(_hashes(F.col("text")), cut))).select("uid", "h", F.explode("ranges").alias("r"))
     rows = rows.select("uid", "h", "r", F.explode(F.sequence("r.a", F.least(F.col("r.p"), F.size("h") - run_words))).alias("i"))
-    rows = rows.where(F.array_min(_part(F.col("h"), F.col("i"), ahead)) == F.get("h", F.col("r.p")))
+    front, least = _part(F.col("h"), F.col("i"), ahead), F.get("h", F.col("r.p"))
+    rows = rows.where((F.array_min(front) == least) & (F.array_position(front, least) == F.col("r.p") - F.col("i") + 1))
     window = _part(F.col("h"), F.col("i"), run_words)
     return rows.select(F.shiftleft("uid", _BITS).bitwiseOR(F.col("i").cast("long")).alias("ord"), F.xxhash64(window).alias("k1"), F.xxhash64(F.lit(1), window).alias("k2"))
 
@@ -142,14 +150,13 @@ def _later(windows: DataFrame, found: DataFrame, run_words: int) -> DataFrame:
     first = first.select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), F.xxhash64("k1", "k2").alias("key_"), "first")
     same = (F.xxhash64("k1", "k2") == F.col("key_")) & (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_"))
     later = windows.join(first, same & (F.col("ord") > F.col("first")))
-    place = lambda x: x.bitwiseAND((1 << _BITS) - 1).cast("int")
-    found_at = F.struct(place(F.col("ord")).alias("i"), F.col("first"))
+    found_at = F.struct(_low(F.col("ord")).alias("i"), F.col("first"))
     later = later.groupBy(F.shiftrightunsigned("ord", _BITS).alias("u")).agg(F.collect_set(found_at).alias("at"))
     later = later.join(found.select("uid", "before", "id", "th", "block"), F.col("u") == F.col("uid"))
 
     def apart(x: Column) -> Column:
         """Whether the first occurrence does not overlap this one: it would lie in the same block of the text or in the one before."""
-        there, gap = F.shiftrightunsigned(x["first"], _BITS), x["i"] - place(x["first"])
+        there, gap = F.shiftrightunsigned(x["first"], _BITS), x["i"] - _low(x["first"])
         return F.when(there == F.col("uid"), gap >= run_words).when(there == F.col("before"), gap + WORDS >= run_words).otherwise(True)
 
     later = later.select("id", "th", F.transform(F.filter("at", apart), lambda x: F.col("block") * WORDS + x["i"]).alias("at")).where("size(at) > 0")
@@ -175,12 +182,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents without later repeated runs, with one more column: ``__lines_gone``, the number of runs that went."""
     gram = min(GRAM, run_words)
     columns = [c for c in docs.columns if c != "__lines_gone"]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(c) for c in columns if c != text_col]).alias("rest"))
-    equal = keep(first_of_equal(rows.select("id", "text")), "line-equal")
+    both = F.xxhash64(text_col).alias("th"), F.when(F.col(text_col).isNotNull(), F.xxhash64(F.lit(1), text_col)).alias("tk")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(c) for c in columns if c != text_col]).alias("rest"), *both)
+    equal = keep(first_of_equal(rows.select("id", "text", "th", "tk")), "line-equal")
     keys = F.broadcast(equal) if equal.count() <= BROADCAST_TEXTS else equal
     first = F.when(~F.col("null_first"), F.col("first"))
-    rows = rows.join(keys, F.md5("text") == keys["digest"], "left").withColumn("copy", F.col("digest").isNotNull() & ~F.col("id").eqNullSafe(first))
-    rows = rows.select("id", F.xxhash64("text").alias("th"), "text", "rest", "copy")
+    rows = rows.join(keys, (rows["th"] == keys["th_"]) & (rows["tk"] == keys["tk_"]), "left")
+    rows = rows.select("id", "th", "text", "rest", (F.col("tk_").isNotNull() & ~F.col("id").eqNullSafe(first)).alias("copy"))
     fresh = rows.where(~F.col("copy"))
 
     marks = keep(_marked(fresh, run_words, gram), "line-marks")
