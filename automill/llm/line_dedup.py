@@ -96,9 +96,10 @@ def _marked(rows: DataFrame, run_words: int, gram: int) -> DataFrame:
     rows = rows.select("id", "th", F.inline(_once(_hashes(F.col("text")), blocks)))
     rows = rows.select("id", "th", "block", "h", F.explode(F.sequence(F.lit(0), F.size("h") - run_words)).alias("i"))
     h, i = F.col("h"), F.col("i")
-    # The minimum has moved if the word that left the window, or the one that came, is the least of them all.
-    both = F.array_min(_part(h, F.greatest(i - 1, F.lit(0)), ahead + 1))
-    rows = rows.where((i == 0) | (both == F.least(F.get(h, i - 1), F.get(h, i + ahead - 1))))
+    # The minimum has moved if the word that left is the least of all, or the one that came is less than all.
+    seen = _part(h, F.greatest(i - 1, F.lit(0)), ahead + 1)
+    left, came, least = F.get(h, i - 1), F.get(h, i + ahead - 1), F.array_min(seen)
+    rows = rows.where((i == 0) | ((least == F.least(left, came)) & ((left <= came) | (F.array_position(seen, came) == ahead + 1))))
     front = _part(h, i, ahead)
     place = (i + F.array_position(front, F.array_min(front)) - 1).cast("int")
     packed = F.shiftleft(F.shiftleft(F.col("block").cast("long"), _BITS).bitwiseOR(i.cast("long")), _BITS).bitwiseOR(place.cast("long"))
