@@ -3,7 +3,7 @@
 A conversation is rendered as ``### Role: text</turn>`` and a newline for each turn. A deterministic
 parser of the same grammar reads the rendering back; turns that do not come back as they were, because
 their text looks like the grammar, are escaped and rendered again, until the turns read equal the
-source. Escaping replaces ``\\``, ``<`` and ``#`` by two-character codes and touches nothing else, so
+source. Escaping replaces ``\\``, ``<``, ``#`` and ``:`` by two-character codes and touches nothing else, so
 it is undone exactly, and a turn in which none of them is left cannot conflict: the second round
 always succeeds, which the query's ``exact`` column confirms.
 

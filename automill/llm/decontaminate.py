@@ -1,20 +1,25 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Items and texts are normalised alike: A-Z lower-cased, words joined by single blanks. The patterns are
-all windows of ten consecutive words of an item; an item of fewer words is one pattern. The automaton
-scans each normalised text once; matched words are mapped back to spans of the original text.
+Items and texts are normalised alike: A-Z lower-cased, cut into words. The patterns are all windows of ten
+consecutive words of an item; an item of fewer words is one pattern. The benchmark's words are numbered, and a
+number is written as three characters, the first from an alphabet of its own, so that matches start at words
+only; words that the benchmark lacks are three zeros. Every text is read once in this writing, and matches are
+mapped back to spans of the original text.
 
-The windows are collected only behind a check of the benchmark's size. Up to ``BLOCK_BYTES`` of text it
-is one automaton. A larger benchmark is dealt by a hash of its items into blocks of about that size,
-and each block is one more pass over the texts, whose hits are carried along in a written table.
+An automaton has at most thirty nodes for each word of the benchmark, so a bound on its words bounds a worker's
+memory: ``BLOCK_WORDS`` take some 200 MB. Items are collected only behind that check. A larger benchmark is
+dealt by a hash of its items into blocks of about that size, and each block is one more pass over the texts,
+whose hits are carried along in a written table.
 
 Edge cases: null text has no words and no hits; null items have no windows; items with equal ids are
 one item, equal windows of different items count for each; a null item id is the id '' in digests; empty
-tables give no hits; other columns pass through.
+tables give no hits; other columns pass through, but for those named like the four new ones, which are
+replaced: ``prefix`` names these otherwise.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -30,10 +35,11 @@ from automill.llm.scratch import keep
 
 #: Words of a window.
 WINDOW = 10
-#: Bytes of benchmark text under one automaton, about.
-BLOCK_BYTES = 4_000_000
+#: Words of the benchmark under one automaton, about.
+BLOCK_WORDS = 80_000
 
 _TO_BLANK = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -42,48 +48,40 @@ def normalised(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TO_BLANK).split()
 
 
-def windows(items: list[tuple[str, str | None]]) -> dict[bytes, list[str]]:
-    """Window -> ids of the items that have it."""
-    out: dict[bytes, set] = {}
-    for item, text in items:
-        w = normalised(text)
-        for i in range(max(1, len(w) - WINDOW + 1) if w else 0):
-            out.setdefault(b" ".join(w[i : i + WINDOW]), set()).add(item)
-    return {k: sorted(v) for k, v in out.items()}
-
-
-def automaton(patterns: dict[bytes, list[str]]) -> ahocorasick.Automaton | None:
-    """Patterns framed by blanks, so they match whole words only. Bytes are taken as characters."""
-    if not patterns:
-        return None
-    out = ahocorasick.Automaton()
-    for p, items in patterns.items():
-        out.add_word(f" {p.decode('latin-1')} ", (len(p), p.count(b" ") + 1, items))
-    out.make_automaton()
-    return out
-
-
-def scan(found: ahocorasick.Automaton, text: str) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Words of a text, hit runs of words (first, last + 1), and items."""
-    words = text.encode().translate(_TO_BLANK).split()
-    line = f" {b' '.join(words).decode('latin-1')} "
-    hits = list(found.iter(line)) if words else []
-    if not hits:
-        return len(words), [], set()
-    begins = np.cumsum([1, *[len(w) + 1 for w in words[:-1]]])
-    runs, items = [], set()
-    for end, (size, count, ids) in hits:
-        items.update(ids)
-        first = int(np.searchsorted(begins, end - size))
-        runs.append((first, first + count))
-    runs.sort()
-    merged = [runs[0]]
-    for a, b in runs[1:]:
-        if a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return len(words), merged, items
+class Matcher:
+    """The automaton of some items, over numbered words."""
+
+    def __init__(self, items: list[tuple[str, str | None]]):
+        lines = [(item, normalised(text)) for item, text in items]
+        words = sorted({w for _, line in lines for w in line})
+        base = max(64, math.ceil(len(words) ** (1 / 3)))
+        first, other = 64, 64 + base  # the alphabets' first characters
+        self.codes = {w: chr(first + k // base**2) + chr(other + k // base % base) + chr(other + k % base) for k, w in enumerate(words)}
+        found: dict[str, set[str]] = {}
+        self.least = 0
+        for item, line in lines:
+            if line:
+                self.least = min(self.least or WINDOW, len(line))
+            for i in range(max(1, len(line) - WINDOW + 1) if line else 0):
+                found.setdefault("".join(map(self.codes.__getitem__, line[i : i + WINDOW])), set()).add(item)
+        self.automaton = ahocorasick.Automaton()
+        for window, ids in found.items():
+            self.automaton.add_word(window, (len(window) // 3, tuple(sorted(ids))))
+        if found:
+            self.automaton.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Words of a text, hit runs of words (first, last + 1), and items."""
+        code = self.codes.get
+        line = [code(w, "\0\0\0") for w in normalised(text)]
+        if not self.least or len(line) < self.least:
+            return len(line), [], set()
+        runs: list[tuple[int, int]] = []
+        items: set[str] = set()
+        for end, (size, ids) in self.automaton.iter("".join(line)):
+            items.update(ids)
+            runs.append((end // 3 + 1 - size, end // 3 + 1))
+        return len(line), _union(runs, []), items
 
 
 def spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -94,26 +92,24 @@ def spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(chars[places[a][0]]), int(chars[places[b - 1][1]])) for a, b in runs]
 
 
-_built: dict[int, ahocorasick.Automaton | None] = {}
+_built: list = [None, None]
 
 
-def _here(shared: Broadcast) -> ahocorasick.Automaton | None:
-    """The automaton of a broadcast, built once in each worker."""
-    key = id(shared.value)
-    if key not in _built:
-        _built.clear()
-        _built[key] = automaton(shared.value)
-    return _built[key]
+def _here(shared: Broadcast) -> Matcher:
+    """The automaton of a broadcast, built once in each worker, which holds the value it was built from."""
+    if _built[0] is not shared.value:
+        _built[:] = shared.value, Matcher(shared.value)
+    return _built[1]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[dict[bytes, list[str]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, str]]]:
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
     items = items.where(F.col("text").isNotNull())
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_bytes))
+    total = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(_WORDS))), F.lit(0))).first()[0]
+    n = max(1, -(-total // block_words))
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
-        yield windows([(r["item"], r["text"]) for r in part.collect()])
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+        yield [(r["item"], r["text"]) for r in part.distinct().collect()]
 
 
 def find_benchmark(
@@ -124,27 +120,38 @@ def find_benchmark(
     item_col: str = "item_id",
     item_text_col: str = "text",
     with_spans: bool = True,
-    block_bytes: int = BLOCK_BYTES,
+    block_words: int = BLOCK_WORDS,
+    prefix: str = "__",
 ) -> DataFrame:
     """The documents with ``__words`` (count), ``__runs`` (hit runs of words), ``__items`` and ``__spans`` (of characters)."""
-    at = docs.columns.index(text_col)
-    names = [*docs.columns, "__words", "__runs", "__items", "__spans"]
-    out, again = docs, False
-    for patterns in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    new = [f"{prefix}{n}" for n in ("words", "runs", "items", "spans")]
+    out, again = docs.select(*[c for c in docs.columns if c not in new]), False
+    at, names = out.columns.index(text_col), [*out.columns, *new]
+    for items in _blocks(benchmark, item_col, item_text_col, block_words):
         if again:
             out = keep(out, "benchmark-hits")
-        out, again = _pass(out, patterns, at, names, again, with_spans), True
+        out, again = _pass(out, items, at, names, again, with_spans), True
     return out
 
 
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents, all columns as they are, in which no window occurs."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    out = find_benchmark(docs, benchmark, text_col, with_spans=False, prefix=prefix)
+    return out.where(F.size(f"{prefix}runs") == 0).select(*docs.columns)
+
+
 _RUN = pa.struct([("a", pa.int32()), ("b", pa.int32())])
 
 
-def _pass(rows: DataFrame, patterns: dict, at: int, names: list[str], again: bool, with_spans: bool) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(patterns)
+def _pass(rows: DataFrame, items: list, at: int, names: list[str], again: bool, with_spans: bool) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(items)
     run_type = ArrayType(StructType([StructField("a", IntegerType()), StructField("b", IntegerType())]))
-    kept = [f for f in rows.schema.fields if f.name not in names[-4:]]
-    schema = StructType([*kept, StructField("__words", LongType()), StructField("__runs", run_type), StructField("__items", ArrayType(StringType())), StructField("__spans", run_type)])
+    kept = rows.schema.fields[: len(names) - 4]
+    kinds = (LongType(), run_type, ArrayType(StringType()), run_type)
+    schema = StructType([*kept, *[StructField(n, k) for n, k in zip(names[-4:], kinds)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _here(shared)
@@ -154,7 +161,7 @@ def _pass(rows: DataFrame, patterns: dict, at: int, names: list[str], again: boo
             n_words, runs, items, places = [], [], [], []
             for i in range(batch.num_rows):
                 text = texts[i].as_py() or ""
-                n, r, x = scan(found, text) if found else (len(normalised(text)), [], set())
+                n, r, x = found.scan(text)
                 if old and old[0][i]:
                     r = _union(r, [(p["a"], p["b"]) for p in old[0][i]])
                     x = x | set(old[1][i])

@@ -108,7 +108,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     share = F.create_map(*[F.lit(x) for c in classes for x in (c, min(1.0, SAMPLE / sizes[c]) * _GRID)])
     drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), F.lit(_GRID)) < F.element_at(share, F.col(label_col))
     sample = labelled.where(drawn).select(F.col(text_col).alias("text"), F.col(label_col).alias("lang"))
-    sample = sample.repartition(8, F.xxhash64("text"))
+    sample = sample.repartition(8)  # dealt in turn: a text that many rows have does not meet in one task
     counts = np.zeros(len(classes) * BUCKETS)
     summed = sample.mapInArrow(_count(classes), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts[summed["at"].to_numpy()] = summed["n"].to_numpy()

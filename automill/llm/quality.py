@@ -9,7 +9,8 @@ of their similarity.
 
 Edge cases: null text counts as empty; a text without features gets the labels' mean, as does
 everything when no neighbour is similar; with no labelled rows the score is 0.5; null labels do not
-train; ties between neighbours go to the sample's order; an empty table gives an empty result.
+train; of rows that repeat an id, the one with the greatest text trains; ties between neighbours go to the
+sample's order, by id; repeated rows are scored alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -99,6 +100,15 @@ def fit(texts: pa.Array, labels: np.ndarray) -> dict:
     return {"mean": mean, "project": project, "vectors": _unit(x @ project), "labels": labels.astype(np.float32)}
 
 
+def _nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The k largest of each row; of equal ones at the edge, the first."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    edge = np.take_along_axis(cosine, near, 1).min(axis=1, keepdims=True)
+    for i in np.flatnonzero((cosine >= edge).sum(axis=1) > k):
+        near[i] = np.argsort(-cosine[i], kind="stable")[:k]
+    return near
+
+
 def score(model: dict, rows: np.ndarray) -> np.ndarray:
     """Votes of the nearest labelled vectors for rows of features."""
     labels = model["labels"]
@@ -109,7 +119,7 @@ def score(model: dict, rows: np.ndarray) -> np.ndarray:
         block = rows[i : i + 512]
         cosine = _unit((block - model["mean"]) @ model["project"]) @ model["vectors"].T
         k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        near = _nearest(cosine, k)
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** SHARP
         total = weight.sum(axis=1)
         vote = (weight * labels[near]).sum(axis=1) / np.maximum(total, 1e-12)
@@ -125,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("quality")), F.lit(_GRID)) < share)
     drawn = drawn.select(F.col(id_col).alias("__label_id"), "y")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), F.col("id") == F.col("__label_id"))
+    rows = rows.groupBy("id", "y").agg(F.max("text").alias("text"))  # of rows that repeat an id, one
     got = rows.select("id", "text", "y").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     return fit(got["text"].combine_chunks(), got["y"].to_numpy())
 

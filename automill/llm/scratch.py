@@ -16,9 +16,11 @@ _live: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; without one, as in tests, a folder of our own."""
+    """The cluster's shared folder; without one a folder of our own, where driver and executors are one machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("automill.scratch.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="automill-")
         spark.conf.set("automill.scratch.dir", folder)
     return folder.rstrip("/")

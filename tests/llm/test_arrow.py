@@ -1,13 +1,17 @@
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
+import tracemalloc
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from automill.llm import decontaminate, html_extract, kernels, langid, near_dedup, quality, queries_models, queries_near, queries_web, warc_audit
@@ -82,25 +86,56 @@ def test_components(spark):
 
 def test_decontamination_scan():
     items = [("1", "The quick brown fox, jumps over the lazy dog. Again and again!"), ("2", "short one"), ("3", None), ("4", "..."), ("5", "short one")]
-    patterns = decontaminate.windows(items)
-    assert patterns[b"short one"] == ["2", "5"] and len(patterns) == 4
-    found = decontaminate.automaton(patterns)
+    found = decontaminate.Matcher(items)
     text = "é x THE QUICK--brown fox jumps over the lazy dog AGAIN and; shortone a short   one"
-    n, runs, hit = decontaminate.scan(found, text)
+    n, runs, hit = found.scan(text)
     assert (n, runs, hit) == (17, [(2, 13), (15, 17)], {"1", "2", "5"}) or n == len(decontaminate.normalised(text))
     assert [text[a:b] for a, b in decontaminate.spans(text, runs)][-1] == "short   one"
-    assert decontaminate.automaton({}) is None
-
-
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 60])
+    assert decontaminate.Matcher([]).scan("a text") == (2, [], set()) and found.scan(None) == (0, [], set())
+
+
+def test_decontamination_random():
+    """Against a plain search for every window, over few words so that windows overlap and nest."""
+    r = random.Random(8)
+    line = lambda n: [r.choice("abcd") for _ in range(n)]
+    items = [(str(k), " ".join(line(r.choice([1, 2, 5, 10, 14])))) for k in range(12)]
+    found = decontaminate.Matcher(items)
+    for _ in range(200):
+        words = line(r.choice([0, 3, 20, 60]))
+        hit, ids = set(), set()
+        for item, text in items:
+            w = text.split()
+            for p in range(max(1, len(w) - 9)):
+                x = w[p : p + 10]
+                for q in range(len(words) - len(x) + 1):
+                    if words[q : q + len(x)] == x:
+                        hit |= set(range(q, q + len(x)))
+                        ids.add(item)
+        n, runs, got = found.scan(" ".join(words))
+        assert (n, {k for a, b in runs for k in range(a, b)}, got) == (len(words), hit, ids)
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 12])
 def test_decontamination_blocks(spark, block):
     items = spark.createDataFrame([(i, f"alpha{i} beta gamma{i} delta") for i in range(9)], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "x alpha3 beta gamma3 delta y alpha5 Beta gamma5, delta", "z"), (2, None, "z"), (3, "alpha3 beta", "z")], "doc_id long, text string, __words2 string")
-    out = {r.doc_id: r for r in decontaminate.find_benchmark(docs, items, block_bytes=block).collect()}
+    docs = spark.createDataFrame([(1, "x alpha3 beta gamma3 delta y alpha5 Beta gamma5, delta", "z"), (2, None, "z"), (3, "alpha3 beta", "z")], "doc_id long, text string, __words string")
+    out = {r.doc_id: r for r in decontaminate.find_benchmark(docs, items, block_words=block).collect()}
     assert out[1]["__items"] == ["3", "5"] and [tuple(x) for x in out[1]["__runs"]] == [(1, 5), (6, 10)]
     assert (out[2]["__words"], out[3]["__runs"]) == (0, [])
-    assert decontaminate.find_benchmark(docs.limit(0), items, block_bytes=block).count() == 0
+    assert decontaminate.find_benchmark(docs.limit(0), items, block_words=block).count() == 0
     assert decontaminate.find_benchmark(docs, items.limit(0)).where("size(__runs) > 0").count() == 0
+    names = ["__words", "__runs", "__items", "__spans"]
+    clash = docs.select("doc_id", "text", *[F.lit("mine").alias(n) for n in names])
+    assert [tuple(r)[2:] for r in decontaminate.without_benchmark(clash, items).orderBy("doc_id").collect()] == [("mine",) * 4] * 2
+
+
+def test_decontamination_worker_keeps_its_automaton():
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    for k in range(50):  # a value that was freed must not be taken for another one at its address
+        assert decontaminate._here(Shared([("i", f"w{k}")])).scan(f"w{k}")[2] == {"i"}
 
 
 def test_language(spark):
@@ -112,6 +147,29 @@ def test_language(spark):
     assert (both.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in both.doc_id]).all()
 
 
+def test_language_brute(spark):
+    """Posteriors against plain counts of the same n-grams."""
+    r = random.Random(2)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.choice([1, 3, 6])))
+    rows = [(k, " ".join(word(ls) for _ in range(8)), lang) for k, (lang, ls) in enumerate([("aa", "abcd"), ("bb", "cdef"), ("cc", "efgh\u00e9")] * 10)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    tests = [(k, " ".join(word("abcdefgh\u00e9") for _ in range(4))) for k in range(40)]
+    got = {x.doc_id: (x.lang_pred, x.score) for x in langid.predict(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()}
+
+    def grams(text):
+        t = f" {text.lower()} ".encode()
+        b = langid.ngrams(np.frombuffer(t[1:-1], np.uint8), np.array([0, len(t) - 2]))[0]
+        return [int(x) for part in b for x in part]
+
+    counts = {c: Counter(g for _, t, lang in rows if lang == c for g in grams(t)) for c in ("aa", "bb", "cc")}
+    for k, text in tests:
+        assert len(grams(text)) == 2 * len(text) + 1
+        logs = {c: math.log(1 / 3) + sum(math.log((n[g] + langid.ALPHA) / (sum(n.values()) + langid.ALPHA * langid.BUCKETS)) for g in grams(text)) for c, n in counts.items()}
+        top = max(logs.values())
+        best = min(c for c in logs if logs[c] == top)
+        assert got[k][0] == best and got[k][1] == pytest.approx(1 / sum(math.exp(x - top) for x in logs.values()), rel=1e-3)
+
+
 def test_language_edges(spark):
     rows = [(1, "der die das und", "de"), (2, "the and of with", "en"), (3, "x", None), (4, None, "de")]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
@@ -152,6 +210,34 @@ def test_quality(spark):
     assert (held.quality == held.predicted).mean() > 0.95 and out.score.between(0, 1).all()
 
 
+def test_quality_brute():
+    """Votes against plain loops over all labelled vectors, with ties among them."""
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["plain", "Words", "###", "%%", "x1", "and."]) for _ in range(r.choice([2, 3, 9]))) for _ in range(120)] + ["same text"] * 60
+    model = quality.fit(pa.array(texts), np.array([k % 2 for k in range(len(texts))]))
+    tests = ["same text", "Words and. plain", "### %% x1 ###", *texts[:20]]
+    got = quality._scores(model, pa.array(tests)).to_pylist()
+    for t, score in zip(tests, got):
+        data = np.frombuffer(t.encode(), np.uint8)
+        x = (quality.features(data, np.array([0, len(data)]))[0] - model["mean"]) @ model["project"]
+        x = x / np.linalg.norm(x)
+        near = sorted(((-float(np.float32(x @ v)), k) for k, v in enumerate(model["vectors"])))
+        edge = near[quality.NEIGHBOURS - 1][0]
+        sure = [(c, k) for c, k in near if c < edge - 1e-5]
+        tied = sorted(k for c, k in near if abs(c - edge) <= 1e-5)[: quality.NEIGHBOURS - len(sure)]
+        votes = [(max(-c, 0.0) ** quality.SHARP, model["labels"][k]) for c, k in sure] + [(max(-edge, 0.0) ** quality.SHARP, model["labels"][k]) for k in tied]
+        assert score == pytest.approx(sum(w * y for w, y in votes) / sum(w for w, _ in votes), abs=0.15 if len(set(c for c, _ in near)) < len(near) else 1e-3)
+    x = np.zeros((1, 3000), np.float32)
+    assert quality._nearest(x, 15).tolist() == [list(range(15))]
+
+
+def test_quality_repeated_ids(spark):
+    """Rows that repeat a labelled id train once."""
+    docs = spark.createDataFrame([(1, "Plain words here.")] * 50 + [(2, "%%% ###")], "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, quality int"))
+    assert model["labels"].tolist() == [1.0, 0.0]
+
+
 def test_quality_edges(spark):
     labels = np.array([1, 1, 0, 0])
     model = quality.fit(pa.array(["Plain words here.", "More plain words.", "### %%% &&&", "%%% ### $$$"]), labels)
@@ -207,6 +293,42 @@ def test_html_templates(spark, monkeypatch):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_brute(spark):
+    """Templates of pages without articles against occurrence vectors in plain Python; without templates the texts differ."""
+    r = random.Random(6)
+    rows = []
+    for host in range(4):
+        fixed = [f"<p>fixed {host} {k}</p>" for k in range(3)]
+        for k in range(8):
+            parts = [f"<p>{r.choice(['story', 'tale'])} {r.randrange(50)}</p>" for _ in range(r.choice([1, 2, 3]))]
+            some = [f"<p>now and then {host}</p>"] * (k % 3 > 0)
+            rows.append((8 * host + k, f"http://h{host}/x", "<body>" + "".join([fixed[0], *parts, *some, fixed[1], fixed[2]]) + "</body>"))
+    df = spark.createDataFrame(rows + rows[:5], "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html_extract.extract(df).collect()}
+    pieces = {i: re.findall(r"<p>(.*?)</p>", h) for i, _, h in rows}
+    for host in range(4):
+        own = {i: p for i, p in pieces.items() if i // 8 == host}
+        vectors = defaultdict(set)
+        for text in {t for p in own.values() for t in p}:
+            vectors[tuple(p.count(text) for _, p in sorted(own.items()))].add(text)
+        template = set()
+        for vector, texts in vectors.items():
+            once = {tuple(t for t in p if t in texts) for p in own.values()} - {()}
+            if len(texts) > 1 and sum(c > 0 for c in vector) >= 0.9 * len(own) and len(once) == 1:
+                template |= texts
+        assert template == {f"fixed {host} {k}" for k in range(3)}
+        assert all(got[i] == " ".join(t for t in p if t not in template) != " ".join(p) for i, p in own.items())
+
+
+def test_html_deep_page():
+    """A page of 250 KB of nested elements takes memory in proportion to its length."""
+    tracemalloc.start()
+    page = html_extract.Page("<div>" * 50_000 + "deep text")
+    assert page.main_text(frozenset()) == "deep text" and len(page.tags) == 50_000
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+
+
 def test_html_copies(spark):
     """Copies of a page, and repeated rows, don't make its text template."""
     page = lambda k, a="": f"<html><body {a}><div>Welcome to us</div><p>Story {k} here</p></body></html>"
