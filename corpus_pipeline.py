@@ -14,12 +14,19 @@ from automill.llm.scratch import keep
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects."""
+    """Without the documents that the quality classifier rejects.
+
+    Null text counts as empty, and texts without features, or all texts where there are no labels, get the labels' mean
+    or 0.5, which is accepted or not as any score; repeated rows stay or go together; an empty table stays empty.
+    """
     return quality.keep_good(docs, quality_model(spark, sf_dir), GOOD)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without runs of lines that occur earlier; a document of which nothing is left goes."""
+    """Without runs of words that occur earlier; a document of which nothing is left goes.
+
+    Null and empty texts stay as they are; ``n_chars`` follows the text where it changes.
+    """
     out = line_dedup.line_dedup(docs)
     changed = F.col("__lines_gone") > 0
     out = out.where(~changed | (F.btrim("text", F.lit(" \t\r\n\x0b\x0c")) != ""))
@@ -43,14 +50,19 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents in which a window of a benchmark item occurs."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    out = decontaminate.find_benchmark(docs, benchmark, with_spans=False)
-    return out.where(F.size("__runs") == 0).select(*docs.columns)
+    """Without the documents in which a window of a benchmark item occurs.
+
+    Null and empty texts have none and stay, as do all rows where the benchmark is empty; repeated rows stay or go together.
+    """
+    return decontaminate.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's rate says; ``copy`` counts from 0."""
+    """Every document as often as its source's rate says; ``copy`` counts from 0.
+
+    Sources without words, and null or empty texts in them, are not emitted; a null source is one of its own; rows that
+    repeat an id are drawn alike. A column ``copy`` of the documents stays, and the count is ``__mix_copy`` then.
+    """
     return mixing.mix(docs)
 
 
