@@ -154,6 +154,16 @@ def is_single(found: int) -> bool:
     return found.bit_count() == 1
 
 
+def is_wildcard_column(sets: Column) -> Column:
+    """Whether a set column has all bytes; null for null."""
+    return cardinality_column(sets) == 256
+
+
+def is_single_column(sets: Column) -> Column:
+    """Whether a set column has one byte; null for null."""
+    return cardinality_column(sets) == 1
+
+
 def cardinality(found: int) -> int:
     return found.bit_count()
 

@@ -21,6 +21,11 @@ def degrees(states: DataFrame, edges: DataFrame) -> DataFrame:
     return keys.join(into, ["nfa_id", "state_id"], "left").join(out, ["nfa_id", "state_id"], "left").fillna(0, ["in_degree", "out_degree"])
 
 
+def start_states(states: DataFrame) -> DataFrame:
+    """The start states of every automaton and whether they are always active."""
+    return states.where("start_kind > 0").select("nfa_id", "state_id", (F.col("start_kind") == ALL_INPUT).alias("always_active"))
+
+
 def start_counts(states: DataFrame) -> DataFrame:
     """nfa_id, starts, always_active."""
     return states.groupBy("nfa_id").agg(

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in the cluster's shared folder; where none is set, as in tests, in one of our own."""
+    """A checkpoint of df in the cluster's shared folder; where none is set, in one of our own, if driver and executors are one machine."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="automill-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="automill-"))
     return df.checkpoint()

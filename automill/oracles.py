@@ -86,6 +86,32 @@ _COMPLETE = (
     "k AS (SELECT *, n_ranges = 1 AS complete, n_ranges - 1 + (lo > 0)::INT + (hi < 255)::INT = 1 AS complement FROM m)"
 )
 
+#: Ways along edges, and from them: strong components (named by their least state), longest ways between these, and breadth-first layers.
+_WALK = (
+    "w(a, b, d) AS (SELECT src, dst, 1 FROM e UNION SELECT w.a, e.dst, w.d + 1 FROM w JOIN e ON w.b = e.src WHERE w.d < 12), "
+    "r AS (SELECT a, b, min(d) AS d FROM w GROUP BY a, b), "
+    "q AS (SELECT s.state_id, coalesce(min(x.b), s.state_id) AS root FROM s LEFT JOIN "
+    "(SELECT x.a, least(x.a, x.b) AS b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a) x ON s.state_id = x.a GROUP BY s.state_id), "
+    "f AS (SELECT DISTINCT a.root AS a, b.root AS b FROM e JOIN q a ON e.src = a.state_id JOIN q b ON e.dst = b.state_id WHERE a.root <> b.root), "
+    "l(root, d) AS (SELECT DISTINCT root, 0 FROM q UNION SELECT f.b, l.d + 1 FROM l JOIN f ON l.root = f.a), "
+    "t AS (SELECT root, max(d) AS topo_order FROM l GROUP BY root), "
+    "o AS (SELECT state_id FROM s WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.b = s.state_id AND r.a < s.state_id)), "
+    "h AS (SELECT s.state_id, coalesce((SELECT arg_min(r.d, r.a) FROM r JOIN o ON r.a = o.state_id WHERE r.b = s.state_id), 0) AS bfs_layer FROM s), "
+    "n AS (SELECT state_id, cc_id, row_number() OVER (PARTITION BY cc_id ORDER BY state_id) - 1 AS cc_local_id, topo_order, bfs_layer, "
+    "dense_rank() OVER (ORDER BY cc_id, topo_order DESC, root) - 1 AS scc_id FROM c JOIN q USING (state_id) JOIN t USING (root) JOIN h USING (state_id)), "
+    "u AS (SELECT state_id, row_number() OVER (ORDER BY k, cc_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY cc_id ORDER BY bfs_layer, state_id) AS k FROM n) WHERE k <= 2), "
+    "j AS (SELECT n.*, CASE WHEN place <= 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hot_degree FROM n LEFT JOIN u USING (state_id))"
+)
+_MATCH = (
+    "x AS (SELECT state_id, string_agg(CASE WHEN EXISTS (SELECT 1 FROM y WHERE y.state_id = s.state_id AND y.b = v.b) THEN '1' ELSE '0' END, '' ORDER BY v.b DESC) AS matchset "
+    "FROM s, range(256) v(b) GROUP BY state_id)"
+)
+_ORDER_BY = {
+    "NONE": "", "REPORT": "is_report DESC, ", "TOPO_ORDER": "topo_order, ", "OUTDEGREE": "out_degree DESC, ", "BFS_LAYER": "bfs_layer, ",
+    "COMPLETE": "complete DESC, ", "COMPLETE_AND_TOP": "complete DESC, topo_order, ", "COMPLETE_AND_BFS": "complete DESC, bfs_layer, ", "HOT_DEGREE": "hot_degree DESC, ",
+}
+_TEXTS = ("[a-f]", "[^a]", "[ace]", "*", r"\\w", "[xyz]", r"[^\\n\\r]", "[0-9a]", "[q]", "[r]", "[s]", "[t]")
+
 _CLASSES = {
     "*": "true", ".": "b <> 10", "[a-c]": "b BETWEEN 97 AND 99", "[^a-c]": "b NOT BETWEEN 97 AND 99", "[a-]": "b = 97", "[-a]": "b IN (45, 97)",
     "\\d": "b BETWEEN 48 AND 57", "[\\x41-\\x43]": "b BETWEEN 65 AND 67", "a^": "b <> 97", "[z-a]": "b IN (97, 122)",
@@ -193,4 +219,23 @@ ORACLES = {
     "t AS (SELECT app, config, count(*) FILTER (value >= 0) AS n, coalesce(avg(value) FILTER (value >= 0), max(value)) AS mean, "
     "coalesce(stddev_pop(value) FILTER (value >= 0), 0) AS std FROM v GROUP BY app, config) "
     "SELECT t.app, t.config, t.n, t.mean, t.std, CASE WHEN t.mean > 0 THEN t.mean / x.mean END AS ratio FROM t JOIN t x ON t.app = x.app AND x.config = 'x'",
+    "nfa_layers": f"WITH RECURSIVE {_S}, {_E}, {_C}, {_WALK} SELECT 'mixed' AS nfa_id, state_id, cc_id, cc_local_id::INT AS cc_local_id, scc_id::INT AS scc_id, "
+    "topo_order, bfs_layer FROM n",
+    "hot_by_layer": f"WITH RECURSIVE {_S}, {_E}, {_C}, {_WALK} SELECT cc_id, state_id, hot_degree FROM j",
+    "node_output": f"WITH RECURSIVE {_S}, {_E}, {_C}, {_WALK}, {_B}, {_R}, {_COMPLETE}, {_D}, {_MATCH} SELECT 'mixed' AS nfa_id, state_id, str_id, matchset, complete::INT AS complete, "
+    "complement::INT AS complement, bfs_layer, (start_kind > 0)::INT AS start, (start_kind = 2)::INT AS alway_enabled, is_report::INT AS report, in_degree, out_degree "
+    "FROM s JOIN x USING (state_id) JOIN k USING (state_id) JOIN d USING (state_id) JOIN n USING (state_id)",
+    "edge_output": f"WITH {_S}, {_E}, {_B}, {_R}, {_COMPLETE}, {_MATCH} SELECT 'mixed' AS nfa_id, src, dst, a.str_id AS edge_from, b.str_id AS edge_to, complete::INT AS complete, "
+    "complement::INT AS complement, matchset FROM e JOIN s a ON src = a.state_id JOIN s b ON dst = b.state_id JOIN x ON dst = x.state_id JOIN k ON dst = k.state_id",
+    "dot_output": f"WITH {_S}, {_E}, {_B}, i(state_id, text) AS (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(_TEXTS)) + "), "
+    "p AS (SELECT 0 AS a, 0 AS b, 0 AS c, 'digraph G {' AS value UNION ALL SELECT 1, state_id, 0, concat(state_id, ' [label=\"', str_id, ' intid ', state_id, ' ', text, ' ', "
+    "(SELECT count(*) FROM y WHERE y.state_id = s.state_id), '\"]', CASE WHEN is_report THEN ' [shape=doubleoctagon]' ELSE '' END, "
+    "CASE start_kind WHEN 2 THEN ' [color=orange]' WHEN 1 THEN ' [color=yellow]' ELSE '' END, ';') FROM s JOIN i USING (state_id) "
+    "UNION ALL SELECT 2, src, dst, concat(src, ' -> ', dst, ';') FROM e UNION ALL SELECT 3, 0, 0, '}') "
+    "SELECT (row_number() OVER (ORDER BY a, b, c) - 1)::INT AS place, value FROM p",
+    "symbolset_kinds": f"WITH {_B} SELECT str_id, count(*) = 256 AS wildcard, count(*) = 1 AS single FROM y GROUP BY str_id",
+    "start_states": f"WITH {_S} SELECT 'mixed' AS nfa_id, state_id, start_kind = 2 AS always_active FROM s WHERE start_kind > 0",
+    "renumber_policies": f"WITH RECURSIVE {_S}, {_E}, {_C}, {_WALK}, {_B}, {_R}, {_COMPLETE}, {_D}, z AS (SELECT s.*, out_degree, complete, topo_order, bfs_layer, hot_degree "
+    "FROM s JOIN d USING (state_id) JOIN k USING (state_id) JOIN j USING (state_id)) "
+    + " UNION ALL ".join(f"SELECT '{n}' AS policy, (row_number() OVER (ORDER BY {o}state_id) - 1)::INT AS state_id, str_id FROM z" for n, o in _ORDER_BY.items()),
 }

@@ -6,6 +6,7 @@ Automata are built here; streams are columns of the tables as UTF-8, so offsets
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -292,6 +293,15 @@ def symbolset_parse(spark, sf_dir):
     return parsed.select("class", symbolset.cardinality_column(F.col("set")).cast("int").alias("n"), F.hex("set").alias("bits"))
 
 
+def symbolset_kinds(spark, sf_dir):
+    sets = F.col("symbol_set")
+    return _frames(spark)[0].select("str_id", symbolset.is_wildcard_column(sets).alias("wildcard"), symbolset.is_single_column(sets).alias("single"))
+
+
+def start_states(spark, sf_dir):
+    return analysis.start_states(_frames(spark)[0])
+
+
 def symbolset_remap(spark, sf_dir):
     bytes_ = symbolset.explode_bytes(_frames(spark)[0].where("str_id = 'a0'").select("str_id", "symbol_set"))
     mapping = spark.createDataFrame([(97, 65), (98, 65)], "byte int, to_byte int")
@@ -363,6 +373,17 @@ def renumbered(spark, sf_dir):
     return new[0].select("state_id", "str_id")
 
 
+def renumber_policies(spark, sf_dir):
+    """The states in the order of each policy."""
+    states, edges = _frames(spark)
+    key, labels = ["nfa_id", "state_id"], _labels(spark)
+    more = states.join(labels.select(*key, "topo_order", "bfs_layer"), key).join(analysis.degrees(states, edges).select(*key, "out_degree"), key)
+    more = more.join(analysis.completeness(states).select(*key, "complete"), key).join(analysis.assign_hot(labels, 5, 2).select(*key, "hot_degree"), key)
+    more = keep(more)
+    out = [transforms.renumber(more, edges, *order())[0].select(F.lit(name).alias("policy"), "state_id", "str_id") for name, order in transforms.ORDERS.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
 def merged(spark, sf_dir):
     states, edges = to_frames(spark, DIGITS, GAP)
     return transforms.merge(states, edges, "both")[1]
@@ -382,6 +403,10 @@ def node_output(spark, sf_dir):
     return sinks.node_table(states, edges, _labels(spark))
 
 
+def edge_output(spark, sf_dir):
+    return sinks.edge_table(*_frames(spark))
+
+
 def dot_output(spark, sf_dir):
     return spark.createDataFrame([(k, line) for k, line in enumerate(sinks.dot(MIXED).splitlines())], "place int, value string")
 
@@ -401,8 +426,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         match_conversation_turns, match_page_tags, reports_by_quality, nfa_match_sql, stream_alphabet, stream_slice, stream_chunk,
         stream_chunk_replicated, stream_pad, stream_kgrams, stream_point_edit, random_stream_bytes, nfa_summary, nfa_extended_summary,
         nfa_degree_hist, nfa_in_degree_hist, nfa_log_degree_hist, nfa_components, nfa_counts, nfa_layers, nfa_alphabet, symbolset_ranges,
-        symbolset_cardinality, symbolset_parse, symbolset_remap, symbolset_completeness, state_activation_profile, frontier_profile,
+        symbolset_cardinality, symbolset_parse, symbolset_kinds, symbolset_remap, start_states, symbolset_completeness, state_activation_profile, frontier_profile,
         report_exceptall_validate, report_counts, report_packed, report_top_order, memo_length_hist, memo_cutoff, limited_out_degree,
-        split_to_complete, compatible_groups, hot_by_layer, renumbered, merged, induced_subgraph, gr_output, node_output, dot_output, bench_table,
+        split_to_complete, compatible_groups, hot_by_layer, renumbered, renumber_policies, merged, induced_subgraph, gr_output, node_output, edge_output, dot_output, bench_table,
     )
 } | {f"match_memo_k{k}": _memo(k) for k in (1, 2, 3)}
