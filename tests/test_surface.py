@@ -15,7 +15,11 @@ from automill.queries import MIXED
 from automill.sources import streams, tables
 from automill.streaming.carry import advance, match_stream
 from automill.plans import planner
-from test_match import APPLE
+
+PAIR = """<automata-network id="pair">
+<state-transition-element id="left" symbol-set="[xy]" start="all-input"><activate-on-match element="right"/></state-transition-element>
+<state-transition-element id="right" symbol-set="[1]"><report-on-match reportcode="p"/></state-transition-element>
+</automata-network>"""
 
 
 def test_sinks(spark, tmp_path):
@@ -149,8 +153,8 @@ def test_configs_and_results(spark, tmp_path):
 
 
 def test_cli(spark, tmp_path, capsys):
-    (tmp_path / "a.anml").write_text(APPLE)
-    (tmp_path / "in").write_bytes(b"apple pie apple")
+    (tmp_path / "a.anml").write_text(PAIR)
+    (tmp_path / "in").write_bytes(b"x1 x2 z1 ay1")
     args = ["-a", str(tmp_path / "a.anml"), "-i", str(tmp_path / "in")]
     assert cli.main([*args, "--quick-validation", "2", "--validation", "--report-filename", str(tmp_path / "out"), "--motivate-worklist-length"]) == 0
     assert "results = 2" in capsys.readouterr().out and spark.read.parquet(str(tmp_path / "out")).count() == 2
