@@ -54,7 +54,7 @@ def match(
     tail: whether the remainder behind the last full segment is scanned ('keep') or not ('drop').
     start_scope: start-of-data states fire in the first segment ('first'), or in each ('every_segment');
     'auto' is 'every_segment' when a replicated stream is cut into its replicas, else 'first'.
-    mode: 'reports', or 'count' for one row (n) that counts distinct reports without building them.
+    mode: 'reports', or 'count' for one row (n) that counts them; the reports are made all the same, and summed up by Spark.
     start and length cut the stream first, if both are given. pad_to fills up with zero bytes, on which
     matches may run on but not be reported.
     """
