@@ -223,8 +223,9 @@ def limit_out_degree(a: Automaton, limit: int = 4) -> Automaton:
 
 
 def split_to_complete(a: Automaton, max_ranges: int = 256) -> Automaton:
-    """States split so that each set is one range, or all but one range; copies are ``<id>_mc_<k>`` with the same origin.
+    """States split into their ranges, or, where the complement has fewer, so that each part misses one range of it.
 
+    A part of the second kind can have two ranges, one on each side of what it misses. Copies are ``<id>_mc_<k>`` with the same origin.
     Sets of more than max_ranges ranges either way stay. Copies have all neighbours of the state; with a
     self loop they follow one another, so that the language stays the same.
     """
