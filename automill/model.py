@@ -183,6 +183,30 @@ class Compiled:
     #: Longest path in bytes, or 0 if a cycle is there.
     longest: int
 
+    def hot_part(self, hot: int) -> tuple[Compiled, int] | None:
+        """The part without cold states, and the mask of these; None where one of the two is empty.
+
+        Cold is what is not in the mask hot, and what a cold state leads into. All-input states are always hot, as they are
+        enabled whatever leads into them. What leads from a hot state to a cold one is marked as a report is.
+        """
+        everything = (1 << len(self.names)) - 1
+        cold = everything & ~(hot | self.all_input)
+        grown = 0
+        while grown != cold:
+            grown = cold
+            for s, out in enumerate(self.succ):
+                if grown >> s & 1:
+                    cold |= out & ~self.all_input
+        inside = everything & ~cold
+        if not cold or not inside:
+            return None
+        crossing = sum(1 << s for s, out in enumerate(self.succ) if inside >> s & 1 and out & cold)
+        part = Compiled(
+            self.nfa_id, self.group_id, [m & inside for m in self.match], [x & inside for x in self.succ], self.all_input,
+            self.start_of_data & inside, self.report & inside | crossing, self.names, self.longest,
+        )
+        return part, cold
+
     def step(self, enabled: int, byte: int) -> tuple[int, int]:
         """States matched on the byte, and the states enabled next."""
         matched = enabled & self.match[byte]

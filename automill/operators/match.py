@@ -44,6 +44,7 @@ def match(
     max_cc_states: int | None = None,
     merge_cc: int = 1,
     app: str | None = None,
+    hot: set[str] | None = None,
 ) -> DataFrame:
     """Every (state, offset) at which a reporting state matches the byte at that offset.
 
@@ -54,12 +55,14 @@ def match(
     tail: whether the remainder behind the last full segment is scanned ('keep') or not ('drop').
     start_scope: start-of-data states fire in the first segment ('first'), or in each ('every_segment');
     'auto' is 'every_segment' when a replicated stream is cut into its replicas, else 'first'.
-    mode: 'reports', or 'count' for one row (n) that counts them; the reports are made all the same, and summed up by Spark.
+    mode: 'reports', or 'count' for one row (n) that counts them, or 'streams' for stream_id and n of streams that have any.
+    Kernels count without making reports; joins, exact seams and padded streams make them and count them then.
+    hot: state ids that strategy 'hybrid' runs by a table; without it, those at most two edges behind a start.
     start and length cut the stream first, if both are given. pad_to fills up with zero bytes, on which
     matches may run on but not be reported.
     """
     for name, value, allowed in (
-        ("seam", seam, ("reset", "exact")), ("mode", mode, ("reports", "count")), ("start_scope", start_scope, ("auto", "first", "every_segment")),
+        ("seam", seam, ("reset", "exact")), ("mode", mode, ("reports", "count", "streams")), ("start_scope", start_scope, ("auto", "first", "every_segment")),
     ):
         if value not in allowed:
             raise ValueError(f"{name} is one of {allowed}, not {value!r}")
@@ -70,7 +73,7 @@ def match(
     if strategy == "auto" and memo_k:
         strategy = "memo"
     plan = planner.plan(
-        automata, strategy=strategy, groups=groups, cc_id=cc_id, cc_with_state=cc_with_state, max_cc_states=max_cc_states, merge_cc=merge_cc
+        automata, strategy=strategy, groups=groups, cc_id=cc_id, cc_with_state=cc_with_state, max_cc_states=max_cc_states, merge_cc=merge_cc, hot=hot
     )
     if start is not None and length is not None:
         streams = sources.slice_streams(streams, start, length)
@@ -100,17 +103,49 @@ def match(
         if every:
             raise ValueError("an uncut stream has one beginning: seam='exact' goes with start_scope 'first'")
         out = _exact(cut, streams, plan, strategy, segment_bytes, replicas, tail)
-    elif strategy in ("relational", "memo"):
-        out = _relational(cut, plan, memo_k or 1 if strategy == "memo" else 0)
+    elif strategy in planner.JOINS:
+        out = _relational(cut, plan, memo_k or 1 if strategy == "memo" else 0, strategy == "ranges")
+    elif mode != "reports" and limit is None:
+        return _counted(_count(cut, plan), mode)
     else:
         out = scan(cut, plan)
     if limit is not None:
         out = out.join(limit, out["stream_id"] == limit["s_"]).where(F.col("offset") < F.col("length_")).drop("s_", "length_")
-    if mode == "count":
-        return out.agg(F.count(F.lit(1)).alias("n"))
+    if mode != "reports":
+        return _counted(out.withColumn("n", F.lit(1).cast("long")), mode)
     return out.withColumn("app", F.lit(app)) if app else out
 
 
+def _counted(rows: DataFrame, mode: str) -> DataFrame:
+    """The sum of n over all rows, or by stream."""
+    total = F.sum("n").alias("n")
+    return rows.groupBy("stream_id").agg(total) if mode == "streams" else rows.agg(F.coalesce(total, F.lit(0).cast("long")).alias("n"))
+
+
+def _count(cut: DataFrame, plan: list[Group]) -> DataFrame:
+    """stream_id and n, the number of reports of each segment that has any; counted in the kernel, so that no report is made."""
+    return reduce(DataFrame.unionByName, [_count_part(cut, part) for part in _passes(plan)])
+
+
+def _count_part(cut: DataFrame, plan: list[Group]) -> DataFrame:
+    shared = cut.sparkSession.sparkContext.broadcast(plan)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts, payloads = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            n = np.zeros(len(payloads), np.int64)
+            for group in shared.value:
+                if group.table is not None and not group.cold:
+                    n += kernels.count(group.table, group.compiled.longest, payloads, firsts)
+                else:
+                    for segs, _, _ in _hits(group, payloads, firsts):
+                        n += np.bincount(segs, minlength=len(n))
+            some = pa.array(np.flatnonzero(n))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array(n).take(some)], ["stream_id", "n"])
+
+    return cut.select("stream_id", "first", "payload").mapInArrow(run, "stream_id string, n long")
+
+
 def _columns(group: Group, segs: np.ndarray, offs: np.ndarray, local: np.ndarray, ids: list[str], bases: np.ndarray) -> pa.RecordBatch:
     c = group.compiled
     numbers, originals, codes, ccs = zip(*c.names)
@@ -131,6 +166,8 @@ def _columns(group: Group, segs: np.ndarray, offs: np.ndarray, local: np.ndarray
 
 
 def _hits(group: Group, payloads: list[bytes], firsts: list[bool]) -> Iterator[kernels.Hits]:
+    if group.cold:
+        return kernels.hybrid(group.compiled, group.cold, group.table, payloads, firsts)
     if group.table is not None:
         return kernels.lock_step(group.table, group.compiled.longest, payloads, firsts)
     return kernels.lazy(group.compiled, payloads, firsts)
@@ -185,11 +222,16 @@ def _names(spark, plan: list[Group]) -> DataFrame:
     return spark.createDataFrame(rows, "g int, s int, nfa_id string, state_id int, original_id string, report_code string, cc_id int, group_id int")
 
 
-def _relational(cut: DataFrame, plan: list[Group], k: int) -> DataFrame:
-    found = relational.match(cut, [x.compiled for x in plan], False, k, keep=keep)
+def _relational(cut: DataFrame, plan: list[Group], k: int, ranges: bool) -> DataFrame:
+    """By joins where a group has no cycle; with one, a match could stay alive to the end, and the kernel takes the group."""
+    cyclic, plan = [x for x in plan if x.dag < 2], [x for x in plan if x.dag == 2]
+    if not plan:
+        return scan(cut, cyclic)
+    found = relational.match(cut, [x.compiled for x in plan], False, k, keep=keep, ranges=ranges)
     names = _names(cut.sparkSession, plan)
     out = found.join(F.broadcast(names), ["g", "s"]).withColumn("offset", F.col("base") + F.col("pos"))
-    return out.select(*[x.split()[0] for x in REPORTS.split(", ")])
+    out = out.select(*[x.split()[0] for x in REPORTS.split(", ")])
+    return out.unionByName(scan(cut, cyclic)) if cyclic else out
 
 
 def _exact(cut: DataFrame, streams: DataFrame, plan: list[Group], strategy: str, segment_bytes: int, replicas: int, tail: str) -> DataFrame:

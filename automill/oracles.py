@@ -134,6 +134,11 @@ ORACLES = {
     "match_start_of_data_part": f'SELECT stream_id, 6::BIGINT AS "offset", {_PART} FROM ({_BRANDS})',
     "match_gap_selfloop_events": _GAP,
     "match_arrow": _GAP,
+    "match_cyclic_by_joins": _GAP,
+    "match_ranges": _digits(_NAMES),
+    "match_two_hops": f"SELECT {_SHORT} FROM ({_keywords(_TYPES, ('click',))})",
+    "match_hot_cold": f"SELECT {_SHORT} FROM ({_keywords(_TYPES, ('click', 'view', 'purchase', 'i'))})",
+    "match_hot_starts": f"SELECT {_SHORT} FROM ({_keywords(_TYPES, ('click', 'view', 'purchase', 'i'))})",
     "match_wildcard_dot": f"SELECT stream_id, p + 2 AS \"offset\", 'v2' AS original_id, 'vv' AS report_code {_DOT}",
     "nfa_match_sql": f"SELECT CAST(stream_id AS INTEGER) AS n_nationkey, p + 2 AS pos, 'v2' AS original_id {_DOT}",
     "match_count_only": "SELECT CAST(sum(" + " + ".join(_count_of(w, "text") for w in ("the", "and", "tion", "ch", "é")) + ") AS BIGINT) AS n FROM documents",

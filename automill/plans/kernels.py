@@ -12,6 +12,7 @@ import numpy as np
 from automill.model import Compiled, Table
 
 Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
+Lanes = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 #: Payload bytes that the lock-step kernel holds at a time, and the longest lane it runs.
 BLOCK_BYTES, LANE = 4_000_000, 2048
@@ -36,21 +37,65 @@ def lock_step(t: Table, longest: int, payloads: list[bytes], firsts: list[bool])
     ``longest - 1`` bytes early with nothing pending, and drop what they see before their own part. A
     segment of an automaton with cycles is one lane; long ones are run by themselves.
     """
-    wide = np.ascontiguousarray(t.next[:, t.classes] * 256)
-    marks = np.ascontiguousarray(t.reports[:, t.classes])
-    nexts, marks = wide.reshape(-1), marks.reshape(-1)
+    nexts, marks = _flat(t)
+    for i, part in _parts(payloads):
+        yield from _block(t, longest, nexts, marks, part, firsts[i : i + len(part)], i)
+
+
+def count(t: Table, longest: int, payloads: list[bytes], firsts: list[bool]) -> np.ndarray:
+    """The number of reports of each payload, as lock_step would make them, without making them."""
+    nexts, marks = _flat(t)
+    sizes = np.array([len(x) for x in t.report_sets], np.int64)[marks]
+    out = np.zeros(len(payloads), np.int64)
+    for i, part in _parts(payloads):
+        got = _lanes(t, longest, part, firsts[i : i + len(part)])
+        if got is None:
+            continue
+        data = np.frombuffer(b"".join(part), np.uint8)
+        start, size, seg, _, skip, row = got
+        state, totals = row * 256, np.zeros(len(start), np.int64)
+        alive, t_end = _steps(size)
+        late = int(skip.max())
+        for p in range(t_end):
+            n = alive[p]
+            index = state[:n] + data[start[:n] + p]
+            totals[:n] += sizes[index] if p >= late else sizes[index] * (skip[:n] <= p)
+            state = nexts[index].astype(np.int64)
+        if t_end < len(alive):
+            next_list, size_list = nexts.tolist(), sizes.tolist()
+            for lane in range(int(alive[t_end])):
+                here, own, n = int(state[lane]), int(start[lane] + max(skip[lane], t_end)), 0
+                first = int(start[lane]) + t_end
+                for q, b in enumerate(data[first : start[lane] + size[lane]].tolist(), first):
+                    x = here + b
+                    if q >= own:
+                        n += size_list[x]
+                    here = next_list[x]
+                totals[lane] += n
+        np.add.at(out, i + seg, totals)
+    return out
+
+
+def _flat(t: Table) -> tuple[np.ndarray, np.ndarray]:
+    """Next row (times 256) and report set by row times 256 plus byte."""
+    return np.ascontiguousarray(t.next[:, t.classes] * 256).reshape(-1), np.ascontiguousarray(t.reports[:, t.classes]).reshape(-1)
+
+
+def _parts(payloads: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """The payloads in parts of at most BLOCK_BYTES, or one longer payload, and where each part begins."""
     i = 0
     while i < len(payloads):
         j, size = i, 0
         while j < len(payloads) and (j == i or size + len(payloads[j]) <= BLOCK_BYTES):
             size += len(payloads[j])
             j += 1
-        yield from _block(t, longest, nexts, marks, payloads[i:j], firsts[i:j], i)
+        yield i, payloads[i:j]
         i = j
 
 
-def _block(t: Table, longest: int, nexts, marks, payloads, firsts, base) -> Iterator[Hits]:
-    lanes = []  # start in the data, bytes, segment, offset of the first byte, bytes to ignore, row
+def _lanes(t: Table, longest: int, payloads: list[bytes], firsts: list[bool]) -> Lanes | None:
+    """Start in the joined data, bytes, segment, offset of the first byte, bytes to ignore and first row of each lane, longest first."""
+    lanes = []
     at = 0
     for k, p in enumerate(payloads):
         row = t.first if firsts[k] else t.later
@@ -61,17 +106,27 @@ def _block(t: Table, longest: int, nexts, marks, payloads, firsts, base) -> Iter
         elif len(p):
             lanes.append((at, len(p), k, 0, 0, row))
         at += len(p)
-    if not lanes:
+    lanes.sort(key=lambda x: -x[1])
+    return tuple(np.array(x, np.int64) for x in zip(*lanes)) if lanes else None
+
+
+def _steps(size: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many lanes have a byte at each step, and the step from which on too few are left to run side by side."""
+    steps, few = int(size[0]), 24
+    alive = np.searchsorted(-size, -np.arange(steps), "left")  # lanes with more than t bytes
+    return alive, int(np.searchsorted(-alive, -few, "right")) if alive[-1] < few else steps
+
+
+def _block(t: Table, longest: int, nexts, marks, payloads, firsts, base) -> Iterator[Hits]:
+    lanes = _lanes(t, longest, payloads, firsts)
+    if lanes is None:
         return
     data = np.frombuffer(b"".join(payloads), np.uint8)
-    lanes.sort(key=lambda x: -x[1])
-    start, size, seg, off, skip, row = (np.array(x, np.int64) for x in zip(*lanes))
+    start, size, seg, off, skip, row = lanes
     state = row * 256
-    few = 24
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    steps = int(size[0])
-    alive = np.searchsorted(-size, -np.arange(steps), "left")  # lanes with more than t bytes
-    t_end = int(np.searchsorted(-alive, -few, "right")) if alive[-1] < few else steps
+    alive, t_end = _steps(size)
+    steps = len(alive)
     for p in range(t_end):
         n = alive[p]
         index = state[:n] + data[start[:n] + p]
@@ -129,6 +184,58 @@ def lazy(c: Compiled, payloads: list[bytes], firsts: list[bool], every: bool = F
         yield np.array(segs), np.array(offs), np.array(states)
 
 
+def hybrid(c: Compiled, cold: int, table: Table, payloads: list[bytes], firsts: list[bool]) -> Iterator[Hits]:
+    """Hot states by a table, side by side; cold states by masks, from where a hot one activates them until none is left.
+
+    The table is that of c's hot part, with marks at its reports and at the states with cold successors. No cold state
+    leads into a hot one that is not enabled anyway, so its pass is right by itself, and a byte is looked at again only
+    where cold states are enabled.
+    """
+    into = [x & cold for x in c.succ]
+    wake: dict[int, dict[int, int]] = {}
+    if c.start_of_data & cold:
+        wake = {k: {0: c.start_of_data & cold} for k, first in enumerate(firsts) if first}
+    reports, crosses = (np.array([bool(x) for x in marks]) for marks in ([c.report >> s & 1 for s in range(len(c.names))], into))
+    for segs, offs, states in lock_step(table, c.longest, payloads, firsts):
+        reporting, crossing = reports[states], crosses[states]
+        if reporting.any():
+            yield segs[reporting], offs[reporting], states[reporting]
+        for k, p, s in zip(segs[crossing].tolist(), offs[crossing].tolist(), states[crossing].tolist()):
+            here = wake.setdefault(k, {})
+            here[p + 1] = here.get(p + 1, 0) | into[s]
+    known: dict[tuple[int, int], tuple[int, int]] = {}
+    out: list[tuple[int, int, int]] = []
+    for k, places in wake.items():
+        payload, end = payloads[k], -1
+        for begin in sorted(places):
+            if begin < end:
+                continue
+            p, enabled = begin, places[begin]
+            while enabled and p < len(payload):
+                key = enabled, payload[p]
+                if key not in known:
+                    if len(known) >= CACHE:
+                        known.clear()
+                    matched, after = enabled & c.match[payload[p]], 0
+                    for s in _bits(matched):
+                        after |= into[s]
+                    known[key] = matched & c.report, after
+                hit, enabled = known[key]
+                out += [(k, p, s) for s in _bits(hit)]
+                p += 1
+                enabled |= places.get(p, 0)
+            end = p + 1
+            if len(out) > 100_000:
+                yield tuple(np.array(x) for x in zip(*out))
+                out = []
+    if out:
+        yield tuple(np.array(x) for x in zip(*out))
+
+
+def _bits(mask: int) -> list[int]:
+    return [s for s in range(mask.bit_length()) if mask >> s & 1]
+
+
 def profile(c: Compiled, payloads: list[bytes], firsts: list[bool], compat: bool) -> np.ndarray:
     """How often each local state is active.
 

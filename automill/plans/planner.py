@@ -4,7 +4,11 @@ Decided on the driver from the compiled automata before a plan is built:
 
 * ``table``: a deterministic table per group, segments side by side. Chosen while the table is small.
 * ``arrow``: a table that fills as it is used. Always right; chosen when the table would grow too large.
-* ``relational``: joins of frontier, edges and bytes. For acyclic components and short paths.
+* ``hybrid``: a table for the hot states, masks for the cold ones, where they are enabled. For components whose
+  table would be too large, but whose states far from the starts are seldom reached.
+* ``relational``: joins of frontier, edges and bytes. For acyclic components and short paths; groups with a cycle
+  (``dag_class`` 0 or 1) go to the ``arrow`` kernel.
+* ``ranges``: as relational, with sets of bytes as ranges: wide classes are a row or two of the broadcast table.
 * ``memo``: a broadcast join on the first k bytes, the rest relational.
 """
 
@@ -18,13 +22,19 @@ from automill.operators.graph import components, group_by_count, group_by_size
 
 #: Rows of a deterministic table, and states of a group when groups are made by size.
 TABLE_ROWS, GROUP_STATES = 4096, 4000
-STRATEGIES = ("auto", "table", "arrow", "relational", "memo", "vector")
+STRATEGIES = ("auto", "table", "arrow", "relational", "ranges", "memo", "vector", "hybrid")
+#: Strategies that join, and layers behind the starts that are hot unless it is said which states are.
+JOINS, HOT_LAYERS = ("relational", "ranges", "memo"), 2
 
 
 @dataclass
 class Group:
     compiled: Compiled
     table: Table | None
+    #: The states that the table leaves to masks.
+    cold: int = 0
+    #: 2 without cycles, 1 with self loops only, else 0.
+    dag: int = 0
 
 
 def component_filter(a: Automaton, cc_id: int | None, cc_with_state: str | None, max_cc_states: int | None) -> tuple[list[int], list[int]]:
@@ -58,8 +68,9 @@ def plan(
     cc_with_state: str | None = None,
     max_cc_states: int | None = None,
     merge_cc: int = 1,
+    hot: set[str] | None = None,
 ) -> list[Group]:
-    """Groups of components, compiled; group ids count from 0 within each automaton."""
+    """Groups of components, compiled; group ids count from 0 within each automaton. hot: ids of the states that 'hybrid' takes for hot."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {STRATEGIES}, not {strategy!r}")
     out = []
@@ -73,27 +84,44 @@ def plan(
         members = [sum(members[i : i + merge_cc], []) for i in range(0, len(members), merge_cc)]
         parts = group_by_count(len(members), groups) if groups else group_by_size([len(m) for m in members], GROUP_STATES)
         for g, part in enumerate(parts):
-            out += _compiled(a, [members[k] for k in part], labels, g, strategy)
+            out += _compiled(a, [members[k] for k in part], labels, g, strategy, hot)
     return out
 
 
-def _compiled(a: Automaton, members: list[list[int]], labels: list[int], group: int, strategy: str) -> list[Group]:
+def _compiled(a: Automaton, members: list[list[int]], labels: list[int], group: int, strategy: str, hot: set[str] | None) -> list[Group]:
     """A group, as one table if it stays small, else halved while halves help, else without a table."""
     states = sorted(sum(members, []))
     c = compile_group(a, states, labels, group)
-    if strategy not in ("auto", "table", "vector"):
+    if strategy in JOINS:
+        return [Group(c, None, dag=dag_class(a.part(states)))]
+    if strategy == "arrow":
         return [Group(c, None)]
+    if strategy == "hybrid":
+        near = _near_starts(c) if hot is None else sum(1 << k for k, s in enumerate(states) if a.states[s].str_id in hot)
+        part = c.hot_part(near)
+        table = determinise(part[0] if part else c, TABLE_ROWS)
+        return [Group(c, table, part[1] if part and table else 0)]
     table = determinise(c, TABLE_ROWS)
     if table is not None:
         return [Group(c, table)]
     if len(members) > 1:
         half = math.ceil(len(members) / 2)
-        return _compiled(a, members[:half], labels, group, strategy) + _compiled(a, members[half:], labels, group, strategy)
+        return _compiled(a, members[:half], labels, group, strategy, hot) + _compiled(a, members[half:], labels, group, strategy, hot)
     if strategy == "auto":
         return [Group(c, None)]
     raise ValueError(f"a table of {TABLE_ROWS} rows is too small for component {labels[states[0]]}; use 'arrow' or 'auto'")
 
 
+def _near_starts(c: Compiled) -> int:
+    """The states at most HOT_LAYERS edges behind a start."""
+    near = c.all_input | c.start_of_data
+    for _ in range(HOT_LAYERS):
+        for s, out in enumerate(c.succ):
+            if near >> s & 1:
+                near |= out
+    return near
+
+
 def dag_class(a: Automaton) -> int:
     """2 without cycles, 1 with self loops only, else 0."""
     from automill.operators.graph import strong_components

@@ -2,7 +2,9 @@
 
 All positions of all segments are worked on at once. A round joins the frontier with the edges and with
 the bytes at the next positions, so the number of rounds is the longest run of a match, not the length
-of the input. With a memo table the first k bytes are one broadcast join.
+of the input, and is known beforehand for automata without cycles. With a memo table the first k bytes are one
+broadcast join. A round makes ``HOPS`` moves over bytes that one join has fetched, so the frontier is shuffled once
+for so many bytes; states without successors leave it at once.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from automill.sources.streams import positions
 
 #: Rounds after which a match by joins gives up; cyclic automata need as many as the longest segment.
 MAX_ROUNDS = 64
+#: Moves of a round.
+HOPS = 2
 #: Rows of an automaton's tables that are broadcast at most.
 BROADCAST_ROWS = 2_000_000
 
@@ -47,41 +51,73 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def match(segments: DataFrame, groups: list[Compiled], every_segment: bool, k: int = 0, keep=None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def _ranges(state_bytes: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(g, s, lo, hi) of the sorted bytes (g, s, byte)."""
+    out: list[tuple[int, int, int, int]] = []
+    for g, s, b in sorted(state_bytes):
+        if out and out[-1][:2] == (g, s) and out[-1][3] == b - 1:
+            out[-1] = (g, s, out[-1][2], b)
+        else:
+            out.append((g, s, b, b))
+    return out
+
+
+def match(
+    segments: DataFrame, groups: list[Compiled], every_segment: bool, k: int = 0, keep=None, max_rounds: int = MAX_ROUNDS, ranges: bool = False, hops: int = HOPS
+) -> DataFrame:
     """Rows (stream_id, base, pos, g, s) of reports, distinct.
 
-    keep writes a table and returns it, which cuts the lineage of every round.
+    keep writes a table and returns it, which cuts the lineage of every round. ranges: a move compares its byte with
+    the bounds of the next state's ranges, instead of looking for the byte among the state's bytes.
     """
     spark = segments.sparkSession
     state_bytes, edges, states = tables(spark, groups)
     size = sum(m.bit_count() for c in groups for m in c.match)
-    matches = _small(state_bytes, size)
-    moves = _small(edges.join(state_bytes.withColumnRenamed("s", "t"), ["g", "t"]).select("g", "s", F.col("t"), "byte"), size)
+    if ranges:
+        bounds = _ranges([(g, s, b) for g, c in enumerate(groups) for b, m in enumerate(c.match) for s in range(len(c.names)) if m >> s & 1])
+        sets, holds = spark.createDataFrame(bounds, "g int, t int, lo int, hi int"), lambda byte: F.col(byte).between(F.col("lo"), F.col("hi"))
+    else:
+        sets, holds = state_bytes.select("g", F.col("s").alias("t"), F.col("byte").alias("on")), lambda byte: F.col(byte) == F.col("on")
+    moves = _small(edges.join(sets, ["g", "t"]).withColumnsRenamed({"g": "g_", "s": "s_"}), size)
+    move = lambda rows, byte: rows.join(moves, (F.col("g") == F.col("g_")) & (F.col("s") == F.col("s_")) & holds(byte))
     info = _small(states, size)
-    places = keep(positions(segments))
+    leading = _small(edges.select("g", "s").distinct(), size)
+    # Bytes that a match can still take after its first; more than any of them for automata with cycles.
+    reach = max((c.longest or max_rounds * hops + 2 for c in groups), default=1) - max(k, 1)
+    cyclic = any(c.longest == 0 for c in groups)
+    late = k > 0 and any(c.start_of_data for c in groups)
+    places = positions(segments, hops)
+    if reach > 0 or late:
+        places = keep(places)
     reporting = lambda rows: rows.join(info.where("report"), ["g", "s"], "left_semi").select("stream_id", "base", "pos", "g", "s")
+    going = lambda rows: rows.join(leading, ["g", "s"], "left_semi")
     started = info.where("start > 0").join(state_bytes, ["g", "s"]).select("g", "s", "start", "byte")
     begin = (F.col("start") == ALL_INPUT) | ((F.col("pos") == 0) & (F.col("first") | F.lit(every_segment)))
     if k == 0:
-        active = places.join(_small(started, size), "byte").where(begin).select(*_KEY, "pos", "g", "s")
-        frontier = keep(active)
+        frontier = places.join(_small(started, size), "byte").where(begin).select(*_KEY, "pos", "g", "s")
         found = reporting(frontier)
     else:
         frontier, found = _from_memo(spark, segments, groups, k, every_segment, keep)
-        seeds = places.join(_small(started, size), "byte").where((F.col("start") != ALL_INPUT) & begin).select(*_KEY, "pos", "g", "s")
-        frontier = keep(frontier.unionByName(seeds))
-        found = found.unionByName(reporting(seeds))
+        if late:
+            # These have not taken k bytes yet.
+            seeds = places.join(_small(started, size), "byte").where((F.col("start") != ALL_INPUT) & begin).select(*_KEY, "pos", "g", "s")
+            frontier, found, reach = frontier.unionByName(seeds), found.unionByName(reporting(seeds)), reach + k - 1
     out = [found]
-    ahead = places.select(*_KEY, (F.col("pos") - 1).alias("pos"), "byte")
-    for _ in range(max_rounds):
-        nxt = frontier.join(ahead, [*_KEY, "pos"]).join(moves, ["g", "s", "byte"])
-        nxt = nxt.select(*_KEY, (F.col("pos") + 1).alias("pos"), "g", F.col("t").alias("s")).distinct()
-        frontier = keep(nxt)
-        if frontier.isEmpty():
+    next_bytes = [F.col("byte" if j == 0 else f"byte{j}").alias(f"ahead{j}") for j in range(hops)]
+    ahead = places.select(*_KEY, (F.col("pos") - 1).alias("pos"), *next_bytes)
+    done = 0
+    while done < reach:
+        if done >= max_rounds * hops:
+            raise TooManyRounds(f"the frontier isn't empty after {max_rounds} rounds; use 'arrow'")
+        here = keep(going(frontier).distinct().join(ahead, [*_KEY, "pos"]))
+        if (cyclic or reach - done > hops) and here.isEmpty():
             break
-        out.append(reporting(frontier))
-    else:
-        raise TooManyRounds(f"the frontier isn't empty after {max_rounds} rounds; use 'arrow'")
+        rows = here
+        for j in range(min(hops, reach - done)):
+            rows = move(rows, f"ahead{j}").select(*_KEY, (F.col("pos") + 1).alias("pos"), "g", F.col("t").alias("s"), *[f"ahead{i}" for i in range(j + 1, hops)])
+            out.append(reporting(rows))
+            rows = going(rows)
+        frontier, done = rows.select(*_KEY, "pos", "g", "s"), done + hops
     rows = out[0]
     for more in out[1:]:
         rows = rows.unionByName(more)
@@ -90,7 +126,7 @@ def match(segments: DataFrame, groups: list[Compiled], every_segment: bool, k: i
 
 def memo(groups: list[Compiled], k: int) -> list[tuple[int, int, list[int], list[int]]]:
     """(g, gram, states, reports): for each k-gram that leaves something pending, the states that match at its
-    last byte after starting within it at any of its bytes, and those of them that report."""
+    last byte after starting at its first, and those of them that report."""
     out = []
     for g, c in enumerate(groups):
         front = {(): 0}

@@ -136,6 +136,33 @@ def match_relational_dag(spark, sf_dir):
     return _short(matching.match(DIGITS, None, _streams(spark, sf_dir, "customer", "c_custkey", "c_name"), strategy="relational"))
 
 
+def match_ranges(spark, sf_dir):
+    return _short(matching.match(DIGITS, None, _streams(spark, sf_dir, "customer", "c_custkey", "c_name"), strategy="ranges"))
+
+
+def match_two_hops(spark, sf_dir):
+    """Five bytes of a match in two rounds of two moves."""
+    data = _streams(spark, sf_dir, "events", "event_id", "event_type")
+    return _short(matching.match(keywords("click", ("click",)), None, data, strategy="relational"))
+
+
+def match_cyclic_by_joins(spark, sf_dir):
+    """Joins are asked for, but the automaton has a cycle, and its group goes to the kernel."""
+    return _short(matching.match(GAP, None, _streams(spark, sf_dir, "events", "event_id", "event_type"), strategy="relational"))
+
+
+def match_hot_cold(spark, sf_dir):
+    """The first states of every keyword are hot, by the layers behind the starts."""
+    data = _streams(spark, sf_dir, "events", "event_id", "event_type")
+    return _short(matching.match(EVENTS, None, data, strategy="hybrid"))
+
+
+def match_hot_starts(spark, sf_dir):
+    """The starts alone are hot, whatever is said of the others."""
+    data = _streams(spark, sf_dir, "events", "event_id", "event_type")
+    return _short(matching.match(EVENTS, None, data, strategy="hybrid", hot=set()))
+
+
 def match_arrow(spark, sf_dir):
     return _short(matching.match(GAP, None, _streams(spark, sf_dir, "events", "event_id", "event_type"), strategy="arrow"))
 
@@ -171,9 +198,9 @@ def match_page_tags(spark, sf_dir):
 
 
 def reports_by_quality(spark, sf_dir):
-    found = matching.match(DOCS, None, _streams(spark, sf_dir, "documents", "doc_id", "text"))
+    found = matching.match(DOCS, None, _streams(spark, sf_dir, "documents", "doc_id", "text"), mode="streams")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("string").alias("stream_id"), "quality")
-    return found.groupBy("stream_id").agg(F.count(F.lit(1)).alias("c")).join(labels, "stream_id").groupBy("quality").agg(F.sum("c").alias("n"))
+    return found.join(labels, "stream_id").groupBy("quality").agg(F.sum("n").alias("n"))
 
 
 def nfa_match_sql(spark, sf_dir):
@@ -422,7 +449,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         match_keyword_documents, match_multi_keyword_events, match_class_digits_props, match_start_of_data_part, match_gap_selfloop_events,
         match_wildcard_dot, match_count_only, match_report_codes, match_segment_reset, match_segment_exact, match_tail_dropped,
-        match_duplicated, match_relational_dag, match_arrow, match_grouped, match_one_component, match_slice, match_padded,
+        match_duplicated, match_relational_dag, match_ranges, match_two_hops, match_cyclic_by_joins, match_hot_cold, match_hot_starts, match_arrow, match_grouped, match_one_component, match_slice, match_padded,
         match_conversation_turns, match_page_tags, reports_by_quality, nfa_match_sql, stream_alphabet, stream_slice, stream_chunk,
         stream_chunk_replicated, stream_pad, stream_kgrams, stream_point_edit, random_stream_bytes, nfa_summary, nfa_extended_summary,
         nfa_degree_hist, nfa_in_degree_hist, nfa_log_degree_hist, nfa_components, nfa_counts, nfa_layers, nfa_alphabet, symbolset_ranges,

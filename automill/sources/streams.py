@@ -95,12 +95,16 @@ def alphabet(streams: DataFrame) -> DataFrame:
     return streams.select("stream_id", values.alias("alphabet"))
 
 
-def positions(segments_: DataFrame) -> DataFrame:
-    """One row per byte: stream_id, seg_id, base, first, pos (in the segment) and byte."""
+def positions(segments_: DataFrame, width: int = 1) -> DataFrame:
+    """One row per byte: stream_id, seg_id, base, first, pos (in the segment), byte, and byte1 and on, the width - 1 bytes that follow; null past the end."""
     n = F.octet_length("payload")
     rows = segments_.where(n > 0).withColumn("pos", F.explode(F.sequence(F.lit(0), n - 1)))
-    byte = F.conv(F.hex(F.substring(F.col("payload"), F.col("pos") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.select("stream_id", "seg_id", "base", "first", "pos", byte.alias("byte"))
+
+    def at(j: int) -> Column:
+        byte = F.conv(F.hex(F.substring(F.col("payload"), F.col("pos") + 1 + j, F.lit(1))), 16, 10).cast("int")
+        return F.when(F.col("pos") + j < n, byte) if j else byte
+
+    return rows.select("stream_id", "seg_id", "base", "first", "pos", *[at(j).alias(f"byte{j}" if j else "byte") for j in range(width)])
 
 
 def get_byte(payload: Column, position: int) -> Column:

@@ -42,6 +42,9 @@ def register(spark: SparkSession, automata: dict[str, Automaton]) -> None:
             at = np.flatnonzero((names == name).to_numpy() & payloads.notna().to_numpy())
             data = [bytes(payloads.iloc[i]) for i in at]
             for group in shared.value[name]:
+                if group.table is not None:
+                    out[at] += kernels.count(group.table, group.compiled.longest, data, [True] * len(at))
+                    continue
                 for segs, _, _ in _hits(group, data):
                     out[at] += np.bincount(segs, minlength=len(at))
         return pd.Series(out)

@@ -14,7 +14,10 @@ from automill.plans import kernels, planner
 def run(a, payloads, firsts, strategy="auto", **options):
     out = set()
     for g in planner.plan([a], strategy=strategy, **options):
-        hits = kernels.lock_step(g.table, g.compiled.longest, payloads, firsts) if g.table else kernels.lazy(g.compiled, payloads, firsts)
+        if g.cold:
+            hits = kernels.hybrid(g.compiled, g.cold, g.table, payloads, firsts)
+        else:
+            hits = kernels.lock_step(g.table, g.compiled.longest, payloads, firsts) if g.table else kernels.lazy(g.compiled, payloads, firsts)
         for seg, off, local in hits:
             found = {(int(s), int(o), g.compiled.names[k][0]) for s, o, k in zip(seg, off, local)}
             assert not out & found  # a report is made once
@@ -50,6 +53,31 @@ def test_long_lanes(seed, cycles, data):
         kernels.LANE, kernels.BLOCK_BYTES = before
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10_000), st.booleans(), texts, st.none() | st.sets(st.integers(0, 6)))
+def test_hybrid(seed, cycles, data, hot):
+    a = oracle.random_automaton(seed, cycles=cycles)
+    payloads, firsts = zip(*data)
+    hot = None if hot is None else {f"s{k}" for k in hot}
+    assert run(a, payloads, firsts, "hybrid", hot=hot) == expected(a, payloads, firsts)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10_000), st.booleans(), texts, st.booleans())
+def test_counts(seed, cycles, data, lanes):
+    """The kernel that counts, with lanes and without."""
+    a = oracle.random_automaton(seed, cycles=cycles)
+    payloads, firsts = zip(*data)
+    before = (kernels.LANE, kernels.BLOCK_BYTES)
+    kernels.LANE, kernels.BLOCK_BYTES = (7, 30) if lanes else before
+    try:
+        n = sum(kernels.count(g.table, g.compiled.longest, list(payloads), list(firsts)) for g in planner.plan([a]))
+    finally:
+        kernels.LANE, kernels.BLOCK_BYTES = before
+    found = [k for k, _, _ in expected(a, payloads, firsts)]
+    assert n.tolist() == [found.count(k) for k in range(len(payloads))]
+
+
 def test_small_cases():
     one = lambda a, d, first=True: {p for _, p, _ in run(a, [d], [first])}
     assert one(keywords("w", ["ab"], start="start-of-data"), b"abab") == {1}
