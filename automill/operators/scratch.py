@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in the cluster's shared folder; where none is set, in one of our own, if driver and executors are one machine."""
-    context = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; where none is set, one of our own, if driver and executors are one machine."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="automill-"))
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="automill-"))
+    return context.getCheckpointDir()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """A checkpoint of df in the shared folder."""
+    folder(df.sparkSession)
     return df.checkpoint()

@@ -161,6 +161,8 @@ def _from_memo(spark, segments: DataFrame, groups: list[Compiled], k: int, every
     found = frontier = None
     for j in range(1, k + 1):
         table = memo(groups, j)
+        if j < k and not any(row[3] for row in table):
+            continue
         rows = spark.createDataFrame(table, "g int, gram bigint, states array<int>, reports array<int>")
         hit = grams.join(_small(rows, len(table)), F.col(f"g{j}") == F.col("gram"))
         at = [*_KEY, (F.col("start") + j - 1).alias("pos"), "g"]
