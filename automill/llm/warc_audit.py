@@ -15,6 +15,7 @@ record by record; empty tables give an empty result; other columns pass by.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from automill.llm.scratch import keep
 
-#: Bytes of a leaf range, and children of a node.
-RANGE, FANOUT = 1 << 20, 16
+#: Bytes of a leaf range, and children of a node. An archive of half a megabyte has three levels, one of a gigabyte six.
+RANGE, FANOUT = 1 << 16, 8
+#: Compressed bytes that are unpacked at a time.
+_CHUNK = 1 << 16
 #: Pages of an archive that ``archive_pages`` writes.
 PAGES = 256
 
@@ -86,8 +89,32 @@ def parse_warc(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         at = end
 
 
+def parse_warc_gz(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """As parse_warc, of an archive with a gzip member for each record: offset and length are the member's, as indexes of such archives name them.
+
+    A member that holds no record, or ends before its data does, has no fields and what could be unpacked as its payload.
+    """
+    at = 0
+    while at < len(data):
+        unpack, out, fed = zlib.decompressobj(31), [], at
+        try:
+            while not unpack.eof and fed < len(data):
+                out.append(unpack.decompress(data[fed : fed + _CHUNK]))
+                fed = min(len(data), fed + _CHUNK)
+            end = fed - len(unpack.unused_data)
+        except zlib.error:  # what is left is no member, and one damaged record
+            end = len(data)
+        record = b"".join(out)
+        _, _, fields, payload = next(parse_warc(record), (0, 0, {}, record))
+        yield at, end - at, fields, payload
+        at = end
+
+
 def read_archives(files: DataFrame) -> DataFrame:
-    """Records of whole files as read by Spark's binaryFile source: archive, offset, length, sha256."""
+    """Records of whole files as read by Spark's binaryFile source: archive, offset, length, sha256.
+
+    Files may be plain or have a gzip member for each record; the digest is that of the bytes as they are stored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -95,7 +122,9 @@ def read_archives(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += [(path, o, n, hashlib.sha256(content[o : o + n]).hexdigest()) for o, n, _, _ in parse_warc(content or b"")]
+                content = content or b""
+                parse = parse_warc_gz if content.startswith(b"\x1f\x8b") else parse_warc
+                rows += [(path, o, n, hashlib.sha256(memoryview(content)[o : o + n]).hexdigest()) for o, n, _, _ in parse(content)]
             columns = list(zip(*rows)) or [()] * 4
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["archive", "offset", "length", "sha256"])

@@ -418,3 +418,27 @@ def test_near_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries_near.op6_near_dedup(spark, SF).collect()}
     assert got == brute.near_components(rows)
+
+
+def test_warc_gz(spark, tmp_path):
+    """A member for each record; a damaged member is one record, and the others are still found."""
+    import gzip
+
+    records = [b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(p), p) for p in (b"one", b"", b"x" * 200_000, b"four")]
+    members = [gzip.compress(r) for r in records]
+    found = list(warc_audit.parse_warc_gz(b"".join(members)))
+    assert [p for *_, p in found] == [b"one", b"", b"x" * 200_000, b"four"]
+    assert [(o, n) for o, n, _, _ in found] == [(sum(map(len, members[:k])), len(m)) for k, m in enumerate(members)]
+    assert len(list(warc_audit.parse_warc_gz(members[0] + b"junk"))) == 2 and not list(warc_audit.parse_warc_gz(b""))
+    for name, last in (("a", members[3]), ("b", gzip.compress(records[3].replace(b"four", b"five")))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc.gz").write_bytes(b"".join([*members[:3], last]))
+    read = lambda name: warc_audit.read_archives(spark.read.format("binaryFile").load(str(tmp_path / name))).withColumn("archive", F.lit("x"))
+    bad = warc_audit.audit(read("a"), read("b")).collect()
+    assert [(r.archive, r.offset, r.status) for r in bad] == [("x", sum(map(len, members[:3])), "changed")]
+
+
+def test_warc_levels_of_the_query(spark):
+    """The query's archives have several levels, and its result does not depend on how many."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    assert len(warc_audit.merkle_levels(warc_audit.archive_pages(pages))) >= 3
