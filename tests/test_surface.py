@@ -12,7 +12,7 @@ from automill.operators import analysis, sinks, transforms
 from automill.operators.match import match
 from automill.operators.scratch import keep
 from automill.queries import MIXED
-from automill.sources import streams, tables
+from automill.sources import anml, streams, tables
 from automill.streaming.carry import advance, match_stream
 from automill.plans import planner
 
@@ -162,6 +162,23 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main([*args, "--duplicate-input-stream", "2", "--precompute-depth", "1", "--quick-validation", "4"]) == 0
 
 
+def test_cli_hot_and_packing(spark, tmp_path, capsys):
+    """Options that change how a match runs, and never what it reports."""
+    (tmp_path / "a.anml").write_text(PAIR)
+    (tmp_path / "in").write_bytes(b"x1 x2 z1 ay1")
+    ids = [s.str_id for s in anml.parse(PAIR.encode()).states]
+    (tmp_path / "freq").write_text("".join(f"{name} {0.5 / (k + 1)}\n" for k, name in enumerate(ids)))
+    args = ["-a", str(tmp_path / "a.anml"), "-i", str(tmp_path / "in"), "--quick-validation", "2", "--validation"]
+    for more in (
+        ["--hot-limit-by-bfs", "1"], ["--hot-limit-by-bfs-ratio", "0.5"], ["--hot-cold-filter", str(tmp_path / "freq"), "--cold-threshold", "0.3"],
+        ["--packing", "1"], ["--packing", "3", "--packing-file", str(tmp_path / "freq")],
+    ):
+        assert cli.main([*args, *more]) == 0, more
+    with pytest.raises(ValueError):
+        cli.main([*args, "--packing", "2"])
+    assert cli.main([*args, "--tuning"]) == 0 and "strategy" in capsys.readouterr().out
+
+
 def test_random_source(spark, tmp_path):
     a = keywords("k", [b"\x00"])
     data = streams.random_stream(spark, 5000, seed=3)
