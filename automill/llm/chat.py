@@ -1,9 +1,9 @@
 """Chat formatting with a grammar round trip.
 
 A conversation is rendered as ``### Role: text</turn>`` and a newline for each turn. A deterministic
-parser of the same grammar reads the rendering back; turns that do not come back as they were, because
-their text looks like the grammar, are escaped and rendered again, until the turns read equal the
-source. Escaping replaces ``\\``, ``<``, ``#`` and ``:`` by two-character codes and touches nothing else, so
+parser of the same grammar reads the rendering back; turns that do not come back as they were, or whose role or
+text holds one of the control strings ``### `` and ``</turn>`` wherever it stands, are escaped and rendered again,
+until the turns read equal the source and marks stand only where turns begin and end. Escaping replaces ``\\``, ``<``, ``#`` and ``:`` by two-character codes and touches nothing else, so
 it is undone exactly, and a turn in which none of them is left cannot conflict: the second round
 always succeeds, which the query's ``exact`` column confirms.
 
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from automill.llm.text import filled
 
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
+#: What a text must not hold unescaped, besides OPEN.
+MARK = "</turn>"
 #: The role whose texts are under the loss mask.
 TARGET = "assistant"
 #: Rounds of rendering, parsing and escaping.
@@ -86,11 +88,13 @@ def format_chats(
     chats = chats.select("conv", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
     chats = chats.withColumn("written", F.col("source"))
     for _ in range(ROUNDS):
-        # A turn that alone, rendered and read, is not itself conflicts with the grammar.
+        # A turn that alone, rendered and read, is not itself, or that holds a mark, conflicts with the grammar.
         def settled(t: Column, i: Column) -> Column:
             alone = _read(parse(render(F.array(t))))
             source = F.get("source", i)
-            fine = (F.size(alone) == 1) & F.get(alone, F.lit(0)).eqNullSafe(source)
+            said = F.concat(t["role"], F.lit("\n"), t["text"])
+            marked = F.contains(said, F.lit(OPEN)) | F.contains(said, F.lit(MARK))
+            fine = (F.size(alone) == 1) & F.get(alone, F.lit(0)).eqNullSafe(source) & ~marked
             escaped = F.struct(escape(source["role"]).alias("role"), escape(source["text"]).alias("text"))
             return F.when(F.coalesce(fine, F.lit(False)), t).otherwise(escaped)
 

@@ -74,9 +74,9 @@ WITH c AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), w AS (
-  SELECT *, (CASE WHEN contains(text, '</turn>' || chr(10)) OR contains(text, '\\') OR contains(text, '\l') OR contains(text, '\h')
+  SELECT *, (CASE WHEN contains(text, '</turn>') OR contains(text, '### ') OR contains(role, '### ') OR contains(text, '\\') OR contains(text, '\l') OR contains(text, '\h')
                     OR contains(text, '\c') OR contains(role, '\\') OR contains(role, '\l') OR contains(role, '\h')
-                    OR contains(role, '\c') OR contains(role, ': ') OR contains(role, '</turn>' || chr(10))
+                    OR contains(role, '\c') OR contains(role, ': ') OR contains(role, '</turn>')
                THEN length(role) + length(text)
                     + length(regexp_replace(role || text, '[^\\<#:]', '', 'g'))
                ELSE length(role) + length(text) END) + 14 AS written
