@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from automill.functions import symbolset
 from automill.model import ALL_INPUT, NONE, Automaton, AutomatonError, State
 from automill.operators import graph
+from automill.operators.numbering import ranked
+from automill.operators.scratch import keep as _keep
 
 # On tables.
 
@@ -64,11 +66,12 @@ def component_table(states: DataFrame, edges: DataFrame, keep: Callable[[DataFra
     raise AutomatonError(f"components did not settle in {max_rounds} rounds")
 
 
-def with_components(labels: DataFrame) -> DataFrame:
+def with_components(labels: DataFrame, keep: Callable[[DataFrame], DataFrame] = _keep) -> DataFrame:
     """cc_id (numbered by lowest state) and cc_local_id of component_table's rows."""
-    by_root = Window.partitionBy("nfa_id").orderBy("cc_root")
-    inside = Window.partitionBy("nfa_id", "cc_root").orderBy("state_id")
-    return labels.select("nfa_id", "state_id", (F.dense_rank().over(by_root) - 1).alias("cc_id"), (F.row_number().over(inside) - 1).alias("cc_local_id"))
+    roots = ranked(labels.where("state_id = cc_root").select("nfa_id", "cc_root"), ["nfa_id"], [F.col("cc_root")], keep, "cc_id")
+    inside = ranked(labels.select("nfa_id", "cc_root", "state_id"), ["nfa_id", "cc_root"], [F.col("state_id")], keep, "cc_local_id")
+    as_int = [F.col(c).cast("int").alias(c) for c in ("cc_id", "cc_local_id")]
+    return inside.join(roots, ["nfa_id", "cc_root"]).select("nfa_id", "state_id", *as_int)
 
 
 def small_components(labels: DataFrame, max_states: int) -> DataFrame:
@@ -87,8 +90,8 @@ def one_component(labels: DataFrame, cc_id: int | None = None, state_id: int | N
 
 def merge(states: DataFrame, edges: DataFrame, nfa_id: str) -> tuple[DataFrame, DataFrame]:
     """All automata as one, renumbered in order of (nfa_id, state_id); ids of states stay."""
-    order = Window.orderBy("nfa_id", "state_id")
-    numbers = states.select("nfa_id", "state_id", (F.row_number().over(order) - 1).alias("new"))
+    numbers = ranked(states.select("nfa_id", "state_id"), [], [F.col("nfa_id"), F.col("state_id")], _keep, "new")
+    numbers = _keep(numbers.withColumn("new", F.col("new").cast("int")))
     out = states.join(numbers, ["nfa_id", "state_id"]).withColumn("state_id", F.col("new")).withColumn("nfa_id", F.lit(nfa_id)).drop("new")
     for end in ("src", "dst"):
         edges = edges.join(numbers.withColumnRenamed("state_id", end), ["nfa_id", end]).drop(end).withColumnRenamed("new", end)
@@ -100,13 +103,12 @@ def renumber(states: DataFrame, edges: DataFrame, *order: Column, boundary: int
 
     boundary: only the first so many places are given out by the order, the other states follow as they were.
     """
-    by = Window.partitionBy("nfa_id").orderBy(*order, F.col("state_id"))
-    numbers = states.withColumn("rank", F.row_number().over(by) - 1)
+    numbers = ranked(states, ["nfa_id"], [*order, F.col("state_id")], _keep)
     if boundary is not None:
         numbers = numbers.withColumn("late", F.col("rank") >= boundary)
-        second = Window.partitionBy("nfa_id").orderBy("late", F.when(F.col("late"), F.col("state_id")).otherwise(F.col("rank")))
-        numbers = numbers.withColumn("rank", F.row_number().over(second) - 1)
-    numbers = numbers.select("nfa_id", "state_id", "rank")
+        place = F.when(F.col("late"), F.col("state_id").cast("long")).otherwise(F.col("place"))
+        numbers = ranked(numbers.withColumnRenamed("rank", "place"), ["nfa_id"], [F.col("late"), place], _keep)
+    numbers = _keep(numbers.select("nfa_id", "state_id", F.col("rank").cast("int").alias("rank")))
     out = states.join(numbers, ["nfa_id", "state_id"]).withColumn("state_id", F.col("rank")).drop("rank")
     for end in ("src", "dst"):
         edges = edges.join(numbers.withColumnRenamed("state_id", end), ["nfa_id", end]).drop(end).withColumnRenamed("rank", end)
