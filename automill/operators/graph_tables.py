@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from automill.operators.transforms import component_table, with_components
 
 Keep = Callable[[DataFrame], DataFrame]
 KEY = ["nfa_id", "state_id"]
+#: Moves along edges that a round makes.
+HOPS = 4
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -33,73 +36,51 @@ def _ends(edges: DataFrame, back: bool = False) -> DataFrame:
 def propagate(labels: DataFrame, edges: DataFrame, step: Column, keep: Keep) -> DataFrame:
     """Labels (nfa_id, state_id, label) at their least: along an edge a label may become ``step`` of it, where that is less.
 
-    Rounds go on until nothing changes, which takes the longest of the shortest ways that a least label goes.
+    A round makes ``HOPS`` moves, each with the least label for each vertex, and rounds go on until nothing changes: as many as the longest of
+    the shortest ways that a least label goes needs.
     """
     ends = _ends(edges)
     labels = frontier = keep(labels)
     while not frontier.isEmpty():
-        sent = frontier.join(ends, KEY).select("nfa_id", F.col("to").alias("state_id"), step.alias("new")).groupBy(*KEY).agg(F.min("new").alias("new"))
-        found = keep(labels.join(sent, KEY, "left").select(*KEY, F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("changed")))
+        sent, moves = frontier, []
+        for _ in range(HOPS):
+            sent = sent.join(ends, KEY).select("nfa_id", F.col("to").alias("state_id"), step.alias("label")).groupBy(*KEY).agg(F.min("label").alias("label"))
+            moves.append(sent)
+        new = _union(moves).groupBy(*KEY).agg(F.min("label").alias("new"))
+        found = keep(labels.join(new, KEY, "left").select(*KEY, F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("changed")))
         labels, frontier = found.drop("changed"), found.where("changed").drop("changed")
     return labels
 
 
-def reached(sources: DataFrame, edges: DataFrame, keep: Keep) -> DataFrame:
-    """The vertices (nfa_id, state_id) that edges lead to from sources, these included."""
-    ends, found, frontier = _ends(edges), [], keep(sources)
-    seen = frontier
-    while not frontier.isEmpty():
-        found.append(frontier)
-        ahead = frontier.join(ends, KEY).select("nfa_id", F.col("to").alias("state_id")).distinct()
-        frontier = keep(ahead.join(seen, KEY, "left_anti"))
-        seen = seen.unionByName(frontier)
-    return seen
-
-
-def strong_components(states: DataFrame, edges: DataFrame, keep: Keep, trims: int = 4) -> DataFrame:
+def strong_components(states: DataFrame, edges: DataFrame, keep: Keep) -> DataFrame:
     """nfa_id, state_id and scc_root, the lowest state of the strong component.
 
-    Vertices without an edge into or out of what is left are components by themselves and are trimmed, some layers at a time. Then
-    every vertex is coloured with the lowest vertex that reaches it; what reaches that vertex back, within its colour, is its component.
-    These go, and the rest begins anew.
+    Every vertex gets the lowest vertex that reaches it and the lowest one that it reaches. Where they are the same, that is the root
+    of its component. Edges between vertices that differ in either are in no component, and the rest begins anew without them; the lowest
+    vertex of what is left is done in every round, and a forest in two.
     """
     left = keep(states.select(*KEY))
     moves = keep(edges.where("src <> dst").select("nfa_id", "src", "dst"))
     done: list[DataFrame] = []
-    while not left.isEmpty():
-        for _ in range(trims):
-            inner = _ends(moves).select(*KEY).distinct().intersect(_ends(moves, True).select(*KEY).distinct())
-            alone = keep(left.join(inner, KEY, "left_anti"))
-            if alone.isEmpty():
-                break
-            done.append(alone.withColumn("scc_root", F.col("state_id")))
-            left = keep(left.join(alone, KEY, "left_anti"))
-            moves = keep(_within(moves, left))
-        if left.isEmpty():
-            break
-        colours = propagate(left.withColumn("label", F.col("state_id")), moves, F.col("label"), keep)
-        alike = moves
+    while not moves.isEmpty():
+        own = left.withColumn("label", F.col("state_id"))
+        before = propagate(own, moves, F.col("label"), keep).withColumnRenamed("label", "before")
+        behind = propagate(own, moves.select("nfa_id", F.col("dst").alias("src"), F.col("src").alias("dst")), F.col("label"), keep).withColumnRenamed("label", "behind")
+        both = keep(before.join(behind, KEY))
+        done.append(both.where("before = behind").select(*KEY, F.col("before").alias("scc_root")))
+        rest = both.where("before <> behind")
+        left = rest.select(*KEY)
         for end in ("src", "dst"):
-            alike = alike.join(colours.select("nfa_id", F.col("state_id").alias(end), F.col("label").alias(f"{end}_colour")), ["nfa_id", end])
-        backward = keep(alike.where("src_colour = dst_colour").select("nfa_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
-        roots = colours.where("label = state_id").select(*KEY)
-        found = keep(reached(roots, backward, keep).join(colours, KEY).withColumnRenamed("label", "scc_root"))
-        done.append(found)
-        left = keep(left.join(found, KEY, "left_anti"))
-        moves = keep(_within(moves, left))
-    return _union(done) if done else left.withColumn("scc_root", F.col("state_id"))
-
-
-def _within(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    for end in ("src", "dst"):
-        edges = edges.join(vertices.withColumnRenamed("state_id", end), ["nfa_id", end], "left_semi")
-    return edges.select("nfa_id", "src", "dst")
+            marks = [F.col(c).alias(f"{end}_{c}") for c in ("before", "behind")]
+            moves = moves.join(rest.select("nfa_id", F.col("state_id").alias(end), *marks), ["nfa_id", end])
+        moves = keep(moves.where("src_before = dst_before and src_behind = dst_behind").select("nfa_id", "src", "dst"))
+    return _union([*done, left.withColumn("scc_root", F.col("state_id"))])
 
 
 def topological_layers(strong: DataFrame, edges: DataFrame, keep: Keep) -> DataFrame:
     """nfa_id, state_id, scc_root and topo_order: the longest way, in edges between strong components, to the state's one.
 
-    A round moves on from all components that a way of so many edges ends in; the last round that a component is in is its layer.
+    A move goes on from all components that a way of so many edges ends in; the last one that a component is in is its layer.
     """
     between = edges
     for end in ("src", "dst"):
@@ -108,12 +89,18 @@ def topological_layers(strong: DataFrame, edges: DataFrame, keep: Keep) -> DataF
     between = keep(between.where("src_root <> dst_root").select("nfa_id", F.col("src_root").alias("src"), F.col("dst_root").alias("dst")).distinct())
     ends = _ends(between)
     roots = strong.select("nfa_id", F.col("scc_root").alias("state_id")).distinct()
-    frontier = keep(roots.join(_ends(between, True).select(*KEY).distinct(), KEY, "left_anti"))
+    frontier = keep(roots.join(_ends(between, True).select(*KEY).distinct(), KEY, "left_anti").withColumn("topo_order", F.lit(0)))
     layers, depth = [], 0
     while not frontier.isEmpty():
-        layers.append(frontier.withColumn("topo_order", F.lit(depth)))
-        frontier = keep(frontier.join(ends, KEY).select("nfa_id", F.col("to").alias("state_id")).distinct())
-        depth += 1
+        layers.append(frontier)
+        moved, parts = frontier, []
+        for _ in range(HOPS):
+            moved = moved.join(ends, KEY).select("nfa_id", F.col("to").alias("state_id"), (F.col("topo_order") + 1).alias("topo_order")).distinct()
+            parts.append(moved)
+        depth += HOPS
+        ahead = keep(_union(parts))
+        layers.append(ahead)
+        frontier = ahead.where(F.col("topo_order") == depth)
     if not layers:
         return strong.withColumn("topo_order", F.lit(0))
     last = _union(layers).groupBy(*KEY).agg(F.max("topo_order").alias("topo_order")).withColumnRenamed("state_id", "scc_root")
@@ -181,3 +168,28 @@ def incompatible_pairs(states: DataFrame, edges: DataFrame, keep: Keep, enable:
         new = keep(ahead.join(_union(found), ["nfa_id", "x", "y"], "left_anti"))
         found.append(new)
     return _union(found)
+
+
+def compatible_groups(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """nfa_id, cc_id, state_id, cg_id: by ``graph.compatible_groups``' rule, from the pairs of a component, which is one task's work.
+
+    pairs has nfa_id, x and y (incompatible_pairs), labels nfa_id, state_id and cc_id; states of different components may share no group anyway.
+    """
+    key = ["nfa_id", "cc_id"]
+    inside = pairs.where("x < y").join(labels.select("nfa_id", "cc_id", F.col("state_id").alias("x")), ["nfa_id", "x"])
+    inside = inside.join(labels.select("nfa_id", "cc_id", F.col("state_id").alias("y")), ["nfa_id", "cc_id", "y"]).select(*key, "x", "y")
+
+    def run(states: pa.Table, found: pa.Table) -> pa.Table:
+        lower: dict[int, list[int]] = {}
+        for x, y in zip(found.column("x").to_pylist(), found.column("y").to_pylist()):
+            lower.setdefault(y, []).append(x)
+        states = states.sort_by("state_id")
+        group: dict[int, int] = {}
+        for s in states.column("state_id").to_pylist():
+            taken = {group[x] for x in lower.get(s, ())}
+            group[s] = next(g for g in range(len(taken) + 1) if g not in taken)
+        return pa.table({**{c: states.column(c) for c in ("nfa_id", "cc_id", "state_id")}, "cg_id": pa.array(list(group.values()), pa.int32())})
+
+    inside = inside.select(*[F.col(c).alias(c) for c in inside.columns])  # columns of their own, though both sides come from labels
+    rows = labels.select("nfa_id", "cc_id", "state_id").groupBy(*key).cogroup(inside.groupBy(*key))
+    return rows.applyInArrow(run, "nfa_id string, cc_id int, state_id int, cg_id int")

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from automill.model import REPORTS, Automaton, from_frames
@@ -19,7 +19,9 @@ from automill.sources import streams as sources
 #: States whose groups are broadcast together; more of them are further passes over the streams.
 BROADCAST_STATES = 200_000
 #: Segments from this size on are dealt out anew, so that one long stream is not one task.
-LARGE_SEGMENT = 1_000_000
+LARGE_SEGMENT = 1 << 16
+#: Segments whose functions one task composes.
+COMPOSED = 256
 
 
 def match(
@@ -48,7 +50,8 @@ def match(
 ) -> DataFrame:
     """Every (state, offset) at which a reporting state matches the byte at that offset.
 
-    streams has stream_id and payload. Offsets count from 0 in the replicated stream and point at the
+    streams has stream_id and payload, or is what ``streams.from_ranges`` gives: the ranges of a file are one stream, matched as if uncut.
+    Offsets count from 0 in the replicated stream and point at the
     last matched byte.
 
     seam: 'reset' forgets at the end of a segment, 'exact' gives what an uncut stream would give.
@@ -75,6 +78,11 @@ def match(
     plan = planner.plan(
         automata, strategy=strategy, groups=groups, cc_id=cc_id, cc_with_state=cc_with_state, max_cc_states=max_cc_states, merge_cc=merge_cc, hot=hot
     )
+    if {"own", "base", "first"} <= set(streams.columns):
+        out = _over_ranges(streams, plan)
+        if mode != "reports":
+            return _counted(out.withColumn("n", F.lit(1).cast("long")), mode)
+        return out.withColumn("app", F.lit(app)) if app else out
     if start is not None and length is not None:
         streams = sources.slice_streams(streams, start, length)
     limit = None
@@ -99,10 +107,12 @@ def match(
             cut = cut.join(flags, cut["stream_id"] == flags["s_"]).withColumn("first", F.col("first") | F.col("__dup")).drop("s_", "__dup")
     if every:
         cut = cut.withColumn("first", F.lit(True))
+    if segment_bytes is not None and segment_bytes >= LARGE_SEGMENT:
+        cut = cut.repartition("stream_id", "seg_id")
     if seam == "exact" and segment_bytes is not None:
         if every:
             raise ValueError("an uncut stream has one beginning: seam='exact' goes with start_scope 'first'")
-        out = _exact(cut, streams, plan, strategy, segment_bytes, replicas, tail)
+        out = _exact(streams, plan, segment_bytes, replicas, tail)
     elif strategy in planner.JOINS:
         out = _relational(cut, plan, memo_k or 1 if strategy == "memo" else 0, strategy == "ranges")
     elif mode != "reports" and limit is None:
@@ -234,35 +244,125 @@ def _relational(cut: DataFrame, plan: list[Group], k: int, ranges: bool) -> Data
     return out.unionByName(scan(cut, cyclic)) if cyclic else out
 
 
-def _exact(cut: DataFrame, streams: DataFrame, plan: list[Group], strategy: str, segment_bytes: int, replicas: int, tail: str) -> DataFrame:
+def _exact(streams: DataFrame, plan: list[Group], segment_bytes: int, replicas: int, tail: str) -> DataFrame:
     """As if the stream were not cut.
 
     Groups without cycles look back a bounded number of bytes: their segments are given that much of
-    what came before, and what they report there is left out. The others run each stream as one
-    segment, up to where its last scanned segment ends.
+    what came before, and what they report there is left out. With cycles a segment begins in the row of the table that the ones
+    before lead to. The strategy is not asked: kernels do both.
     """
-    bounded = [x for x in plan if x.compiled.longest]
-    rest = [x for x in plan if not x.compiled.longest]
     size = F.octet_length("payload").cast("long") * replicas
     end = size if tail == "keep" else F.floor(size / segment_bytes) * segment_bytes
     whole = streams.select("stream_id", sources.repeated(F.col("payload"), replicas).alias("payload"), end.alias("end"))
+    back = max([x.compiled.longest for x in plan], default=1) - 1
+    count = F.ceil(F.col("end") / segment_bytes).cast("long")
+    ids = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1))
+    rows = whole.select("*", F.explode(ids).alias("seg")).withColumn("own", F.col("seg") * segment_bytes)
+    base = F.greatest(F.col("own") - max(back, 0), F.lit(0).cast("long"))
+    upto = F.least(F.col("own") + segment_bytes, F.col("end"))
+    data = F.substring("payload", (base + 1).cast("int"), (upto - base).cast("int"))
+    rows = rows.select("stream_id", "own", base.alias("base"), (base == 0).alias("first"), data.alias("payload"))
+    if segment_bytes >= LARGE_SEGMENT:
+        rows = rows.repartition("stream_id", "own")
+    return _over_ranges(rows, plan)
+
+
+def _over_ranges(rows: DataFrame, plan: list[Group]) -> DataFrame:
+    """Reports of streams that are cut into ranges (stream_id, own, base, first, payload), as if they were not.
+
+    Three kinds of groups: those without cycles, whose ranges have to overlap by their longest match; those with a table, whose ranges are functions
+    of its rows; and others, whose streams are put together, one a task.
+    """
+    bounded = [x for x in plan if x.compiled.longest]
+    tables = [x for x in plan if not x.compiled.longest and x.table is not None and not x.cold]
+    others = [x for x in plan if not x.compiled.longest and (x.table is None or x.cold)]
     parts = []
     if bounded:
-        back = max(x.compiled.longest for x in bounded) - 1
-        count = F.ceil(F.col("end") / segment_bytes).cast("long")
-        ids = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1))
-        rows = whole.select("*", F.explode(ids).alias("seg")).withColumn("own", F.col("seg") * segment_bytes)
-        base = F.greatest(F.col("own") - back, F.lit(0).cast("long"))
-        upto = F.least(F.col("own") + segment_bytes, F.col("end"))
-        data = F.substring("payload", (base + 1).cast("int"), (upto - base).cast("int"))
-        rows = rows.select("stream_id", "own", base.alias("base"), (base == 0).alias("first"), data.alias("payload"))
-        if segment_bytes >= LARGE_SEGMENT:
-            rows = rows.repartition("stream_id", "own")
-        parts += [_trimmed(rows, part) for part in _passes(bounded)]
-    if rest:
-        one = whole.select("stream_id", F.lit(0).cast("long").alias("base"), F.lit(True).alias("first"), F.substring("payload", F.lit(1), F.col("end").cast("int")).alias("payload"))
-        parts.append(scan(one, rest))
-    return reduce(DataFrame.unionByName, parts) if parts else scan(cut.limit(0), plan)
+        need = max(x.compiled.longest for x in bounded) - 1
+        short = F.raise_error(F.lit(f"ranges overlap by less than the {need} bytes that a match can begin before its range"))
+        enough = F.col("own") - F.col("base") >= F.least(F.col("own"), F.lit(need))
+        checked = rows.withColumn("base", F.when(enough, F.col("base")).otherwise(short.cast("long")))
+        parts += [_trimmed(checked, part) for part in _passes(bounded)]
+    if tables:
+        own = rows.select("stream_id", "own", F.substring(F.col("payload"), (F.col("own") - F.col("base") + 1).cast("int"), F.octet_length("payload")).alias("payload"))
+        parts += [_by_functions(own, part) for part in _passes(tables)]
+    if others:
+        in_order = F.array_sort(F.collect_list(F.struct("own", "payload")), lambda a, b: F.when(a["own"] < b["own"], -1).otherwise(1))
+        own = rows.withColumn("payload", F.substring(F.col("payload"), (F.col("own") - F.col("base") + 1).cast("int"), F.octet_length("payload")))
+        joined = F.unhex(F.array_join(F.transform(in_order, lambda x: F.hex(x["payload"])), ""))
+        one = own.groupBy("stream_id").agg(joined.alias("payload")).select("stream_id", F.lit(0).cast("long").alias("base"), F.lit(True).alias("first"), "payload")
+        parts.append(scan(one, others))
+    return reduce(DataFrame.unionByName, parts) if parts else scan(rows.limit(0).select("stream_id", "base", "first", "payload"), plan)
+
+
+def _by_functions(rows: DataFrame, plan: list[Group]) -> DataFrame:
+    """Reports of ranges (stream_id, own, payload) of groups with cycles, by their tables.
+
+    A range is a function from the rows of a table to its rows. Functions are composed in blocks of ``COMPOSED``, the blocks' ones in blocks again,
+    until a stream is one block, and the way back gives each range the row that it begins in. Then every range is scanned by itself.
+    """
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(plan)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            payloads = batch.column(2).to_pylist()
+            for g, group in enumerate(shared.value):
+                made = kernels.functions(group.table, payloads)
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(payloads), pa.int32()), batch.column(0), batch.column(1), pa.array(list(made), pa.list_(pa.int32()))], ["g", "stream_id", "own", "f"])
+
+    kind = "g int, stream_id string, own long, f array<int>"
+    found = rows.mapInArrow(make, kind)
+    place = F.row_number().over(Window.partitionBy("g", "stream_id").orderBy("own")) - 1  # ranges of a stream, without their bytes
+    tiers = [keep(found.withColumn("place", place.cast("long")).select("g", "stream_id", "own", "place", "f"))]
+    while tiers[-1].where("place > 0").take(1):
+        blocks = tiers[-1].withColumn("block", F.floor(F.col("place") / COMPOSED)).groupBy("g", "stream_id", "block")
+        tiers.append(keep(blocks.applyInArrow(_composed, "g int, stream_id string, own long, place long, f array<int>")))
+    first = [x.table.first for x in plan]
+    begin = tiers[-1].select("g", "stream_id", "own", "place", F.element_at(F.array(*map(F.lit, first)), F.col("g") + 1).alias("row"))
+    for tier in reversed(tiers[:-1]):
+        inner = tier.withColumn("block", F.floor(F.col("place") / COMPOSED)).groupBy("g", "stream_id", "block")
+        above = begin.select("g", "stream_id", F.col("place").alias("block"), "row").groupBy("g", "stream_id", "block")
+        begin = keep(inner.cogroup(above).applyInArrow(_descended, "g int, stream_id string, own long, place long, row int"))
+    starts = begin.groupBy("stream_id", "own").agg(F.map_from_entries(F.collect_list(F.struct("g", "row"))).alias("starts"))
+    ready = rows.join(starts, ["stream_id", "own"]).select("stream_id", "own", "payload", F.transform(F.sequence(F.lit(0), F.lit(len(plan) - 1)), lambda g: F.element_at("starts", g)).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, bases, payloads = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64), batch.column(2).to_pylist()
+            begins = batch.column(3).to_pylist()
+            for g, group in enumerate(shared.value):
+                for segs, offs, local in kernels.lock_step(group.table, 0, payloads, [], [x[g] for x in begins]):
+                    for i in range(0, len(segs), 50_000):
+                        yield _columns(group, segs[i : i + 50_000], offs[i : i + 50_000], local[i : i + 50_000], ids, bases)
+
+    return ready.mapInArrow(run, REPORTS)
+
+
+def _functions(table: pa.Table) -> list[np.ndarray]:
+    column = table.column("f").combine_chunks()
+    return list(column.flatten().to_numpy().reshape(len(column), -1))
+
+
+def _composed(table: pa.Table) -> pa.Table:
+    """A block's function."""
+    table = table.sort_by("place")
+    made = _functions(table)
+    now = made[0]
+    for f in made[1:]:
+        now = f[now]
+    first = {c: table.column(c).slice(0, 1) for c in ("g", "stream_id", "own")}
+    return pa.table({**first, "place": table.column("block").slice(0, 1).cast(pa.int64()), "f": pa.array([now], pa.list_(pa.int32()))})
+
+
+def _descended(table: pa.Table, above: pa.Table) -> pa.Table:
+    """The row that each member of a block begins in, from the row that the block begins in."""
+    table = table.sort_by("place")
+    now, rows = above.column("row")[0].as_py(), []
+    for f in _functions(table):
+        rows.append(now)
+        now = int(f[now])
+    return pa.table({**{c: table.column(c) for c in ("g", "stream_id", "own", "place")}, "row": pa.array(rows, pa.int32())})
 
 
 def _trimmed(rows: DataFrame, plan: list[Group]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,7 @@ def folder(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in the shared folder."""
-    folder(df.sparkSession)
-    return df.checkpoint()
+    """df written to the shared folder, and read again: a lost executor costs a reread, and plans do not grow."""
+    path = f"{folder(df.sparkSession)}/kept-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

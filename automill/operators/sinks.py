@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from automill.functions import symbolset
 from automill.model import ALL_INPUT, Automaton
 from automill.operators import analysis
+from automill.operators.numbering import ranked
+from automill.operators.scratch import keep
 
 
 def write_reports(reports: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
@@ -31,6 +33,49 @@ def dot(a: Automaton) -> str:
     return "\n".join([*lines, "}"]) + "\n"
 
 
+def dot_lines(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """nfa_id, place and value: the lines of ``dot`` of each automaton, from the tables."""
+    escape = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    size = symbolset.cardinality_column(F.col("symbol_set"))
+    label = F.format_string(' [label="%s intid %d %s %d"]', "str_id", "state_id", escape(F.col("symbol_set_str")), size)
+    shape = F.when(F.col("is_report"), " [shape=doubleoctagon]").otherwise("")
+    colour = F.when(F.col("start_kind") == ALL_INPUT, " [color=orange]").when(F.col("start_kind") > 0, " [color=yellow]").otherwise("")
+    line = lambda kind, a, b, value: ["nfa_id", F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), value.alias("value")]
+    none = F.lit(0)
+    lines = states.select(*line(1, F.col("state_id"), none, F.concat(F.col("state_id").cast("string"), label, shape, colour, F.lit(";"))))
+    lines = lines.unionByName(edges.select(*line(2, F.col("src"), F.col("dst"), F.format_string("%d -> %d;", "src", "dst"))))
+    for kind, text in ((0, "digraph G {"), (3, "}")):
+        lines = lines.unionByName(states.select("nfa_id").distinct().select(*line(kind, none, none, F.lit(text))))
+    return ranked(lines, ["nfa_id"], [F.col("kind"), F.col("a"), F.col("b")], keep, "place").select("nfa_id", "place", "value")
+
+
+_KINDS = {1: "start-of-data", 2: "all-input"}
+
+
+def _xml(c: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;")):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return c
+
+
+def anml_documents(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """nfa_id and document: each automaton as an ANML document, which ``anml.from_column`` reads back. A document is one value."""
+    ids = states.select("nfa_id", F.col("state_id").alias("dst"), F.col("str_id").alias("to"))
+    onward = edges.join(ids, ["nfa_id", "dst"]).groupBy("nfa_id", F.col("src").alias("state_id")).agg(F.array_sort(F.collect_list(F.struct("dst", "to"))).alias("onward"))
+    rows = states.join(onward, ["nfa_id", "state_id"], "left")
+    start = F.when(F.col("start_kind") > 0, F.concat(F.lit(' start="'), F.element_at(F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv]), F.col("start_kind").cast("int")), F.lit('"'))).otherwise("")
+    code = F.coalesce(F.concat(F.lit(' reportcode="'), _xml(F.col("report_code")), F.lit('"')), F.lit(""))
+    report = F.when(F.col("is_report"), F.concat(F.lit("<report-on-match"), code, F.lit("/>"))).otherwise("")
+    moves = F.array_join(F.transform(F.coalesce("onward", F.array().cast("array<struct<dst: int, to: string>>")), lambda x: F.concat(F.lit('<activate-on-match element="'), _xml(x["to"]), F.lit('"/>'))), "")
+    element = F.concat(
+        F.lit('<state-transition-element id="'), _xml(F.col("str_id")), F.lit('" symbol-set="'), _xml(F.col("symbol_set_str")), F.lit('"'), start, F.lit(">"),
+        report, moves, F.lit("</state-transition-element>\n"),
+    )
+    body = F.transform(F.array_sort(F.collect_list(F.struct("state_id", "element"))), lambda x: x["element"])
+    whole = F.concat(F.lit('<automata-network id="'), _xml(F.col("nfa_id")), F.lit('">\n'), F.array_join(body, ""), F.lit("</automata-network>\n"))
+    return rows.withColumn("element", element).groupBy("nfa_id").agg(whole.alias("document"))
+
+
 def gr_lines(states: DataFrame, edges: DataFrame) -> DataFrame:
     """nfa_id, place, value: a header 'p sp V E', then 'a from to 1' with states from 1."""
     one = states.groupBy("nfa_id").agg(F.count(F.lit(1)).alias("v"))

@@ -88,6 +88,25 @@ def one_component(labels: DataFrame, cc_id: int | None = None, state_id: int | N
     return labels.join(having, ["nfa_id", "cc_id"], "left_semi")
 
 
+def split_table(states: DataFrame, edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every component as an automaton of its own, ``<nfa_id>#<cc_id>``; labels has nfa_id, state_id, cc_id and cc_local_id."""
+    name = F.concat_ws("#", "nfa_id", "cc_id")
+    key = ["nfa_id", "state_id"]
+    places = labels.select(*key, name.alias("part"), F.col("cc_local_id").cast("int").alias("local"))
+    out = states.join(places, key).withColumn("nfa_id", F.col("part")).withColumn("state_id", F.col("local")).drop("part", "local")
+    for end in ("src", "dst"):
+        ends = places.select("nfa_id", F.col("state_id").alias(end), F.col("local").alias(f"{end}_local"), *(["part"] if end == "src" else []))
+        edges = edges.join(ends, ["nfa_id", end])
+    return out.select(states.columns), edges.select(F.col("part").alias("nfa_id"), F.col("src_local").alias("src"), F.col("dst_local").alias("dst"))
+
+
+def cut_table_by_depth(states: DataFrame, edges: DataFrame, labels: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
+    """The states whose topological layer is below that share of the depth of their component, with their old numbers."""
+    depth = labels.groupBy("nfa_id", "cc_id").agg((F.max("topo_order") + 1).alias("depth"))
+    near = labels.join(depth, ["nfa_id", "cc_id"]).where(F.col("topo_order") / F.col("depth") < limit)
+    return induced(states, edges, near.select("nfa_id", "state_id"))
+
+
 def merge(states: DataFrame, edges: DataFrame, nfa_id: str) -> tuple[DataFrame, DataFrame]:
     """All automata as one, renumbered in order of (nfa_id, state_id); ids of states stay."""
     numbers = ranked(states.select("nfa_id", "state_id"), [], [F.col("nfa_id"), F.col("state_id")], _keep, "new")

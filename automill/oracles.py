@@ -65,63 +65,6 @@ _DOT = f"FROM {_positions(_NATIONS, 3)} WHERE {_byte('p')} {_VOWEL} AND {_byte('
 _BRANDS = "SELECT CAST(p_partkey AS VARCHAR) AS stream_id, p_brand AS t FROM part WHERE starts_with(p_brand, 'Brand#1')"
 _PART = "'k0_6' AS original_id, '0' AS report_code"
 
-# The automaton for transforms and statistics: state, id, condition on byte b, start (2 always, 1 first), whether it reports.
-_STATES = (
-    (0, "a0", "b BETWEEN 97 AND 102", 2, False), (1, "a1", "b <> 97", 0, False), (2, "a2", "b IN (97, 99, 101)", 0, True),
-    (3, "b0", "true", 1, False), (4, "b1", "b = 95 OR b BETWEEN 48 AND 57 OR b BETWEEN 65 AND 90 OR b BETWEEN 97 AND 122", 0, True),
-    (5, "c0", "b BETWEEN 120 AND 122", 2, False), (6, "c1", "b NOT IN (10, 13)", 0, False), (7, "c2", "b BETWEEN 48 AND 57 OR b = 97", 0, False),
-    (8, "c3", "b = 113", 0, False), (9, "c4", "b = 114", 0, False), (10, "c5", "b = 115", 0, False), (11, "c6", "b = 116", 0, True),
-)
-_EDGES = ((0, 1), (1, 2), (3, 3), (3, 4), (5, 6), (6, 6), (6, 7), (6, 8), (6, 9), (6, 10), (7, 11), (8, 11), (9, 11), (10, 11), (11, 6))
-_S = "s(state_id, str_id, start_kind, is_report) AS (VALUES " + ", ".join(f"({i}, '{n}', {k}, {r})" for i, n, _, k, r in _STATES) + ")"
-_E = "e(src, dst) AS (VALUES " + ", ".join(map(str, _EDGES)) + ")"
-_B = "y(state_id, str_id, b) AS (" + " UNION ALL ".join(f"SELECT {i}, '{n}', b::INT FROM range(256) r(b) WHERE {c}" for i, n, c, _, _ in _STATES) + ")"
-_R = "g AS (SELECT *, b - row_number() OVER (PARTITION BY state_id ORDER BY b) AS island FROM y)"
-_D = (
-    "d AS (SELECT state_id, (SELECT count(*) FROM e WHERE dst = state_id) AS in_degree, (SELECT count(*) FROM e WHERE src = state_id) AS out_degree FROM s)"
-)
-_C = "c AS (SELECT state_id, ascii(str_id) - 97 AS cc_id FROM s)"
-_COMPLETE = (
-    "m AS (SELECT state_id, count(*) AS n_symbols, count(DISTINCT island) AS n_ranges, min(b) AS lo, max(b) AS hi FROM g GROUP BY state_id), "
-    "k AS (SELECT *, n_ranges = 1 AS complete, n_ranges - 1 + (lo > 0)::INT + (hi < 255)::INT = 1 AS complement FROM m)"
-)
-
-#: Ways along edges, and from them: strong components (named by their least state), longest ways between these, and breadth-first layers.
-_WALK = (
-    "w(a, b, d) AS (SELECT src, dst, 1 FROM e UNION SELECT w.a, e.dst, w.d + 1 FROM w JOIN e ON w.b = e.src WHERE w.d < 12), "
-    "r AS (SELECT a, b, min(d) AS d FROM w GROUP BY a, b), "
-    "q AS (SELECT s.state_id, coalesce(min(x.b), s.state_id) AS root FROM s LEFT JOIN "
-    "(SELECT x.a, least(x.a, x.b) AS b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a) x ON s.state_id = x.a GROUP BY s.state_id), "
-    "f AS (SELECT DISTINCT a.root AS a, b.root AS b FROM e JOIN q a ON e.src = a.state_id JOIN q b ON e.dst = b.state_id WHERE a.root <> b.root), "
-    "l(root, d) AS (SELECT DISTINCT root, 0 FROM q UNION SELECT f.b, l.d + 1 FROM l JOIN f ON l.root = f.a), "
-    "t AS (SELECT root, max(d) AS topo_order FROM l GROUP BY root), "
-    "o AS (SELECT state_id FROM s WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.b = s.state_id AND r.a < s.state_id)), "
-    "h AS (SELECT s.state_id, coalesce((SELECT arg_min(r.d, r.a) FROM r JOIN o ON r.a = o.state_id WHERE r.b = s.state_id), 0) AS bfs_layer FROM s), "
-    "n AS (SELECT state_id, cc_id, row_number() OVER (PARTITION BY cc_id ORDER BY state_id) - 1 AS cc_local_id, topo_order, bfs_layer, "
-    "dense_rank() OVER (ORDER BY cc_id, topo_order DESC, root) - 1 AS scc_id FROM c JOIN q USING (state_id) JOIN t USING (root) JOIN h USING (state_id)), "
-    "u AS (SELECT state_id, row_number() OVER (ORDER BY k, cc_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY cc_id ORDER BY bfs_layer, state_id) AS k FROM n) WHERE k <= 2), "
-    "j AS (SELECT n.*, CASE WHEN place <= 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hot_degree FROM n LEFT JOIN u USING (state_id))"
-)
-_MATCH = (
-    "x AS (SELECT state_id, string_agg(CASE WHEN EXISTS (SELECT 1 FROM y WHERE y.state_id = s.state_id AND y.b = v.b) THEN '1' ELSE '0' END, '' ORDER BY v.b DESC) AS matchset "
-    "FROM s, range(256) v(b) GROUP BY state_id)"
-)
-_ORDER_BY = {
-    "NONE": "", "REPORT": "is_report DESC, ", "TOPO_ORDER": "topo_order, ", "OUTDEGREE": "out_degree DESC, ", "BFS_LAYER": "bfs_layer, ",
-    "COMPLETE": "complete DESC, ", "COMPLETE_AND_TOP": "complete DESC, topo_order, ", "COMPLETE_AND_BFS": "complete DESC, bfs_layer, ", "HOT_DEGREE": "hot_degree DESC, ",
-}
-_TEXTS = ("[a-f]", "[^a]", "[ace]", "*", r"\\w", "[xyz]", r"[^\\n\\r]", "[0-9a]", "[q]", "[r]", "[s]", "[t]")
-
-_CLASSES = {
-    "*": "true", ".": "b <> 10", "[a-c]": "b BETWEEN 97 AND 99", "[^a-c]": "b NOT BETWEEN 97 AND 99", "[a-]": "b = 97", "[-a]": "b IN (45, 97)",
-    "\\d": "b BETWEEN 48 AND 57", "[\\x41-\\x43]": "b BETWEEN 65 AND 67", "a^": "b <> 97", "[z-a]": "b IN (97, 122)",
-}
-_PARSE = " UNION ALL ".join(
-    f"SELECT '{c}' AS class, (SELECT count(*)::INT FROM range(256) r(b) WHERE {cond}) AS n, "
-    f"(SELECT string_agg(printf('%02X', v), '' ORDER BY q) FROM (SELECT b // 8 AS q, sum(CASE WHEN {cond} THEN (1 << (b % 8)::INT) ELSE 0 END)::INT AS v FROM range(256) r(b) GROUP BY 1)) AS bits"
-    for c, cond in _CLASSES.items()
-)
-
 
 def _count_of(word: str, column: str) -> str:
     return f"(len({column}) - len(replace({column}, '{word}', ''))) // {len(word)}"
@@ -176,32 +119,6 @@ ORACLES = {
     "+ ascii(substr(n_name, p + 3, 1)) AS gram FROM nation, range(len(n_name) - 2) r(p)",
     "stream_point_edit": "SELECT CAST(r_regionkey AS VARCHAR) AS stream_id, ascii(r_name) AS first, hex(encode(concat(r_name[1], '*', substr(r_name, 3), '!'))) AS data, "
     "(len(r_name) + 1)::INT AS n FROM region",
-    "nfa_summary": f"WITH {_S}, {_C}, z AS (SELECT cc_id, count(*) AS n FROM c GROUP BY cc_id) SELECT 'mixed' AS nfa_id, count(*) AS states, "
-    "count(*) FILTER (start_kind > 0) AS starts, count(*) FILTER (start_kind = 2) AS always_active, count(*) FILTER (is_report) AS reporting, "
-    "(SELECT count(*) FROM z) AS components, (SELECT count(*) FILTER (n > 256) FROM z) AS components_over_256, (SELECT max(n) FROM z) AS max_component, "
-    "(SELECT avg(n) FROM z) AS avg_component FROM s",
-    "nfa_extended_summary": f"WITH {_S}, {_E}, {_B}, {_R}, {_COMPLETE}, {_D}, {_C}, z AS (SELECT cc_id, count(*) AS n FROM c GROUP BY cc_id) "
-    "SELECT 'mixed' AS nfa_id, count(*) AS states, count(*) FILTER (start_kind > 0) AS starts, count(*) FILTER (start_kind = 2) AS always_active, "
-    "count(*) FILTER (is_report) AS reporting, (SELECT count(*) FROM z) AS components, (SELECT count(*) FILTER (n > 256) FROM z) AS components_over_256, "
-    "(SELECT max(n) FROM z) AS max_component, (SELECT avg(n) FROM z) AS avg_component, (SELECT min(n) FROM z) AS min_component, "
-    "(SELECT count(*) FILTER (n > 512) FROM z) AS components_over_512, (SELECT count(*) FROM e) AS edges, (SELECT max(in_degree) FROM d) AS max_in_degree, "
-    "(SELECT max(out_degree) FROM d) AS max_out_degree, (SELECT avg(in_degree) FROM d) AS avg_in_degree, (SELECT avg(out_degree) FROM d) AS avg_out_degree, "
-    "(SELECT count(*) FILTER (complete) FROM k) AS complete, (SELECT count(*) FILTER (complement) FROM k) AS complement, "
-    "(SELECT count(*) FROM e)::DOUBLE / (count(*) * count(*)) AS density FROM s",
-    "nfa_degree_hist": f"WITH {_S}, {_E}, {_D}, u AS (SELECT 'in' AS kind, in_degree AS degree FROM d UNION ALL SELECT 'out', out_degree FROM d) "
-    "SELECT 'mixed' AS nfa_id, kind, degree, count(*) AS n FROM u GROUP BY kind, degree",
-    "nfa_in_degree_hist": f"WITH {_S}, {_E}, {_D} SELECT 'mixed' AS nfa_id, least(in_degree, 5) AS bucket, count(*) AS n FROM d GROUP BY 2",
-    "nfa_log_degree_hist": f"WITH {_S}, {_E}, {_D} SELECT 'mixed' AS nfa_id, CASE WHEN out_degree = 0 THEN 0 ELSE floor(log2(out_degree))::INT + 1 END AS bucket, "
-    "count(*) AS n FROM d GROUP BY 2",
-    "nfa_components": f"WITH {_S}, {_C} SELECT 'mixed' AS nfa_id, state_id, cc_id, (row_number() OVER (PARTITION BY cc_id ORDER BY state_id) - 1)::INT AS cc_local_id FROM c",
-    "nfa_counts": f"WITH {_S}, {_E}, {_B} SELECT 'mixed' AS nfa_id, (SELECT count(*) FROM s) AS states, (SELECT count(*) FROM e) AS transitions, "
-    "(SELECT count(*) FROM e WHERE src = dst AND (SELECT count(*) FROM y WHERE state_id = src) > 252) AS wide_loops",
-    "nfa_alphabet": f"WITH {_B}, z AS (SELECT state_id, count(*) AS n FROM y GROUP BY state_id) SELECT DISTINCT 'mixed' AS nfa_id, b AS byte FROM y JOIN z USING (state_id) WHERE n BETWEEN 3 AND 255",
-    "symbolset_ranges": f"WITH {_B}, {_R} SELECT str_id, min(b) AS lo, max(b) + 1 AS hi FROM g GROUP BY str_id, island",
-    "symbolset_cardinality": f"WITH {_B} SELECT str_id, count(*)::INT AS n FROM y GROUP BY str_id",
-    "symbolset_parse": _PARSE,
-    "symbolset_remap": "SELECT DISTINCT 'a0' AS str_id, (CASE WHEN b IN (97, 98) THEN 65 ELSE b END)::INT AS byte FROM range(97, 103) r(b)",
-    "symbolset_completeness": f"WITH {_B}, {_R}, {_COMPLETE} SELECT state_id, n_symbols, n_ranges, complete, complement FROM k",
     "state_activation_profile": f"SELECT 'digits' AS nfa_id, 0 AS state_id, 'd1' AS original_id, count(*) AS activations FROM {_positions(_NAMES)} WHERE {_byte('p')} {_DIGIT} "
     f"UNION ALL SELECT 'digits', 1, 'd2', count(*) FROM ({_digits(_NAMES)})",
     "frontier_profile": f"SELECT 'gap' AS nfa_id, 0 AS group_id, size, count(*) AS positions FROM (SELECT (substr(t, p + 1, 1) = 'c')::INT + {_FIRST_C}::INT "
@@ -210,37 +127,4 @@ ORACLES = {
     "report_counts": f"SELECT count(*) AS n, count(*) AS n_distinct FROM ({_DOCS})",
     "report_packed": f'SELECT stream_id, (1::BIGINT << 32) + "offset" AS word FROM ({_digits(_NAMES)})',
     "report_top_order": f'SELECT stream_id, "offset", 1 AS state_id FROM ({_digits(_NAMES)}) ORDER BY stream_id, "offset" LIMIT 40',
-    "memo_length_hist": "SELECT 0 AS g, n_states, count(*) AS grams FROM (SELECT (x BETWEEN 48 AND 57 AND z BETWEEN 48 AND 57)::INT AS n_states "
-    "FROM range(256) a(x), range(256) b(z)) GROUP BY n_states",
-    "memo_cutoff": "SELECT 0 AS g, avg(1.0) AS mean_length, median(1.0::DOUBLE) AS median_length, 2 * count(*) AS ids, 8 * count(*) AS bytes "
-    "FROM range(256) a(x), range(256) b(z) WHERE x BETWEEN 48 AND 57 AND z BETWEEN 48 AND 57",
-    "renumbered": f"WITH {_S} SELECT (row_number() OVER (ORDER BY is_report DESC, state_id) - 1)::INT AS state_id, str_id FROM s",
-    "merged": "SELECT 'both' AS nfa_id, src, dst FROM (VALUES (0, 1), (2, 3), (3, 3), (3, 4), (2, 4)) v(src, dst)",
-    "induced_subgraph": f"WITH {_S}, {_E} SELECT 'mixed' AS nfa_id, src, dst FROM e WHERE src IN (SELECT state_id FROM s WHERE NOT is_report) "
-    "AND dst IN (SELECT state_id FROM s WHERE NOT is_report)",
-    "gr_output": f"WITH {_S}, {_E} SELECT concat('p sp ', (SELECT count(*) FROM s), ' ', (SELECT count(*) FROM e)) AS value "
-    "UNION ALL SELECT concat('a ', src + 1, ' ', dst + 1, ' 1') FROM e",
-    "bench_table": "WITH v(app, config, value) AS (VALUES ('a', 'x', 4.0::DOUBLE), ('a', 'x', 6.0), ('a', 'y', 10.0), ('b', 'x', 2.0), ('b', 'y', -2.0)), "
-    "t AS (SELECT app, config, count(*) FILTER (value >= 0) AS n, coalesce(avg(value) FILTER (value >= 0), max(value)) AS mean, "
-    "coalesce(stddev_pop(value) FILTER (value >= 0), 0) AS std FROM v GROUP BY app, config) "
-    "SELECT t.app, t.config, t.n, t.mean, t.std, CASE WHEN t.mean > 0 THEN t.mean / x.mean END AS ratio FROM t JOIN t x ON t.app = x.app AND x.config = 'x'",
-    "nfa_layers": f"WITH RECURSIVE {_S}, {_E}, {_C}, {_WALK} SELECT 'mixed' AS nfa_id, state_id, cc_id, cc_local_id::INT AS cc_local_id, scc_id::INT AS scc_id, "
-    "topo_order, bfs_layer FROM n",
-    "hot_by_layer": f"WITH RECURSIVE {_S}, {_E}, {_C}, {_WALK} SELECT cc_id, state_id, hot_degree FROM j",
-    "node_output": f"WITH RECURSIVE {_S}, {_E}, {_C}, {_WALK}, {_B}, {_R}, {_COMPLETE}, {_D}, {_MATCH} SELECT 'mixed' AS nfa_id, state_id, str_id, matchset, complete::INT AS complete, "
-    "complement::INT AS complement, bfs_layer, (start_kind > 0)::INT AS start, (start_kind = 2)::INT AS alway_enabled, is_report::INT AS report, in_degree, out_degree "
-    "FROM s JOIN x USING (state_id) JOIN k USING (state_id) JOIN d USING (state_id) JOIN n USING (state_id)",
-    "edge_output": f"WITH {_S}, {_E}, {_B}, {_R}, {_COMPLETE}, {_MATCH} SELECT 'mixed' AS nfa_id, src, dst, a.str_id AS edge_from, b.str_id AS edge_to, complete::INT AS complete, "
-    "complement::INT AS complement, matchset FROM e JOIN s a ON src = a.state_id JOIN s b ON dst = b.state_id JOIN x ON dst = x.state_id JOIN k ON dst = k.state_id",
-    "dot_output": f"WITH {_S}, {_E}, {_B}, i(state_id, text) AS (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(_TEXTS)) + "), "
-    "p AS (SELECT 0 AS a, 0 AS b, 0 AS c, 'digraph G {' AS value UNION ALL SELECT 1, state_id, 0, concat(state_id, ' [label=\"', str_id, ' intid ', state_id, ' ', text, ' ', "
-    "(SELECT count(*) FROM y WHERE y.state_id = s.state_id), '\"]', CASE WHEN is_report THEN ' [shape=doubleoctagon]' ELSE '' END, "
-    "CASE start_kind WHEN 2 THEN ' [color=orange]' WHEN 1 THEN ' [color=yellow]' ELSE '' END, ';') FROM s JOIN i USING (state_id) "
-    "UNION ALL SELECT 2, src, dst, concat(src, ' -> ', dst, ';') FROM e UNION ALL SELECT 3, 0, 0, '}') "
-    "SELECT (row_number() OVER (ORDER BY a, b, c) - 1)::INT AS place, value FROM p",
-    "symbolset_kinds": f"WITH {_B} SELECT str_id, count(*) = 256 AS wildcard, count(*) = 1 AS single FROM y GROUP BY str_id",
-    "start_states": f"WITH {_S} SELECT 'mixed' AS nfa_id, state_id, start_kind = 2 AS always_active FROM s WHERE start_kind > 0",
-    "renumber_policies": f"WITH RECURSIVE {_S}, {_E}, {_C}, {_WALK}, {_B}, {_R}, {_COMPLETE}, {_D}, z AS (SELECT s.*, out_degree, complete, topo_order, bfs_layer, hot_degree "
-    "FROM s JOIN d USING (state_id) JOIN k USING (state_id) JOIN j USING (state_id)) "
-    + " UNION ALL ".join(f"SELECT '{n}' AS policy, (row_number() OVER (ORDER BY {o}state_id) - 1)::INT AS state_id, str_id FROM z" for n, o in _ORDER_BY.items()),
 }

@@ -1,9 +1,9 @@
-"""SQL for the queries of queries_surface, written without the engine. Results of the samples are said row by row."""
+"""SQL for the queries of queries_surface, written without the engine."""
 
 from __future__ import annotations
 
 from automill.oracles import ORACLES as _ENGINE
-from automill.oracles import _E, _NAMES, _NATIONS, _S, _TYPES, _VOWEL, _byte, _digits, _positions
+from automill.oracles import _NAMES, _NATIONS, _TYPES, _VOWEL, _byte, _digits, _positions
 
 
 def _values(columns: str, *rows: tuple) -> str:
@@ -22,58 +22,14 @@ def _transformed(names: tuple[str, ...], where: str) -> str:
     return f'SELECT transform, stream_id, p + 1 AS "offset", original_id FROM ({_PAIR}) f, ({ways}) t WHERE {where}'
 
 
-def _letters(kind: str, nfa: str, text: str) -> str:
-    return f"SELECT '{kind}' AS kind, '{nfa}' AS nfa_id, unnest([{', '.join(sorted({str(ord(c)) for c in text}))}]) AS byte"
-
-
 ORACLES: dict[str, str] = {
-    "anml_states": _values(
-        "nfa_id, state_id, str_id, symbol_set_str, start_kind, is_report, report_code",
-        ("plates", 0, "l1", "[A-Z]", 2, False, None), ("plates", 1, "l2", "[A-Z]", 0, False, None), ("plates", 2, "dash", "[\\x2d#]", 0, False, None),
-        ("plates", 3, "num", "\\d", 0, True, "7"), ("plates", 4, "head", "#", 1, False, None), ("plates", 5, "rest", "*", 0, True, None),
-    ).replace("\\\\", "\\"),
-    "anml_edges": _values("nfa_id, src, dst", *[("plates", x, y) for x, y in ((0, 1), (1, 2), (2, 3), (3, 3), (4, 5))]),
-    "match_files": _values(
-        'file, "offset", original_id, report_code',
-        ("plates.bin", 1, "rest", None), ("plates.bin", 4, "num", "7"), ("plates.bin", 5, "num", "7"), ("plates.bin", 10, "num", "7"),
-    ),
-    "match_by_options": _values('"offset", original_id, report_code', (1, "rest", None), (4, "num", "7")),
-    "hot_by_file": "SELECT str_id, hot_degree::DOUBLE AS hot_degree, 3 AS boundary, 3 AS hot, 2 AS cold FROM ("
-    + _values("str_id, hot_degree", ("l1", 0.5), ("l2", 0.25), ("dash", 0.125), ("num", 0.0), ("head", 0.01), ("rest", 0.0)) + ")",
-    "merged_results": "SELECT app, k1::DOUBLE AS k1, k2::DOUBLE AS k2, k3::DOUBLE AS k3 FROM ("
-    + _values("app, k1, k2, k3", ("fast", 10.5, None, 30.0), ("slow", 2.0, 4.25, None), ("other", 1.5, None, 3.0)) + ")",
     "transforms_keep_reports": _transformed(("clone starts", "limit out-degree", "reorder", "split and merge", "split sets"), "true"),
     "transforms_move_reports": _transformed(("move starts", "one start"), "p >= 1"),
     "transforms_cut_loops": f"SELECT 'no loops' AS transform, stream_id, p AS \"offset\", 'b' AS original_id FROM {_positions(_TYPES)} "
     f"WHERE {_byte('p')} = '6B' AND (p >= 1 AND {_byte('p - 1')} = '63' OR p >= 2 AND {_byte('p - 2')} = '63')",
-    "cut_by_depth": _values("state_id, str_id", (0, "a0"), (1, "a1"), (2, "b0"), (3, "c0")),
-    "edited": f"WITH {_S}, {_E} SELECT src, dst, str_id FROM (SELECT * FROM e WHERE src NOT IN (2, 6) AND dst NOT IN (2, 6) AND (src, dst) <> (3, 3) "
-    "UNION ALL SELECT 5, 11) f JOIN s ON src = state_id",
-    "split_parts": _values("nfa_id, states, edges", ("mixed#0", 3, 2), ("mixed#1", 2, 2), ("mixed#2", 7, 11)),
-    "component_groups": _values(
-        "way, group_id, cc_id",
-        ("count", 0, 0), ("count", 1, 1), ("count", 1, 2), ("size", 0, 1), ("size", 0, 0), ("size", 1, 2),
-        ("hot", 0, 0), ("hot", 0, 1), ("hot", 1, 2), ("compatible", 0, 0), ("compatible", 0, 1), ("compatible", 1, 2),
-    ),
-    "component_order": "SELECT policy, cc_id, place, cc_id % 2 AS turn, cc_id // 2 AS pair FROM ("
-    + _values("policy, cc_id, place", (0, 0, 0), (0, 1, 1), (0, 2, 2), (2, 0, 1), (2, 1, 2), (2, 2, 0), (3, 0, 0), (3, 1, 2), (3, 2, 1)) + ")",
-    "small_components": f"WITH {_S} SELECT 'at most 3' AS kind, state_id FROM s WHERE state_id < 5 UNION ALL SELECT 'with state 4', state_id FROM s WHERE state_id IN (3, 4)",
-    "dag_classes": _values("nfa_id, dag_class", ("digits", 2), ("events", 2), ("gap", 1), ("mixed", 0)),
-    "neighbours": f"WITH {_E} SELECT true AS outgoing, dst AS neighbour FROM e WHERE src = 6 UNION ALL SELECT false, src FROM e WHERE dst = 6",
-    "alphabets": " UNION ALL ".join(
-        [_letters(kind, nfa, text) for kind in ("any", "no_wildcard") for nfa, text in (("events", "clickviewpurchase"), ("digits", "0123456789"))]
-        + [_letters("no_wildcard", "gap", "ck"), "SELECT 'any', 'gap', unnest(range(256))::INT"]
-    ),
     "written_reports": _digits(_NAMES),
     "written_frontier": _ENGINE["frontier_profile"],
-    "written_edges": f"WITH {_S}, {_E} SELECT a.str_id AS edge_from, b.str_id AS edge_to FROM e JOIN s a ON src = a.state_id JOIN s b ON dst = b.state_id",
     "sorted_reports": f"SELECT 0 AS wrong, count(*) AS n FROM ({_digits(_NAMES)})",
     "match_carried": f"SELECT stream_id, p + 2 AS \"offset\", 'x' AS original_id FROM {_positions(_NATIONS, 3)} "
     f"WHERE {_byte('p')} {_VOWEL} AND NOT {_byte('p + 1')} {_VOWEL} AND {_byte('p + 2')} {_VOWEL}",
-    "bench_grid": "SELECT app, config, repetition, value::DOUBLE AS value FROM ("
-    + _values("app, config, value", ("a", "k=1,mode=x", 1.5), ("a", "k=2,mode=x", -2.0), ("b", "k=1,mode=x", -1.0), ("b", "k=2,mode=x", -2.0))
-    + "), (VALUES (0), (1)) r(repetition)",
-    "bench_logs": "SELECT path, value::DOUBLE AS value FROM (" + _values("path, value", ("l1", 12.5), ("l2", -2.0), ("l3", -3.0), ("l4", -1.0)) + ")",
-    "bench_wide": _values("app, one, two", ("Second", "W", "T"), ("First", "1.5", "T")),
-    "bench_geomean": "SELECT config, geomean::DOUBLE AS geomean FROM (" + _values("config, geomean", ("x", 4.0), ("y", 1.0)) + ")",
 }

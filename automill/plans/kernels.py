@@ -18,6 +18,8 @@ Lanes = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.nda
 BLOCK_BYTES, LANE = 4_000_000, 2048
 #: Entries of the lazy table before it is cleared.
 CACHE = 200_000
+#: Lanes that run side by side to find what cuts make of every row.
+FUNCTION_LANES = 500_000
 
 
 def _expand(table_sets: list[list[int]], seg: np.ndarray, off: np.ndarray, sets: np.ndarray) -> Hits:
@@ -30,16 +32,70 @@ def _expand(table_sets: list[list[int]], seg: np.ndarray, off: np.ndarray, sets:
     return seg[rows], off[rows], flat[starts[rows] + within]
 
 
-def lock_step(t: Table, longest: int, payloads: list[bytes], firsts: list[bool]) -> Iterator[Hits]:
+def lock_step(t: Table, longest: int, payloads: list[bytes], firsts: list[bool], rows: list[int] | None = None) -> Iterator[Hits]:
     """Many segments side by side: one table lookup moves all lanes by a byte.
 
     If no path is longer than ``longest`` states, a long segment is cut into lanes that start
-    ``longest - 1`` bytes early with nothing pending, and drop what they see before their own part. A
-    segment of an automaton with cycles is one lane; long ones are run by themselves.
+    ``longest - 1`` bytes early with nothing pending, and drop what they see before their own part. With cycles a
+    long segment is cut into lanes too, whose first rows come from what the lanes before make of every row (``functions``).
+    rows: the table's row that each segment begins in; else the first row of a stream or of a later segment.
     """
     nexts, marks = _flat(t)
     for i, part in _parts(payloads):
-        yield from _block(t, longest, nexts, marks, part, firsts[i : i + len(part)], i)
+        begin = rows[i : i + len(part)] if rows is not None else _first_rows(t, firsts[i : i + len(part)])
+        yield from _block(t, longest, nexts, marks, part, begin, i)
+
+
+def _first_rows(t: Table, firsts: list[bool]) -> list[int]:
+    return [t.first if first else t.later for first in firsts]
+
+
+def _cut_functions(nexts: np.ndarray, n_rows: int, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(cuts, rows): the row that each cut of the data leads to from each row.
+
+    All cuts and rows run side by side; lanes of a cut that meet in a row go on as one, which is looked for after 1, 2, 4, 8 ... bytes.
+    """
+    n = len(starts)
+    cut = np.repeat(np.arange(n), n_rows)
+    state = np.tile(np.arange(n_rows, dtype=np.int64), n)
+    lane = np.arange(n * n_rows)  # of each (cut, row)
+    check = 1
+    for p in range(int(sizes.max(initial=0))):
+        alive = sizes[cut] > p
+        if alive.all():
+            state = nexts[state * 256 + data[starts[cut] + p]] // 256
+        else:
+            some = np.flatnonzero(alive)
+            state[some] = nexts[state[some] * 256 + data[starts[cut[some]] + p]] // 256
+        if p + 1 == check:
+            check *= 2
+            if len(state) > n:
+                kept, back = np.unique(cut * n_rows + state, return_inverse=True)
+                lane = back.reshape(-1)[lane]
+                cut, state = kept // n_rows, kept % n_rows
+    return state[lane].reshape(n, n_rows)
+
+
+def functions(t: Table, payloads: list[bytes]) -> np.ndarray:
+    """(payloads, rows): the row of the table that each payload leads to from each row."""
+    nexts, n_rows = _flat(t)[0].astype(np.int64), len(t.next)
+    out = np.empty((len(payloads), n_rows), np.int64)
+    for k, payload in enumerate(payloads):
+        data, now = np.frombuffer(payload, np.uint8), np.arange(n_rows)
+        for made in _functions_of(nexts, n_rows, data):
+            for f in made:
+                now = f[now]
+        out[k] = now
+    return out
+
+
+def _functions_of(nexts: np.ndarray, n_rows: int, data: np.ndarray) -> Iterator[np.ndarray]:
+    """The functions of a payload's cuts of LANE bytes, so many cuts at a time that memory is bounded."""
+    starts = np.arange(0, len(data), LANE)
+    step = max(1, FUNCTION_LANES // n_rows)
+    for i in range(0, len(starts), step):
+        some = starts[i : i + step]
+        yield _cut_functions(nexts, n_rows, data, some, np.minimum(LANE, len(data) - some))
 
 
 def count(t: Table, longest: int, payloads: list[bytes], firsts: list[bool]) -> np.ndarray:
@@ -48,7 +104,7 @@ def count(t: Table, longest: int, payloads: list[bytes], firsts: list[bool]) ->
     sizes = np.array([len(x) for x in t.report_sets], np.int64)[marks]
     out = np.zeros(len(payloads), np.int64)
     for i, part in _parts(payloads):
-        got = _lanes(t, longest, part, firsts[i : i + len(part)])
+        got = _lanes(t, longest, nexts, part, _first_rows(t, firsts[i : i + len(part)]))
         if got is None:
             continue
         data = np.frombuffer(b"".join(part), np.uint8)
@@ -93,13 +149,18 @@ def _parts(payloads: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         i = j
 
 
-def _lanes(t: Table, longest: int, payloads: list[bytes], firsts: list[bool]) -> Lanes | None:
+def _lanes(t: Table, longest: int, nexts: np.ndarray, payloads: list[bytes], rows: list[int]) -> Lanes | None:
     """Start in the joined data, bytes, segment, offset of the first byte, bytes to ignore and first row of each lane, longest first."""
     lanes = []
     at = 0
-    for k, p in enumerate(payloads):
-        row = t.first if firsts[k] else t.later
-        if longest and len(p) > LANE:
+    for k, (p, row) in enumerate(zip(payloads, rows)):
+        if not longest and len(p) > LANE:
+            begin = 0
+            for made in _functions_of(nexts.astype(np.int64), len(t.next), np.frombuffer(p, np.uint8)):
+                for f in made:
+                    lanes.append((at + begin, min(LANE, len(p) - begin), k, begin, 0, row))
+                    row, begin = int(f[row]), begin + LANE
+        elif longest and len(p) > LANE:
             for own in range(0, len(p), LANE):
                 start = max(0, own - longest + 1)
                 lanes.append((at + start, min(len(p), own + LANE) - start, k, start, own - start, row if start == 0 else t.later))
@@ -117,8 +178,8 @@ def _steps(size: np.ndarray) -> tuple[np.ndarray, int]:
     return alive, int(np.searchsorted(-alive, -few, "right")) if alive[-1] < few else steps
 
 
-def _block(t: Table, longest: int, nexts, marks, payloads, firsts, base) -> Iterator[Hits]:
-    lanes = _lanes(t, longest, payloads, firsts)
+def _block(t: Table, longest: int, nexts, marks, payloads, rows, base) -> Iterator[Hits]:
+    lanes = _lanes(t, longest, nexts, payloads, rows)
     if lanes is None:
         return
     data = np.frombuffer(b"".join(payloads), np.uint8)

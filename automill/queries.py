@@ -6,17 +6,13 @@ Automata are built here; streams are columns of the tables as UTF-8, so offsets
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from automill import bench
-from automill.functions import symbolset, words
-from automill.model import build, keywords, to_frames
-from automill.operators import analysis, match as matching, reports, sinks, transforms
-from automill.operators.scratch import keep
-from automill.plans import planner
+from automill.functions import words
+from automill.model import build, keywords
+from automill.operators import match as matching, reports
 from automill.sources import streams
 
 # Automata.
@@ -42,20 +38,6 @@ DOT = build(
     [{"id": "v1", "symbols": "[AEIOU]", "start": "all-input"}, {"id": "any", "symbols": "."}, {"id": "v2", "symbols": "[AEIOU]", "code": "vv"}],
     [("v1", "any"), ("any", "v2")],
 )
-#: An automaton with several components, shapes and sets, for transforms and statistics.
-MIXED = build(
-    "mixed",
-    [
-        {"id": "a0", "symbols": "[a-f]", "start": "all-input"}, {"id": "a1", "symbols": "[^a]"}, {"id": "a2", "symbols": "[ace]", "code": "A"},
-        {"id": "b0", "symbols": "*", "start": "start-of-data"}, {"id": "b1", "symbols": "\\w", "code": "B"},
-        {"id": "c0", "symbols": "[xyz]", "start": "all-input"}, {"id": "c1", "symbols": "[^\\n\\r]"}, {"id": "c2", "symbols": "[0-9a]"},
-        {"id": "c3", "symbols": "[q]"}, {"id": "c4", "symbols": "[r]"}, {"id": "c5", "symbols": "[s]"}, {"id": "c6", "symbols": "[t]", "code": "C"},
-    ],
-    [
-        ("a0", "a1"), ("a1", "a2"), ("b0", "b0"), ("b0", "b1"), ("c0", "c1"), ("c1", "c1"), ("c1", "c2"), ("c1", "c3"), ("c1", "c4"), ("c1", "c5"),
-        ("c2", "c6"), ("c3", "c6"), ("c4", "c6"), ("c5", "c6"), ("c6", "c1"),
-    ],
-)
 
 
 def _streams(spark: SparkSession, sf_dir: str, table: str, key: str, column: str) -> DataFrame:
@@ -253,91 +235,7 @@ def stream_point_edit(spark, sf_dir):
     return rows.select("stream_id", streams.get_byte(F.col("payload"), 0).alias("first"), F.hex(edited).alias("data"), F.octet_length(edited).alias("n"))
 
 
-def random_stream_bytes(spark, sf_dir):
-    return streams.segments(streams.random_stream(spark, seed=1), 4096).select("seg_id", F.md5("payload").alias("digest"))
-
-
-# Statistics and transforms of an automaton.
-
-
-def _frames(spark):
-    return to_frames(spark, MIXED)
-
-
-def _labels(spark):
-    return analysis.graph_labels(spark, [MIXED])
-
-
-def nfa_summary(spark, sf_dir):
-    return analysis.summary(_frames(spark)[0], _labels(spark))
-
-
-def nfa_extended_summary(spark, sf_dir):
-    states, edges = _frames(spark)
-    return analysis.extended_summary(states, edges, _labels(spark))
-
-
-def nfa_degree_hist(spark, sf_dir):
-    return analysis.degree_distribution(*_frames(spark))
-
-
-def nfa_in_degree_hist(spark, sf_dir):
-    return analysis.in_degree_histogram(*_frames(spark))
-
-
-def nfa_log_degree_hist(spark, sf_dir):
-    return analysis.log_degree_histogram(*_frames(spark))
-
-
-def nfa_components(spark, sf_dir):
-    return transforms.with_components(transforms.component_table(*_frames(spark), keep))
-
-
-def nfa_counts(spark, sf_dir):
-    return analysis.counts(*_frames(spark))
-
-
-def nfa_layers(spark, sf_dir):
-    return _labels(spark)
-
-
-def nfa_alphabet(spark, sf_dir):
-    return analysis.alphabet(_frames(spark)[0], "wide")
-
-
-def symbolset_ranges(spark, sf_dir):
-    bytes_ = symbolset.explode_bytes(_frames(spark)[0].select("str_id", "symbol_set"))
-    return symbolset.ranges_of(bytes_, "str_id")
-
-
-def symbolset_cardinality(spark, sf_dir):
-    return _frames(spark)[0].select("str_id", symbolset.cardinality_column(F.col("symbol_set")).cast("int").alias("n"))
-
-
-def symbolset_parse(spark, sf_dir):
-    classes = spark.createDataFrame([(c,) for c in ("*", ".", "[a-c]", "[^a-c]", "[a-]", "[-a]", "\\d", "[\\x41-\\x43]", "a^", "[z-a]")], "class string")
-    parsed = classes.select("class", symbolset.parse_symbol_set("class").alias("set"))
-    return parsed.select("class", symbolset.cardinality_column(F.col("set")).cast("int").alias("n"), F.hex("set").alias("bits"))
-
-
-def symbolset_kinds(spark, sf_dir):
-    sets = F.col("symbol_set")
-    return _frames(spark)[0].select("str_id", symbolset.is_wildcard_column(sets).alias("wildcard"), symbolset.is_single_column(sets).alias("single"))
-
-
-def start_states(spark, sf_dir):
-    return analysis.start_states(_frames(spark)[0])
-
-
-def symbolset_remap(spark, sf_dir):
-    bytes_ = symbolset.explode_bytes(_frames(spark)[0].where("str_id = 'a0'").select("str_id", "symbol_set"))
-    mapping = spark.createDataFrame([(97, 65), (98, 65)], "byte int, to_byte int")
-    return symbolset.remap_bytes(bytes_, mapping)
-
-
-def symbolset_completeness(spark, sf_dir):
-    found = analysis.completeness(_frames(spark)[0])
-    return found.select("state_id", "n_symbols", "n_ranges", "complete", "complement")
+# Profiles and reports.
 
 
 def state_activation_profile(spark, sf_dir):
@@ -367,83 +265,6 @@ def report_top_order(spark, sf_dir):
     return reports.ordered(found).select("stream_id", "offset", "state_id").limit(40)
 
 
-def memo_length_hist(spark, sf_dir):
-    groups = [g.compiled for g in planner.plan([DIGITS], strategy="arrow")]
-    return analysis.memo_lengths(analysis.memo_table(spark, groups, 2), 2)
-
-
-def memo_cutoff(spark, sf_dir):
-    groups = [g.compiled for g in planner.plan([DIGITS], strategy="arrow")]
-    return analysis.memo_cutoff(analysis.memo_table(spark, groups, 2))
-
-
-def limited_out_degree(spark, sf_dir):
-    return to_frames(spark, transforms.limit_out_degree(MIXED, 4))[0].select("state_id", "str_id", "original_id")
-
-
-def split_to_complete(spark, sf_dir):
-    return analysis.completeness_counts(to_frames(spark, transforms.split_to_complete(MIXED))[0])
-
-
-def compatible_groups(spark, sf_dir):
-    groups = analysis.compatible_group_table(spark, [MIXED])
-    return analysis.compatible_group_summary(groups, _frames(spark)[0])
-
-
-def hot_by_layer(spark, sf_dir):
-    return analysis.assign_hot(_labels(spark), 5, 2).select("cc_id", "state_id", "hot_degree")
-
-
-def renumbered(spark, sf_dir):
-    states, edges = _frames(spark)
-    new = transforms.renumber(states, edges, *transforms.ORDERS["REPORT"]())
-    return new[0].select("state_id", "str_id")
-
-
-def renumber_policies(spark, sf_dir):
-    """The states in the order of each policy."""
-    states, edges = _frames(spark)
-    key, labels = ["nfa_id", "state_id"], _labels(spark)
-    more = states.join(labels.select(*key, "topo_order", "bfs_layer"), key).join(analysis.degrees(states, edges).select(*key, "out_degree"), key)
-    more = more.join(analysis.completeness(states).select(*key, "complete"), key).join(analysis.assign_hot(labels, 5, 2).select(*key, "hot_degree"), key)
-    more = keep(more)
-    out = [transforms.renumber(more, edges, *order())[0].select(F.lit(name).alias("policy"), "state_id", "str_id") for name, order in transforms.ORDERS.items()]
-    return reduce(DataFrame.unionByName, out)
-
-
-def merged(spark, sf_dir):
-    states, edges = to_frames(spark, DIGITS, GAP)
-    return transforms.merge(states, edges, "both")[1]
-
-
-def induced_subgraph(spark, sf_dir):
-    states, edges = _frames(spark)
-    return transforms.induced(states, edges, states.where("not is_report").select("nfa_id", "state_id"))[1]
-
-
-def gr_output(spark, sf_dir):
-    return sinks.gr_lines(*_frames(spark)).select("value")
-
-
-def node_output(spark, sf_dir):
-    states, edges = _frames(spark)
-    return sinks.node_table(states, edges, _labels(spark))
-
-
-def edge_output(spark, sf_dir):
-    return sinks.edge_table(*_frames(spark))
-
-
-def dot_output(spark, sf_dir):
-    return spark.createDataFrame([(k, line) for k, line in enumerate(sinks.dot(MIXED).splitlines())], "place int, value string")
-
-
-def bench_table(spark, sf_dir):
-    rows = [("a", "x", 0, 4.0), ("a", "x", 1, 6.0), ("a", "y", 0, 10.0), ("b", "x", 0, 2.0), ("b", "y", 0, bench.TIMEOUT)]
-    stats = bench.statistics(spark.createDataFrame(rows, "app string, config string, repetition int, value double"))
-    return bench.normalised(stats, "x").select("app", "config", "n", "mean", "std", "ratio")
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -451,10 +272,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         match_wildcard_dot, match_count_only, match_report_codes, match_segment_reset, match_segment_exact, match_tail_dropped,
         match_duplicated, match_relational_dag, match_ranges, match_two_hops, match_cyclic_by_joins, match_hot_cold, match_hot_starts, match_arrow, match_grouped, match_one_component, match_slice, match_padded,
         match_conversation_turns, match_page_tags, reports_by_quality, nfa_match_sql, stream_alphabet, stream_slice, stream_chunk,
-        stream_chunk_replicated, stream_pad, stream_kgrams, stream_point_edit, random_stream_bytes, nfa_summary, nfa_extended_summary,
-        nfa_degree_hist, nfa_in_degree_hist, nfa_log_degree_hist, nfa_components, nfa_counts, nfa_layers, nfa_alphabet, symbolset_ranges,
-        symbolset_cardinality, symbolset_parse, symbolset_kinds, symbolset_remap, start_states, symbolset_completeness, state_activation_profile, frontier_profile,
-        report_exceptall_validate, report_counts, report_packed, report_top_order, memo_length_hist, memo_cutoff, limited_out_degree,
-        split_to_complete, compatible_groups, hot_by_layer, renumbered, renumber_policies, merged, induced_subgraph, gr_output, node_output, edge_output, dot_output, bench_table,
+        stream_chunk_replicated, stream_pad, stream_kgrams, stream_point_edit, state_activation_profile, frontier_profile,
+        report_exceptall_validate, report_counts, report_packed, report_top_order,
     )
 } | {f"match_memo_k{k}": _memo(k) for k in (1, 2, 3)}

@@ -1,11 +1,7 @@
-"""Queries of what stands around matching: files, transforms, groups of components, side tables, sinks and the benchmark's tables.
-
-Files of the package's ``samples`` folder are read as a user's would be.
-"""
+"""Queries of what stands around matching: transforms by what they report, sinks, and streams that arrive."""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from functools import reduce
 from uuid import uuid4
@@ -13,15 +9,13 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from automill import bench
-from automill.model import Automaton, build, to_frames
-from automill.operators import analysis, graph, match as matching, reports, sinks, transforms
+from automill.model import Automaton, build
+from automill.operators import match as matching, reports, sinks, transforms
 from automill.operators.scratch import folder
-from automill.queries import DIGITS, EVENTS, GAP, MIXED, _streams
-from automill.sources import anml, streams, tables
+from automill.queries import DIGITS, GAP, _streams
+from automill.sources import streams
 from automill.streaming import carry
 
-SAMPLES = os.path.join(os.path.dirname(os.path.abspath(__file__)), "samples")
 #: A letter and one of many successors: single letters, and a set of two ranges.
 FAN = build(
     "fan",
@@ -30,54 +24,10 @@ FAN = build(
 )
 
 
-def _sample(name: str) -> str:
-    return os.path.join(SAMPLES, name)
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-# Files.
-
-
-def anml_states(spark, sf_dir):
-    states = anml.load(spark, _sample("*.anml"))[0]
-    return states.select("nfa_id", "state_id", "str_id", "symbol_set_str", F.col("start_kind").cast("int").alias("start_kind"), "is_report", "report_code")
-
-
-def anml_edges(spark, sf_dir):
-    """By the data source, as a user of spark.read would."""
-    anml.register(spark)
-    return spark.read.format("anml").option("table", "edges").load(_sample("plates.anml"))
-
-
-def match_files(spark, sf_dir):
-    """An automaton file over a file of bytes."""
-    found = matching.match(*anml.load(spark, _sample("*.anml")), streams.from_files(spark, _sample("plates.bin")))
-    return found.select(F.regexp_extract("stream_id", "[^/]+$", 0).alias("file"), "offset", "original_id", "report_code")
-
-
-def match_by_options(spark, sf_dir):
-    """The same with the options of a file."""
-    options = tables.config(spark, _sample("options.py.txt"))
-    found = matching.match(*anml.load(spark, _sample("*.anml")), streams.from_files(spark, _sample("plates.bin")), **options)
-    return found.select("offset", "original_id", "report_code")
-
-
-def hot_by_file(spark, sf_dir):
-    """Frequencies of a file: each state's, its automaton's first cold state, and how many ids are hot."""
-    freq = tables.frequencies(spark, _sample("plates.freq"))
-    states = analysis.with_hot_degree(anml.load(spark, _sample("*.anml"))[0], freq)
-    boundary = analysis.hot_boundaries(states, 0.1)
-    return states.join(boundary, "nfa_id").crossJoin(F.broadcast(analysis.hot_counts(freq, 0.1))).select("str_id", "hot_degree", "boundary", "hot", "cold")
-
-
-def merged_results(spark, sf_dir):
-    wide = tables.merge_results([tables.results(spark, _sample(f"results_{k}.csv")) for k in "ab"])
-    return wide.select("app", *[F.col(f"`k={k}`").alias(f"k{k}") for k in (1, 2, 3)])
-
-
 # Transforms, by what the automata report on a table.
 
 
@@ -112,78 +62,6 @@ def transforms_cut_loops(spark, sf_dir):
     return _reported(transforms.without_self_loops(GAP), "no loops", data)
 
 
-def cut_by_depth(spark, sf_dir):
-    part = transforms.cut_by_depth(MIXED, 0.5)
-    return to_frames(spark, part)[0].select("state_id", "str_id")
-
-
-def edited(spark, sf_dir):
-    """States and edges taken out, then an edge put in twice."""
-    states, edges = to_frames(spark, MIXED)
-    states, edges = transforms.remove_states(states, edges, states.where("str_id in ('c1', 'a2')").select("nfa_id", "state_id"))
-    more = spark.createDataFrame([("mixed", 5, 11), ("mixed", 5, 11)], edges.schema)
-    edges = transforms.remove_edges(transforms.add_edges(edges, more), spark.createDataFrame([("mixed", 3, 3)], edges.schema))
-    return edges.join(states.select(F.col("state_id").alias("src"), "str_id"), "src").select("src", "dst", "str_id")
-
-
-# Groups of components.
-
-
-def split_parts(spark, sf_dir):
-    rows = [(a.nfa_id, len(a), len(a.edges())) for a in transforms.split_components(MIXED)]
-    return spark.createDataFrame(rows, "nfa_id string, states int, edges int")
-
-
-def component_groups(spark, sf_dir):
-    """The components of the mixed automaton by every way of grouping."""
-    parts = transforms.split_components(MIXED)
-    sizes, hot = [len(a) for a in parts], {"a1": 0.9, "c1": 0.9, "c2": 0.9}
-    ways = {
-        "count": graph.group_by_count(len(parts), 2),
-        "size": graph.group_by_size(sizes, 5),
-        "hot": transforms.group_by_hot(parts, hot, 3, 0.5),
-    }
-    rows = [(way, g, c) for way, groups in ways.items() for g, group in enumerate(groups) for c in group]
-    rows += [("compatible", b, c) for b, block in enumerate(transforms.pack_compatible([[1, 1], [2], [1, 1, 1]], 3)) for c in sorted({c for c, _ in block})]
-    return spark.createDataFrame(rows, "way string, group_id int, cc_id int")
-
-
-def component_order(spark, sf_dir):
-    """Places of components by packing policy, and their numbers by turns and by pairs."""
-    labels = analysis.graph_labels(spark, [MIXED])
-    sizes = labels.groupBy("nfa_id", "cc_id").agg(F.count(F.lit(1)).alias("n"))
-    freq = spark.createDataFrame([("mixed", 0, 0.3), ("mixed", 2, 0.5)], "nfa_id string, cc_id int, ratio double")
-    orders = [transforms.pack_components(sizes, k, freq).select(F.lit(k).alias("policy"), "cc_id", "place") for k in (0, 2, 3)]
-    turn, pair = transforms.round_robin(F.col("cc_id"), 2), transforms.merge_every(F.col("cc_id"), 2)
-    return _union(orders).select("policy", "cc_id", "place", turn.cast("int").alias("turn"), pair.alias("pair"))
-
-
-def small_components(spark, sf_dir):
-    labels = analysis.graph_labels(spark, [MIXED])
-    one = transforms.one_component(labels, state_id=4).select(F.lit("with state 4").alias("kind"), "state_id")
-    return transforms.small_components(labels, 3).select(F.lit("at most 3").alias("kind"), "state_id").unionByName(one)
-
-
-def dag_classes(spark, sf_dir):
-    from automill.plans.planner import dag_class
-
-    rows = [(a.nfa_id, dag_class(a)) for a in (DIGITS, EVENTS, GAP, MIXED)]
-    return spark.createDataFrame(rows, "nfa_id string, dag_class int")
-
-
-def neighbours(spark, sf_dir):
-    """Successors and predecessors of a state that is found by its id."""
-    states, edges = to_frames(spark, MIXED)
-    found = analysis.find_states(states, str_id="c1").select("nfa_id", "state_id")
-    ways = [analysis.neighbours(edges, found, out).select(F.lit(out).alias("outgoing"), "neighbour") for out in (True, False)]
-    return _union(ways)
-
-
-def alphabets(spark, sf_dir):
-    states = to_frames(spark, EVENTS, DIGITS, GAP)[0]
-    return _union([analysis.alphabet(states, kind).select(F.lit(kind).alias("kind"), "nfa_id", "byte") for kind in ("any", "no_wildcard")])
-
-
 # Sinks; each reads what it has written.
 
 
@@ -201,12 +79,6 @@ def written_frontier(spark, sf_dir):
     return spark.read.option("header", True).schema(kinds).csv(path)
 
 
-def written_edges(spark, sf_dir):
-    path = f"{folder(spark)}/edges-{uuid4().hex}"
-    sinks.write_tsv(sinks.edge_table(*to_frames(spark, MIXED)), path)
-    return spark.read.option("header", True).option("sep", "\t").csv(path).select("edge_from", "edge_to")
-
-
 def sorted_reports(spark, sf_dir):
     """Ordered in parts: how many reports stand before one that is less, in the same part."""
     found = reports.sorted_parts(matching.match(DIGITS, None, _streams(spark, sf_dir, "customer", "c_custkey", "c_name")))
@@ -238,43 +110,9 @@ def match_carried(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").select("stream_id", "offset", "original_id")
 
 
-# The benchmark's tables.
-
-
-def bench_grid(spark, sf_dir):
-    """Every run of a grid, with actions that give a number, fail or take too long."""
-
-    def action(e: dict) -> float:
-        if e["k"] == 2:
-            raise TimeoutError
-        if e["app"] == "b":
-            raise ValueError(e)
-        return e["k"] * 1.5
-
-    grid = bench.grid({"k": [1, 2], "mode": ["x"]}, ["a", "b", "c"], exclude={"c"})
-    return bench.run(spark, grid, action, times=2)
-
-
-def bench_logs(spark, sf_dir):
-    lines = [("l1", 0, "start"), ("l1", 1, "throughput = 12.5"), ("l1", 2, "throughput = 9"), ("l2", 0, "Timeout after 5 s"), ("l3", 0, "throughput: fast"), ("l4", 0, "nothing")]
-    return bench.read_log(spark.createDataFrame(lines, "path string, pos int, value string"), "throughput")
-
-
-def bench_wide(spark, sf_dir):
-    stats = bench.statistics(bench_grid(spark, sf_dir))
-    return bench.table(stats, {"b": "Second", "a": "First"}, {"k=1,mode=x": "one", "k=2,mode=x": "two"})
-
-
-def bench_geomean(spark, sf_dir):
-    ratios = spark.createDataFrame([("x", 2.0), ("x", 8.0), ("y", 1.0)], "config string, ratio double")
-    return bench.geometric_means(ratios).select("config", F.round("geomean", 6).alias("geomean"))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        anml_states, anml_edges, match_files, match_by_options, hot_by_file, merged_results, transforms_keep_reports, transforms_move_reports,
-        transforms_cut_loops, cut_by_depth, edited, split_parts, component_groups, component_order, small_components, dag_classes, neighbours, alphabets,
-        written_reports, written_frontier, written_edges, sorted_reports, match_carried, bench_grid, bench_logs, bench_wide, bench_geomean,
+        transforms_keep_reports, transforms_move_reports, transforms_cut_loops, written_reports, written_frontier, sorted_reports, match_carried,
     )
 }

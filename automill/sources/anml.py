@@ -8,6 +8,7 @@ from __future__ import annotations
 import glob
 import io
 import os
+import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -81,7 +82,7 @@ class _File(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.table = options.get("table", "states")
-        path = options["path"].removeprefix("file://")
+        path = re.sub("^file:/+", "/", options["path"])
         found = sorted(glob.glob(os.path.join(path, "*.anml"))) if os.path.isdir(path) else sorted(glob.glob(path))
         if not found:
             raise AutomatonError(f"no such file: {path}")
@@ -120,8 +121,15 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """States and edges of the ANML files of a path in any store that Spark reads."""
     if not path.rstrip("/").endswith(".anml") and "*" not in path and not path.endswith("/"):
         raise AutomatonError(f"only .anml files are supported: {path}")
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    files = files.where(F.col("path").endswith(".anml"))
+    files = spark.read.format("binaryFile").load(path).where(F.col("path").endswith(".anml"))
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.anml$", "")
+    return from_column(files.select(name.alias("name"), "content"), "name", "content")
+
+
+def from_column(documents: DataFrame, id_col: str, data_col: str) -> tuple[DataFrame, DataFrame]:
+    """States and edges of ANML documents that stand in a column, text or binary; rows without one are left out."""
+    data = F.col(data_col) if dict(documents.dtypes)[data_col] == "binary" else F.encode(data_col, "UTF-8")
+    files = documents.where(F.col(data_col).isNotNull()).select(F.col(id_col).cast("string").alias("name"), data.alias("content"))
 
     def run(table: str):
         def each(batches):
@@ -129,11 +137,7 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
             names = [x.split()[0] for x in (EDGES if table == "edges" else STATES).split(", ")]
             for batch in batches:
-                found = [
-                    row
-                    for p, c in zip(batch["path"], batch["content"])
-                    for row in rows(parse(bytes(c), os.path.basename(p).removesuffix(".anml")), table)
-                ]
+                found = [row for name, c in zip(batch["name"], batch["content"]) for row in rows(parse(bytes(c), name), table)]
                 yield pd.DataFrame(found, columns=names)
 
         return each

@@ -18,6 +18,18 @@ def from_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("stream_id"), F.col("content").alias("payload"))
 
 
+def from_ranges(spark: SparkSession, path: str, range_bytes: int = 64 << 20, overlap: int = 0) -> DataFrame:
+    """Files by ranges of bytes, each a task of its own, for ``match``; overlap is what a range has of the bytes before it.
+
+    For files of any size, on paths that every executor can open. An overlap of the longest match less one byte is enough
+    for automata without cycles; with cycles none is needed.
+    """
+    from automill.sources import ranges
+
+    ranges.register(spark)
+    return spark.read.format("byte_ranges").option("range", range_bytes).option("overlap", overlap).load(path)
+
+
 def from_column(df: DataFrame, id_col: str, data_col: str) -> DataFrame:
     """A string column as UTF-8, or a binary column as it is. Rows with a null value are no streams."""
     data = F.col(data_col)
@@ -32,6 +44,12 @@ def random_stream(spark: SparkSession, n: int = RANDOM_BYTES, seed: int = 0, str
     return spark.range(1).select(F.lit(stream_id).alias("stream_id"), F.substring(F.unhex(F.array_join(words, "")), 1, n).alias("payload"))
 
 
+def random_streams(rows: DataFrame, id_col: str, seed_col: str, n: int) -> DataFrame:
+    """A stream of n random bytes for each row, fixed by the row's seed."""
+    words = F.transform(F.sequence(F.lit(0), F.lit((n - 1) // 8)), lambda i: F.format_string("%016x", F.xxhash64(F.col(seed_col), i)))
+    return rows.select(F.col(id_col).cast("string").alias("stream_id"), F.substring(F.unhex(F.array_join(words, "")), 1, n).alias("payload"))
+
+
 def slice_streams(streams: DataFrame, start: int, length: int) -> DataFrame:
     """Bytes [start, start + length), cut at the end. Streams that end before start are errors."""
     past = F.raise_error(F.concat(F.lit("slice starts past the end of stream "), "stream_id"))

@@ -5,7 +5,7 @@ import pytest
 from automill.model import AutomatonError, build, keywords
 from automill.operators import graph, transforms
 from automill.plans.planner import dag_class
-from automill.queries import MIXED
+from conftest import MIXED
 
 
 def chain(*edges, n=6):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
 import oracle
-from automill.model import ALL_INPUT, build, keywords
+from automill.model import ALL_INPUT, build, compile_group, determinise, keywords
 from automill.operators import graph, transforms
 from automill.plans import kernels, planner
 
@@ -155,3 +158,26 @@ def test_compatible_states_never_meet(seed, data):
         matched = {i for i in enabled if a.states[i].symbols >> b & 1}
         assert len({group[i] for i in matched}) == len(matched)
         enabled = always | {t for i in matched for t in a.succ[i]}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_functions_and_cut_lanes(seed, monkeypatch):
+    """What cuts make of every row, composed, is what the bytes do one by one; long payloads of cyclic automata are cut into lanes."""
+    monkeypatch.setattr(kernels, "LANE", 7)
+    monkeypatch.setattr(kernels, "FUNCTION_LANES", 30)
+    r = random.Random(seed)
+    a = oracle.random_automaton(seed + 20, 6)
+    c = compile_group(a, list(range(len(a))), [0] * len(a), 0)
+    t = determinise(c, 500)
+    payloads = [bytes(r.choice(b"abcd") for _ in range(n)) for n in (0, 1, 6, 7, 8, 100, 333)]
+    got = kernels.functions(t, payloads)
+    for k, p in enumerate(payloads):
+        for row in range(len(t.next)):
+            here = row
+            for b in p:
+                here = t.next[here, t.classes[b]]
+            assert got[k, row] == here
+    for first in (True, False):
+        found = {(s, p, i) for segs, offs, states in kernels.lock_step(t, 0, payloads, [first] * len(payloads)) for s, p, i in zip(segs.tolist(), offs.tolist(), states.tolist())}
+        assert found == {(k, p, i) for k, data in enumerate(payloads) for p, i in oracle.reports(a, data, first)}
+        assert kernels.count(t, 0, payloads, [first] * len(payloads)).sum() == len(found)

@@ -171,3 +171,37 @@ def test_reports(data):
     assert reports.unique(twins, by_original=True).count() == row.n_distinct
     keys = [(r.stream_id, r.offset, r.state_id) for r in reports.ordered(found).collect()]
     assert keys == sorted(keys)
+
+
+@pytest.mark.parametrize("segment", [3, 64, 1000])
+def test_cyclic_streams_in_parts(spark, segment, monkeypatch):
+    """Ranges of a stream of a cyclic automaton are matched side by side, whatever their number, as the uncut stream is."""
+    from automill.operators import match as module
+
+    monkeypatch.setattr(module, "COMPOSED", 4)
+    r = random.Random(segment)
+    data = {"a": bytes(r.choice(b"abcd") for _ in range(997)), "b": bytes(r.choice(b"ab") for _ in range(64)), "c": b"", "d": b"a"}
+    streams_ = spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "stream_id string, payload binary")
+    automata = [oracle.random_automaton(s, 6) for s in (3, 4, 60)]
+    want = {(a.nfa_id, k, p, i) for a in automata for k, v in data.items() for p, i in oracle.reports(a, v)}
+    for strategy in ("auto", "arrow"):
+        found = match(automata, None, streams_, segment_bytes=segment, seam="exact", tail="keep", strategy=strategy).collect()
+        assert {(r.nfa_id, r.stream_id, r.offset, r.state_id) for r in found} == want and len(found) == len(want)
+
+
+def test_byte_ranges(spark, tmp_path):
+    """A file in ranges is matched as one stream; ranges that overlap too little are an error, and a folder is its files."""
+    r = random.Random(5)
+    for name, n in (("x.bin", 10_007), ("y.bin", 300), ("empty", 0), ("_hidden", 9)):
+        (tmp_path / name).write_bytes(bytes(r.choice(b"abcd") for _ in range(n)))
+    automata = [oracle.random_automaton(2, 6), oracle.random_automaton(51, 6, cycles=False)]
+    want = {(a.nfa_id, name, p, i) for a in automata for name in ("x.bin", "y.bin") for p, i in oracle.reports(a, (tmp_path / name).read_bytes())}
+    ranges = streams.from_ranges(spark, str(tmp_path), 1000, overlap=5)
+    assert ranges.rdd.getNumPartitions() == 12
+    found = match(automata, None, ranges).collect()
+    assert {(r.nfa_id, r.stream_id.rsplit("/", 1)[1], r.offset, r.state_id) for r in found} == want and len(found) == len(want)
+    assert match(automata, None, ranges, mode="count").first().n == len(want)
+    with pytest.raises(Exception, match="overlap"):
+        match(automata, None, streams.from_ranges(spark, str(tmp_path), 1000, overlap=0)).collect()
+    with pytest.raises(Exception, match="no such file"):
+        streams.from_ranges(spark, str(tmp_path / "none")).collect()

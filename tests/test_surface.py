@@ -11,10 +11,10 @@ from automill.model import keywords, to_frames
 from automill.operators import analysis, sinks, transforms
 from automill.operators.match import match
 from automill.operators.scratch import keep
-from automill.queries import MIXED
 from automill.sources import anml, streams, tables
 from automill.streaming.carry import advance, match_stream
 from automill.plans import planner
+from conftest import MIXED
 
 PAIR = """<automata-network id="pair">
 <state-transition-element id="left" symbol-set="[xy]" start="all-input"><activate-on-match element="right"/></state-transition-element>
