@@ -9,7 +9,7 @@ An automaton is homogeneous: bytes are matched on states, edges carry none. The
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -218,6 +218,44 @@ class Compiled:
         return matched, after
 
 
+@dataclass
+class Sparse:
+    """A group that is too large for masks: successors as one array with offsets, sets of bytes as rows of 32 bytes."""
+
+    nfa_id: str
+    group_id: int
+    sets: np.ndarray
+    offsets: np.ndarray
+    targets: np.ndarray
+    all_input: np.ndarray
+    start_of_data: np.ndarray
+    report: np.ndarray
+    names: list[tuple[int, str, str | None, int]]
+    longest: int
+
+    def successors(self, s: int) -> np.ndarray:
+        return self.targets[self.offsets[s] : self.offsets[s + 1]]
+
+
+def compile_sparse(a: Automaton, members: list[int], components: list[int], group_id: int) -> Sparse:
+    """What compile_group makes, in memory in proportion to states and edges."""
+    local = {s: k for k, s in enumerate(members)}
+    after = [sorted(local[b] for b in set(a.succ[s])) for s in members]
+    where = lambda test: np.array([k for k, s in enumerate(members) if test(a.states[s])], np.int32)
+    return Sparse(
+        a.nfa_id,
+        group_id,
+        np.frombuffer(b"".join(symbolset.to_bytes(a.states[s].symbols) for s in members), np.uint8).reshape(-1, 32),
+        np.append(0, np.cumsum([len(x) for x in after])),
+        np.array([b for x in after for b in x], np.int32),
+        where(lambda x: x.start == ALL_INPUT),
+        where(lambda x: x.start == START_OF_DATA),
+        where(lambda x: x.report),
+        [(s, a.states[s].original_id, a.states[s].code, components[s]) for s in members],
+        longest_path(a, members),
+    )
+
+
 def compile_group(a: Automaton, members: list[int], components: list[int], group_id: int) -> Compiled:
     local = {s: k for k, s in enumerate(members)}
     match = [0] * 256
@@ -272,10 +310,14 @@ class Table:
     #: Row of the first byte of a stream, and of a later segment.
     first: int
     later: int
+    #: The set that each row stands for, and a byte of each class.
+    masks: list[int] = field(default_factory=list)
+    bytes_of: list[int] = field(default_factory=list)
 
 
-def determinise(c: Compiled, limit: int) -> Table | None:
-    """All rows that can be reached, or None if they are more than ``limit``."""
+def determinise(c: Compiled, limit: int, step: Callable[[int, int], tuple[int, int]] | None = None) -> Table | None:
+    """All rows that can be reached, or None if they are more than ``limit``. step: (matched, next) of a set and a byte, if not the automaton's own."""
+    step = step or c.step
     kinds: dict[int, int] = {}
     classes = np.array([kinds.setdefault(m, len(kinds)) for m in c.match], np.int64)
     bytes_of = {k: b for b, k in reversed(list(enumerate(classes.tolist())))}
@@ -296,10 +338,10 @@ def determinise(c: Compiled, limit: int) -> Table | None:
         if len(order) > limit:
             return None
         for k in range(len(kinds)):
-            matched, after = c.step(order[done], bytes_of[k])
+            matched, after = step(order[done], bytes_of[k])
             nexts.append(row(after))
             reports.append(sets.setdefault(matched & c.report, len(sets)))
         done += 1
     report_sets = [[k for k in range(len(c.names)) if m >> k & 1] for m in sets]
     shape = (len(order), len(kinds))
-    return Table(classes, np.array(nexts, np.int32).reshape(shape), np.array(reports, np.int32).reshape(shape), report_sets, first, later)
+    return Table(classes, np.array(nexts, np.int32).reshape(shape), np.array(reports, np.int32).reshape(shape), report_sets, first, later, order, [bytes_of[k] for k in range(len(kinds))])

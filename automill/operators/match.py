@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from automill.model import REPORTS, Automaton, from_frames
+from automill.model import REPORTS, Automaton, Sparse, Table, determinise, from_frames
 from automill.operators.scratch import keep
 from automill.plans import kernels, planner, relational
 from automill.plans.planner import Group
@@ -176,6 +176,8 @@ def _columns(group: Group, segs: np.ndarray, offs: np.ndarray, local: np.ndarray
 
 
 def _hits(group: Group, payloads: list[bytes], firsts: list[bool]) -> Iterator[kernels.Hits]:
+    if isinstance(group.compiled, Sparse):
+        return kernels.sparse(group.compiled, payloads, firsts)
     if group.cold:
         return kernels.hybrid(group.compiled, group.cold, group.table, payloads, firsts)
     if group.table is not None:
@@ -388,18 +390,31 @@ def state_profile(states, edges, streams: DataFrame, *, compat: bool = False, se
     where it matches.
     """
     automata = from_frames(states, edges) if isinstance(states, DataFrame) else [states]
-    plan = planner.plan(automata, strategy="arrow")
+    plan = planner.plan(automata)
+    if compat and any(isinstance(x.compiled, Sparse) for x in plan):
+        raise ValueError(f"compat counts are for components of at most {planner.MASK_STATES} states")
+    compats = [kernels.compat_table(x.compiled, planner.TABLE_ROWS) if compat else None for x in plan]
     cut = sources.segments(streams, segment_bytes, tail="keep")
-    shared = cut.sparkSession.sparkContext.broadcast(plan)
+    shared = cut.sparkSession.sparkContext.broadcast(list(zip(plan, compats)))
+
+    def one(group: Group, table: Table | None, payloads: list[bytes], firsts: list[bool]) -> np.ndarray:
+        c = group.compiled
+        if isinstance(c, Sparse):
+            return kernels.sparse_profile(c, payloads, firsts)[0]
+        if compat and table is not None:
+            return kernels.compat_by_table(c, table, payloads, firsts)
+        if not compat and group.table is not None:
+            return kernels.profile_by_table(c, group.table, payloads, firsts)
+        return kernels.profile(c, payloads, firsts, compat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros(len(x.compiled.names), np.int64) for x in shared.value]
+        totals = [np.zeros(len(x.compiled.names), np.int64) for x, _ in shared.value]
         for batch in batches:
             firsts, payloads = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for total, group in zip(totals, shared.value):
-                total += kernels.profile(group.compiled, payloads, firsts, compat)
+            for total, (group, table) in zip(totals, shared.value):
+                total += one(group, table, payloads, firsts)
         rows = [
-            (g.compiled.nfa_id, name[0], name[1], int(n)) for total, g in zip(totals, shared.value) for name, n in zip(g.compiled.names, total)
+            (g.compiled.nfa_id, name[0], name[1], int(n)) for total, (g, _) in zip(totals, shared.value) for name, n in zip(g.compiled.names, total)
         ]
         nfa, number, original, n = zip(*rows) if rows else ((),) * 4
         yield pa.RecordBatch.from_arrays(
@@ -415,17 +430,26 @@ def frontier_profile(states, edges, streams: DataFrame) -> DataFrame:
     """How many states match at each position, as a histogram: nfa_id, group_id, size, positions."""
     automata = from_frames(states, edges) if isinstance(states, DataFrame) else [states]
     plan = planner.plan(automata, strategy="arrow")
+    for x in plan:  # a group stays one, as its sizes are those of all its states
+        x.table = None if isinstance(x.compiled, Sparse) else determinise(x.compiled, planner.TABLE_ROWS)
     cut = sources.segments(streams)
     shared = cut.sparkSession.sparkContext.broadcast(plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int, int], int] = {}
         for batch in batches:
-            for first, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for g in shared.value:
-                    for size in kernels.frontier(g.compiled, payload, first):
-                        key = g.compiled.nfa_id, g.compiled.group_id, size
-                        seen[key] = seen.get(key, 0) + 1
+            firsts, payloads = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for g in shared.value:
+                c = g.compiled
+                if isinstance(c, Sparse):
+                    sizes = kernels.sparse_profile(c, payloads, firsts)[1].items()
+                elif g.table is not None:
+                    sizes = [(mask.bit_count(), n) for mask, n in kernels.matched_states(c, g.table, kernels.visits(g.table, c.longest, payloads, firsts))]
+                else:
+                    sizes = [(size, 1) for first, payload in zip(firsts, payloads) for size in kernels.frontier(c, payload, first)]
+                for size, n in sizes:
+                    key = c.nfa_id, c.group_id, size
+                    seen[key] = seen.get(key, 0) + n
         columns = list(zip(*[(*k, n) for k, n in seen.items()])) or [()] * 4
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["nfa_id", "group_id", "size", "positions"])

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from automill.model import Compiled, Table
+from automill.model import Compiled, Sparse, Table, determinise
 
 Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
 Lanes = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -245,6 +245,57 @@ def lazy(c: Compiled, payloads: list[bytes], firsts: list[bool], every: bool = F
         yield np.array(segs), np.array(offs), np.array(states)
 
 
+class _Sets:
+    """Steps of a sparse group: sets of enabled states, without the always enabled ones, which are looked up by byte."""
+
+    def __init__(self, c: Sparse):
+        self.c, self.known = c, {}
+        self.always = [c.all_input[(c.sets[c.all_input, b >> 3] >> (b & 7)) & 1 == 1].tolist() for b in range(256)]
+        self.is_always = set(c.all_input.tolist())
+        self.reports = set(c.report.tolist())
+
+    def step(self, enabled: frozenset[int], byte: int) -> tuple[frozenset[int], list[int], list[int]]:
+        """The states enabled next, those that match, and of these the reporting ones."""
+        got = self.known.get((enabled, byte))
+        if got is None:
+            sets, at, bit = self.c.sets, byte >> 3, byte & 7
+            matched = [s for s in enabled if sets[s, at] >> bit & 1] + self.always[byte]
+            after = {t for s in matched for t in self.c.successors(s).tolist()} - self.is_always
+            got = frozenset(after), matched, sorted(s for s in matched if s in self.reports)
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            self.known[enabled, byte] = got
+        return got
+
+
+def sparse(c: Sparse, payloads: list[bytes], firsts: list[bool]) -> Iterator[Hits]:
+    """One segment after the other by sets of active states; steps are remembered up to a bound."""
+    sets, out = _Sets(c), []
+    begin = frozenset(c.start_of_data.tolist())
+    for k, payload in enumerate(payloads):
+        enabled = begin if firsts[k] else frozenset()
+        for p, b in enumerate(payload):
+            enabled, _, hits = sets.step(enabled, b)
+            out += [(k, p, s) for s in hits]
+        if len(out) > 100_000:
+            yield tuple(np.array(x) for x in zip(*out))
+            out = []
+    if out:
+        yield tuple(np.array(x) for x in zip(*out))
+
+
+def sparse_profile(c: Sparse, payloads: list[bytes], firsts: list[bool]) -> tuple[np.ndarray, dict[int, int]]:
+    """How often each state matches, and how many positions have so many matching states."""
+    sets, counts, sizes = _Sets(c), np.zeros(len(c.names), np.int64), {}
+    for payload, first in zip(payloads, firsts):
+        enabled = frozenset(c.start_of_data.tolist()) if first else frozenset()
+        for b in payload:
+            enabled, matched, _ = sets.step(enabled, b)
+            counts[matched] += 1
+            sizes[len(matched)] = sizes.get(len(matched), 0) + 1
+    return counts, sizes
+
+
 def hybrid(c: Compiled, cold: int, table: Table, payloads: list[bytes], firsts: list[bool]) -> Iterator[Hits]:
     """Hot states by a table, side by side; cold states by masks, from where a hot one activates them until none is left.
 
@@ -297,6 +348,78 @@ def _bits(mask: int) -> list[int]:
     return [s for s in range(mask.bit_length()) if mask >> s & 1]
 
 
+def visits(t: Table, longest: int, payloads: list[bytes], firsts: list[bool]) -> np.ndarray:
+    """How often each (row, class) of the table is passed by a byte, side by side over all lanes; (rows, classes)."""
+    nexts = _flat(t)[0]
+    totals = np.zeros(len(nexts), np.int64)
+    seen: list[np.ndarray] = []
+    held = 0
+    for i, part in _parts(payloads):
+        got = _lanes(t, longest, nexts, part, _first_rows(t, firsts[i : i + len(part)]))
+        if got is None:
+            continue
+        data = np.frombuffer(b"".join(part), np.uint8)
+        start, size, _, _, skip, row = got
+        state = row * 256
+        late = int(skip.max())
+        # Lanes are at most LANE bytes, or short segments, so their number does the work, not a loop over bytes.
+        order = np.searchsorted(-size, -np.arange(int(size[0])), "left")
+        for p, n in enumerate(order.tolist()):
+            index = state[:n] + data[start[:n] + p]
+            seen.append(index if p >= late else index[skip[:n] <= p])
+            held += n
+            if held > 2_000_000:
+                totals += np.bincount(np.concatenate(seen), minlength=len(totals))
+                seen, held = [], 0
+            state = nexts[index].astype(np.int64)
+    if seen:
+        totals += np.bincount(np.concatenate(seen), minlength=len(totals))
+    out = np.zeros(t.next.shape, np.int64)
+    for k in range(t.next.shape[1]):
+        out[:, k] = totals.reshape(-1, 256)[:, t.classes == k].sum(axis=1)
+    return out
+
+
+def matched_states(c: Compiled, t: Table, seen: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The set that matches, and how often, for each (row, class) that was passed."""
+    for row, k in zip(*np.nonzero(seen)):
+        yield t.masks[row] & c.match[t.bytes_of[k]], int(seen[row, k])
+
+
+def compat_table(c: Compiled, limit: int) -> Table | None:
+    """A table whose rows are active sets as profilers hold them: successors of all active states that match, and the all-input states."""
+
+    def step(active: int, byte: int) -> tuple[int, int]:
+        after = 0
+        for s in _bits(active):
+            after |= c.succ[s]
+        return 0, after & c.match[byte] | c.all_input
+
+    return determinise(c, limit, step)
+
+
+def profile_by_table(c: Compiled, t: Table, payloads: list[bytes], firsts: list[bool]) -> np.ndarray:
+    """``profile`` by rule, from the visits of the automaton's table."""
+    counts = np.zeros(len(c.names), np.int64)
+    for mask, n in matched_states(c, t, visits(t, c.longest, payloads, firsts)):
+        counts[_bits(mask)] += n
+    return counts
+
+
+def compat_by_table(c: Compiled, t: Table, payloads: list[bytes], firsts: list[bool]) -> np.ndarray:
+    """``profile`` with compat, from the visits of compat_table and the rows that payloads end in."""
+    counts = np.zeros(len(c.names), np.int64)
+    rows = visits(t, 0, payloads, firsts).sum(axis=1)
+    # An active set is counted before each byte, which the visits are, and once behind the last one.
+    for size in sorted({len(p) for p in payloads}):
+        some = [k for k, p in enumerate(payloads) if len(p) == size]
+        for k, ends in zip(some, functions(t, [payloads[k] for k in some])):
+            rows[ends[t.first if firsts[k] else t.later]] += 1
+    for row in np.flatnonzero(rows).tolist():
+        counts[_bits(t.masks[row])] += rows[row]
+    return counts
+
+
 def profile(c: Compiled, payloads: list[bytes], firsts: list[bool], compat: bool) -> np.ndarray:
     """How often each local state is active.
 

@@ -9,6 +9,7 @@ Decided on the driver from the compiled automata before a plan is built:
 * ``relational``: joins of frontier, edges and bytes. For acyclic components and short paths; groups with a cycle
   (``dag_class`` 0 or 1) go to the ``arrow`` kernel.
 * ``ranges``: as relational, with sets of bytes as ranges: wide classes are a row or two of the broadcast table.
+* A component of more than ``MASK_STATES`` states is run by sets of active states, with sparse successors, whatever is asked for.
 * ``memo``: a broadcast join on the first k bytes, the rest relational.
 """
 
@@ -17,11 +18,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from automill.model import Automaton, Compiled, Table, compile_group, determinise
+from automill.model import Automaton, Compiled, Sparse, Table, compile_group, compile_sparse, determinise
 from automill.operators.graph import components, group_by_count, group_by_size
 
 #: Rows of a deterministic table, and states of a group when groups are made by size.
 TABLE_ROWS, GROUP_STATES = 4096, 4000
+#: States of a component that masks are made for, at most; a larger one is run by sets of states.
+MASK_STATES = 20_000
 STRATEGIES = ("auto", "table", "arrow", "relational", "ranges", "memo", "vector", "hybrid")
 #: Strategies that join, and layers behind the starts that are hot unless it is said which states are.
 JOINS, HOT_LAYERS = ("relational", "ranges", "memo"), 2
@@ -29,7 +32,7 @@ JOINS, HOT_LAYERS = ("relational", "ranges", "memo"), 2
 
 @dataclass
 class Group:
-    compiled: Compiled
+    compiled: Compiled | Sparse
     table: Table | None
     #: The states that the table leaves to masks.
     cold: int = 0
@@ -91,6 +94,8 @@ def plan(
 def _compiled(a: Automaton, members: list[list[int]], labels: list[int], group: int, strategy: str, hot: set[str] | None) -> list[Group]:
     """A group, as one table if it stays small, else halved while halves help, else without a table."""
     states = sorted(sum(members, []))
+    if len(members) == 1 and len(states) > MASK_STATES:
+        return [Group(compile_sparse(a, states, labels, group), None)]  # whatever is asked for: masks of so many states are too large
     c = compile_group(a, states, labels, group)
     if strategy in JOINS:
         return [Group(c, None, dag=dag_class(a.part(states)))]

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 import oracle
-from automill.model import ALL_INPUT, build, compile_group, determinise, keywords
+from automill.model import ALL_INPUT, Automaton, State, build, compile_group, compile_sparse, determinise, keywords
 from automill.operators import graph, transforms
 from automill.plans import kernels, planner
 
@@ -181,3 +181,57 @@ def test_functions_and_cut_lanes(seed, monkeypatch):
         found = {(s, p, i) for segs, offs, states in kernels.lock_step(t, 0, payloads, [first] * len(payloads)) for s, p, i in zip(segs.tolist(), offs.tolist(), states.tolist())}
         assert found == {(k, p, i) for k, data in enumerate(payloads) for p, i in oracle.reports(a, data, first)}
         assert kernels.count(t, 0, payloads, [first] * len(payloads)).sum() == len(found)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_profiles_by_visits(seed, monkeypatch):
+    """Counts by visits of a table's rows, and by sparse sets, are those of a pass byte by byte."""
+    monkeypatch.setattr(kernels, "LANE", 16)
+    r = random.Random(seed)
+    a = oracle.random_automaton(seed, 7, cycles=seed % 2 == 0)
+    c = compile_group(a, list(range(len(a))), [0] * len(a), 0)
+    t = determinise(c, 500)
+    payloads = [bytes(r.choice(b"abcd") for _ in range(n)) for n in (0, 1, 5, 17, 100, 333, 17)]
+    firsts = [k % 3 != 1 for k in range(len(payloads))]
+    want = kernels.profile(c, payloads, firsts, False)
+    assert (kernels.profile_by_table(c, t, payloads, firsts) == want).all()
+    assert (kernels.compat_by_table(c, kernels.compat_table(c, 500), payloads, firsts) == kernels.profile(c, payloads, firsts, True)).all()
+    s = compile_sparse(a, list(range(len(a))), [0] * len(a), 0)
+    counts, sizes = kernels.sparse_profile(s, payloads, firsts)
+    assert (counts == want).all() and s.longest == c.longest
+    plain = [n for p, f in zip(payloads, firsts) for n in kernels.frontier(c, p, f)]
+    assert sizes == {n: plain.count(n) for n in set(plain)}
+    by_visits = {}
+    for mask, n in kernels.matched_states(c, t, kernels.visits(t, c.longest, payloads, firsts)):
+        by_visits[mask.bit_count()] = by_visits.get(mask.bit_count(), 0) + n
+    assert by_visits == sizes
+    found = {(k, p, i) for segs, offs, states in kernels.sparse(s, payloads, firsts) for k, p, i in zip(segs.tolist(), offs.tolist(), states.tolist())}
+    assert found == {(k, p, i) for k, data in enumerate(payloads) for p, i in oracle.reports(a, data, firsts[k])}
+
+
+def test_large_component():
+    """A component of 200,000 states is compiled without masks, in memory in proportion to its states, and matched."""
+    import tracemalloc
+
+    words = [f"{i:06d}" for i in range(0, 240_000, 3)]
+    states, succ, index = [State("root", 1 << ord("#"), ALL_INPUT)], [[]], {"": 0}
+    for w in words:
+        for k in range(1, 7):
+            if w[:k] not in index:
+                index[w[:k]] = len(states)
+                succ[index[w[: k - 1]]].append(len(states))
+                succ.append([])
+                states.append(State(w[:k], 1 << ord(w[k - 1]), report=k == 6))
+    for k in range(110_000):  # a long tail
+        succ[-1].append(len(states))
+        succ.append([])
+        states.append(State(f"t{k}", 1 << ord("z")))
+    a = Automaton("large", states, succ)
+    assert len(a) > 200_000
+    tracemalloc.start()
+    (group,) = planner.plan([a])
+    assert tracemalloc.get_traced_memory()[1] < 500_000_000
+    tracemalloc.stop()
+    data = b"##000003#000004#239997z"
+    found = [(p, group.compiled.names[i][1]) for _, offs, ids in kernels.sparse(group.compiled, [data], [True]) for p, i in zip(offs.tolist(), ids.tolist())]
+    assert found == [(7, "000003"), (21, "239997")]
