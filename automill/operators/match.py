@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from automill.model import REPORTS, Automaton, Sparse, Table, determinise, from_frames
 from automill.operators.scratch import keep
-from automill.plans import kernels, planner, relational
+from automill.plans import fold, kernels, planner, relational
 from automill.plans.planner import Group
 from automill.sources import streams as sources
 
@@ -115,6 +115,8 @@ def match(
         out = _exact(streams, plan, segment_bytes, replicas, tail)
     elif strategy in planner.JOINS:
         out = _relational(cut, plan, memo_k or 1 if strategy == "memo" else 0, strategy == "ranges")
+    elif strategy == "fold":
+        out = _folded(cut, plan)
     elif mode != "reports" and limit is None:
         return _counted(_count(cut, plan), mode)
     else:
@@ -246,6 +248,18 @@ def _relational(cut: DataFrame, plan: list[Group], k: int, ranges: bool) -> Data
     return out.unionByName(scan(cut, cyclic)) if cyclic else out
 
 
+def _folded(cut: DataFrame, plan: list[Group]) -> DataFrame:
+    """By folds in the JVM where a group's table is small, else by the kernel."""
+    small = lambda x: x.table is not None and x.table.next.size <= fold.FOLD_ENTRIES
+    mine, rest = [x for x in plan if small(x)], [x for x in plan if not small(x)]
+    if not mine:
+        return scan(cut, plan)
+    found = reduce(DataFrame.unionByName, [fold.match(cut, x.table, g) for g, x in enumerate(mine)])
+    out = found.join(F.broadcast(_names(cut.sparkSession, mine)), ["g", "s"]).withColumn("offset", F.col("base") + F.col("pos"))
+    out = out.select(*[x.split()[0] for x in REPORTS.split(", ")])
+    return out.unionByName(scan(cut, rest)) if rest else out
+
+
 def _exact(streams: DataFrame, plan: list[Group], segment_bytes: int, replicas: int, tail: str) -> DataFrame:
     """As if the stream were not cut.
 

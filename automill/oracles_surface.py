@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from automill.oracles import ORACLES as _ENGINE
-from automill.oracles import _NAMES, _NATIONS, _TYPES, _VOWEL, _byte, _digits, _positions
+from automill.oracles import _NAMES, _NATIONS, _PROPS, _TYPES, _VOWEL, _byte, _digits, _positions
 
 
 def _values(columns: str, *rows: tuple) -> str:
@@ -30,6 +30,8 @@ ORACLES: dict[str, str] = {
     "written_reports": _digits(_NAMES),
     "written_frontier": _ENGINE["frontier_profile"],
     "sorted_reports": f"SELECT 0 AS wrong, count(*) AS n FROM ({_digits(_NAMES)})",
+    "report_first_differences": f"SELECT stream_id, \"offset\", original_id, 'a' AS side, 1::BIGINT AS n FROM ({_digits(_NAMES, 'p // 4 <> (p + 1) // 4')}) ORDER BY stream_id, \"offset\" LIMIT 40",
+    "report_equal_sets": f"SELECT count(*) AS n, true AS equal FROM ({_digits(_PROPS)})",
     "match_carried": f"SELECT stream_id, p + 2 AS \"offset\", 'x' AS original_id FROM {_positions(_NATIONS, 3)} "
     f"WHERE {_byte('p')} {_VOWEL} AND NOT {_byte('p + 1')} {_VOWEL} AND {_byte('p + 2')} {_VOWEL}",
 }

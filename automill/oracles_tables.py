@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from automill.oracles import _NAMES, _digits
+from automill.oracles import ORACLES as _ENGINE
 
 # The automaton of the parts: patterns, prefixes, states s, edges e and their bytes y.
 _P = "p AS (SELECT DISTINCT p_name AS code, lower(p_name) AS t, 2 AS st, false AS rep FROM part UNION SELECT DISTINCT p_type, lower(p_type), 1, true FROM part)"
@@ -132,6 +133,12 @@ ORACLES: dict[str, str] = {
     "match_dictionary": "WITH w AS (SELECT DISTINCT t FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM benchmark) WHERE len(t) >= 8), "
     "z AS (SELECT DISTINCT len(t) AS n FROM w), c AS (SELECT lower(text) AS x, unnest(range(len(text))) AS q FROM conversations) "
     "SELECT w.t AS report_code, count(*) AS n FROM c, z JOIN w ON w.t = substr(x, q + 1, z.n) WHERE len(w.t) = z.n GROUP BY w.t",
+    "match_indexed": " UNION ALL ".join(
+        f"SELECT doc_id::VARCHAR AS stream_id, (strlen(left(text, q)) + {len(w) - 1})::BIGINT AS \"offset\", '{k}' AS report_code FROM "
+        f"(SELECT doc_id, text, unnest(range(len(text))) AS q FROM documents WHERE contains(text, '{w}')) WHERE substr(text, q + 1, {len(w)}) = '{w}'"
+        for k, w in enumerate(("Apache License", "Released under"))
+    ),
+    "match_folded": _ENGINE["match_multi_keyword_events"],
     "nfa_summary": f"WITH {_S}, {_C}, {_Z} SELECT 'names' AS nfa_id, {_SUMMARY} FROM s",
     "nfa_extended_summary": f"WITH {_S}, {_E}, {_B}, {_R}, {_COMPLETE}, {_D}, {_C}, {_Z} SELECT 'names' AS nfa_id, {_SUMMARY}, (SELECT min(n) FROM z) AS min_component, "
     "(SELECT count(*) FILTER (n > 512) FROM z) AS components_over_512, (SELECT count(*) FROM e) AS edges, (SELECT max(in_degree) FROM d) AS max_in_degree, "

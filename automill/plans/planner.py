@@ -6,6 +6,7 @@ Decided on the driver from the compiled automata before a plan is built:
 * ``arrow``: a table that fills as it is used. Always right; chosen when the table would grow too large.
 * ``hybrid``: a table for the hot states, masks for the cold ones, where they are enabled. For components whose
   table would be too large, but whose states far from the starts are seldom reached.
+* ``fold``: the table in the plan itself, a fold over the bytes in the JVM. For short streams and small tables; other groups go to the kernel.
 * ``relational``: joins of frontier, edges and bytes. For acyclic components and short paths; groups with a cycle
   (``dag_class`` 0 or 1) go to the ``arrow`` kernel.
 * ``ranges``: as relational, with sets of bytes as ranges: wide classes are a row or two of the broadcast table.
@@ -25,7 +26,7 @@ from automill.operators.graph import components, group_by_count, group_by_size
 TABLE_ROWS, GROUP_STATES = 4096, 4000
 #: States of a component that masks are made for, at most; a larger one is run by sets of states.
 MASK_STATES = 20_000
-STRATEGIES = ("auto", "table", "arrow", "relational", "ranges", "memo", "vector", "hybrid")
+STRATEGIES = ("auto", "table", "arrow", "relational", "ranges", "memo", "vector", "hybrid", "fold")
 #: Strategies that join, and layers behind the starts that are hot unless it is said which states are.
 JOINS, HOT_LAYERS = ("relational", "ranges", "memo"), 2
 

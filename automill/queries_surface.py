@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from automill.model import Automaton, build
-from automill.operators import match as matching, reports, sinks, transforms
+from automill.operators import fingerprints, match as matching, reports, sinks, transforms
 from automill.operators.scratch import folder
 from automill.queries import DIGITS, GAP, _streams
 from automill.sources import streams
@@ -95,6 +95,21 @@ def sorted_reports(spark, sf_dir):
     return found.mapInPandas(run, "wrong long, n long").agg(F.sum("wrong").alias("wrong"), F.sum("n").alias("n"))
 
 
+def report_first_differences(spark, sf_dir):
+    """The first forty reports that cutting the names loses, found by fingerprints of ranges."""
+    data = _streams(spark, sf_dir, "customer", "c_custkey", "c_name")
+    a, b = (matching.match(DIGITS, None, data, **how).select("stream_id", "offset", "original_id") for how in ({}, {"segment_bytes": 4, "tail": "keep"}))
+    return fingerprints.first_differences(a, b, ["stream_id", "offset"])
+
+
+def report_equal_sets(spark, sf_dir):
+    """Whether two ways of matching report the same."""
+    data = _streams(spark, sf_dir, "events", "event_id", "props")
+    a, b = (matching.match(DIGITS, None, data, strategy=how).select("stream_id", "offset", "original_id", "report_code") for how in ("auto", "fold"))
+    same = fingerprints.equal(a, b, ["stream_id", "offset"])
+    return a.agg(F.count(F.lit(1)).alias("n"), F.lit(same).alias("equal"))
+
+
 # Streams that arrive.
 
 
@@ -113,6 +128,6 @@ def match_carried(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        transforms_keep_reports, transforms_move_reports, transforms_cut_loops, written_reports, written_frontier, sorted_reports, match_carried,
+        transforms_keep_reports, transforms_move_reports, transforms_cut_loops, written_reports, written_frontier, sorted_reports, report_first_differences, report_equal_sets, match_carried,
     )
 }

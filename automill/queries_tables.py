@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from automill import bench
 from automill.functions import symbolset
-from automill.model import from_frames, to_frames
+from automill.model import from_frames, keywords, to_frames
 from automill.operators import analysis, graph, graph_tables, match as matching, sinks, transforms
 from automill.operators.scratch import folder, keep
 from automill.plans import planner
-from automill.sources import anml, dictionary, streams, tables
+from automill.sources import anml, dictionary, skipping, streams, tables
 
 KEY = ["nfa_id", "state_id"]
 
@@ -96,6 +96,20 @@ def match_dictionary(spark, sf_dir):
     return found.groupBy("report_code").agg(F.count(F.lit(1)).alias("n"))
 
 
+def match_indexed(spark, sf_dir):
+    """Rare keywords in documents that are stored in blocks with an index of 3-grams."""
+    path = _path(spark, "indexed")
+    skipping.store(streams.from_column(_table(spark, sf_dir, "documents"), "doc_id", "text"), path, 64)
+    return skipping.match(spark, path, [keywords("rare", ("Apache License", "Released under"))]).select("stream_id", "offset", "report_code")
+
+
+def match_folded(spark, sf_dir):
+    """By a fold in the JVM, without Python workers."""
+    data = streams.from_column(_table(spark, sf_dir, "events"), "event_id", "event_type")
+    words = keywords("events", ("click", "view", "purchase", "i"))
+    return matching.match(words, None, data, strategy="fold").select("stream_id", "offset", "original_id", "report_code")
+
+
 # Statistics.
 
 
@@ -480,7 +494,7 @@ def bench_geomean(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        dictionary_states, dictionary_edges, dictionary_failures, match_dictionary, nfa_summary, nfa_extended_summary, nfa_degree_hist, nfa_in_degree_hist,
+        dictionary_states, dictionary_edges, dictionary_failures, match_dictionary, match_indexed, match_folded, nfa_summary, nfa_extended_summary, nfa_degree_hist, nfa_in_degree_hist,
         nfa_log_degree_hist, nfa_components, nfa_counts, nfa_layers, nfa_alphabet, alphabets, dag_classes, strong_components_orders, incompatible_pairs,
         compatible_groups, start_states, neighbours, hot_by_layer, memo_length_hist, memo_cutoff, symbolset_ranges, symbolset_cardinality, symbolset_parse,
         symbolset_kinds, symbolset_remap, symbolset_completeness, limited_out_degree, split_to_complete, renumbered, renumber_policies, merged, induced_subgraph,
