@@ -34,10 +34,10 @@ from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from automill.llm.scratch import keep
+from automill.llm.scratch import drop, keep
 
 #: Pages of a host, and share of them, that a template needs.
 LEAST_PAGES, LEAST_SHARE = 3, 0.9
@@ -205,8 +205,8 @@ class Page:
     def main_text(self, template: frozenset[int] = frozenset()) -> str:
         """The article or main element's text, or all but noise and the template's texts."""
         best = max((r for _, _, r, t, _ in self.texts if t.strip()), default=0)
-        drop = template if best == 1 else frozenset()
-        return joined((block, text) for block, path, region, text, _ in self.texts if region == best and best and not (drop and text.strip() and token(path, text) in drop))
+        fixed = template if best == 1 else frozenset()
+        return joined((block, text) for block, path, region, text, _ in self.texts if region == best and best and not (fixed and text.strip() and token(path, text) in fixed))
 
 
 def joined(texts: Iterable[tuple[int, str]]) -> str:
@@ -235,8 +235,8 @@ _SQL = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string"}
 
 
 def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """The parsed pages: url, host, content, id, of elements spots, parents and kinds, of texts blocks, tokens (0 for noise and blanks), regions, texts and places."""
-    rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.col(id_col).alias("id"))
+    """The parsed pages: url, host, content, row (a number of its own), id, of elements spots, parents and kinds, of texts blocks, tokens (0 for noise and blanks), regions, texts and places."""
+    rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,9 +254,9 @@ def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
                     for (name, _), found in zip(_LISTS, (spots, parents, kinds, blocks, tokens, regions, texts, places)):
                         lists[name].append(found)
                 columns = [pa.array(lists[name], pa.list_(kind)) for name, kind in _LISTS]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), part.column(2), *columns], ["url", "host", "content", "id", *[n for n, _ in _LISTS]])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), part.column(3), part.column(2), *columns], ["url", "host", "content", "row", "id", *[n for n, _ in _LISTS]])
 
-    schema = f"url string, host string, content long, id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{name} array<{_SQL[kind]}>" for name, kind in _LISTS)
+    schema = f"url string, host string, content long, row long, id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{name} array<{_SQL[kind]}>" for name, kind in _LISTS)
     return keep(rows.mapInArrow(run, schema), "html-parsed")
 
 
@@ -292,6 +292,27 @@ def _slots(spots: list[int], parents: list[int], kinds: list[int], tokens: list[
     return [*out, (0, 0, 0, hashes[-1], lengths[-1])]
 
 
+def _once_each(parsed: DataFrame) -> DataFrame:
+    """The parsed pages without those that have the content of another page of the host."""
+    twice = parsed.groupBy("host", "content").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("first")).where("rows > 1")
+    twice = keep(twice.select(F.col("host").alias("host_"), F.col("content").alias("content_"), F.xxhash64("host", "content").alias("key_"), "first"), "html-copies")
+    same = (F.xxhash64("host", "content") == F.col("key_")) & (F.col("host") == F.col("host_")) & (F.col("content") == F.col("content_"))
+    out = parsed.join(F.broadcast(twice) if twice.count() <= BROADCAST_TOKENS else twice, same, "left")
+    return out.where(F.col("first").isNull() | (F.col("first") == F.col("row"))).select(parsed.columns)
+
+
+def _counted(tokens: Column) -> Column:
+    """array<struct<token, n>> of an array of tokens, by runs of the sorted array, which is made once."""
+
+    def runs(line: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(line) - 1), lambda i: (i == 0) | (F.get(line, i) != F.get(line, i - 1)))
+        count = lambda s: F.transform(s, lambda i, k: F.struct(F.get(line, i).alias("token"), (F.coalesce(F.get(s, k + 1), F.size(line)) - i).cast("long").alias("n")))
+        return F.get(F.transform(F.array(starts), count), F.lit(0))
+
+    none = F.array().cast("array<struct<token: bigint, n: bigint>>")
+    return F.get(F.transform(F.array(F.array_sort(tokens)), lambda line: F.when(F.size(line) > 0, runs(line)).otherwise(none)), F.lit(0))
+
+
 def deduce_templates(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The template tokens of every host (host, kind, token, vector; kind 0 elements, 1 texts), and its slots.
 
@@ -299,22 +320,21 @@ def deduce_templates(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     and stands on at least ``LEAST_SHARE`` of the host's pages. Pages of equal content count once, and a host
     on which no text varies has no template. Slots: host, spot, parent, kind, pages, own (different texts) and length (mean).
     """
-    row = F.monotonically_increasing_id()
-    found = [
-        parsed.select("host", "content", row.alias("row"), F.lit(k).alias("kind"), F.explode(c).alias("token")).groupBy("host", "content", "row", "kind", "token").agg(F.count(F.lit(1)).alias("n"))
-        for k, c in ((0, "spots"), (1, F.filter("tokens", lambda t: t != 0)))
-    ]
-    found = found[0].unionByName(found[1]).groupBy("host", "content", "kind", "token").agg(F.max("n").alias("n"))
+    pages = _once_each(parsed)
+    said = F.filter("tokens", lambda t: t != 0)
+    found = [pages.select("host", "content", F.lit(k).alias("kind"), F.inline(_counted(c))) for k, c in ((0, F.col("spots")), (1, said))]
     seen = F.bit_xor(F.xxhash64("kind", "content", "n"))
-    tokens = keep(found.groupBy("host", "kind", "token").agg(F.count(F.lit(1)).alias("pages"), seen.alias("vector")), "html-tokens")
+    tokens = found[0].unionByName(found[1]).groupBy("host", "kind", "token").agg(F.count(F.lit(1)).alias("pages"), seen.alias("vector"))
+    tokens = keep(tokens, "html-tokens")
     least = F.min(F.when(F.col("kind") == 1, F.col("pages"))).alias("least")
     hosts = tokens.groupBy("host").agg(F.max("pages").alias("of"), least)
     hosts = hosts.where((F.col("of") >= LEAST_PAGES) & (F.col("least") < F.col("of"))).drop("least")
     classes = tokens.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("class_size"))
     classes = classes.join(hosts, "host").where((F.col("class_size") >= 2) & (F.col("pages") >= LEAST_SHARE * F.col("of")))
     found = keep(tokens.join(classes.drop("of"), ["host", "vector", "pages"]), "html-classes")
+    drop(tokens)
     sizes = F.transform("texts", lambda t: F.length(t))
-    rows, known = _with_classes(parsed.select("url", "host", "content", "spots", "parents", "kinds", "tokens", sizes.alias("sizes"), "places"), found)
+    rows, known = _with_classes(pages.select("url", "host", "content", "spots", "parents", "kinds", "tokens", sizes.alias("sizes"), "places"), found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,12 +356,12 @@ def deduce_templates(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     read = keep(rows.select(*marked).mapInArrow(run, "host string, content long, spot long, parent long, kind int, hash long, length long"), "html-slots")
     orders = read.where("content = 0").groupBy("host", "spot").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a = b and a != 0")
     templates = keep(found.join(orders.select("host", F.col("spot").alias("vector")), ["host", "vector"]).select("host", "kind", "token", "vector"), "html-templates")
-    once = read.where("content <> 0").groupBy("host", "content", "spot", "parent", "kind").agg(F.max("hash").alias("hash"), F.max("length").alias("length"))
-    by_text = once.groupBy("host", "spot", "parent", "kind", "hash").agg(F.count(F.lit(1)).alias("pages"), F.sum("length").alias("length"))
+    by_text = read.where("content <> 0").groupBy("host", "spot", "parent", "kind", "hash").agg(F.count(F.lit(1)).alias("pages"), F.sum("length").alias("length"))
     slots = by_text.groupBy("host", "spot", "parent", "kind").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("own"), (F.sum("length") / F.sum("pages")).alias("length"))
     valid = templates.where("kind = 0").select("host", F.col("token").alias("spot"))
-    whole = slots.where("spot = 0")
-    return templates, keep(whole.unionByName(slots.where("spot <> 0").join(valid, ["host", "spot"]).select(slots.columns)), "html-slots")
+    slots = keep(slots.where("spot = 0").unionByName(slots.where("spot <> 0").join(valid, ["host", "spot"]).select(slots.columns)), "html-slots")
+    drop(read, found)
+    return templates, slots
 
 
 def choose(slots: list[tuple[int, int, int, int, int, float]]) -> int:
@@ -404,11 +424,11 @@ def slot_text(spot: int | None, page: dict[str, list], template: frozenset[int])
     own, rest = [], []
     best = max((r for r, t in zip(page["regions"], page["texts"]) if t.strip()), default=0)
     for block, t, region, text, place in zip(*(page[c] for c in ("blocks", "tokens", "regions", "texts", "places"))):
-        drop = t in template or place >= 0 and fixed[place]
+        gone = t in template or place >= 0 and fixed[place]
         within = inside[place] if place >= 0 else 0
-        if region and within and (within == 2 or not drop):
+        if region and within and (within == 2 or not gone):
             own.append((block, text))
-        if region == best and best and (best == 2 or not drop):
+        if region == best and best and (best == 2 or not gone):
             rest.append((block, text))
     return joined(own) or joined(rest)
 
@@ -420,7 +440,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     always = slots.where("spot <> 0 and own = 1").select("host", F.col("spot").alias("token"), F.lit(1).cast("long").alias("vector"))
     fixed = templates.where("kind = 1").select("host", "token", "vector").unionByName(always)
     chosen = main_slots(slots).select("host", F.lit(0).cast("long").alias("token"), F.col("spot").alias("vector"))  # token 0 stands for the slot
-    rows, known = _with_classes(parsed.drop("content"), fixed.unionByName(chosen))
+    rows, known = _with_classes(parsed.drop("content", "row"), fixed.unionByName(chosen))
     kind = parsed.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
