@@ -29,8 +29,7 @@ def exact_dedup(
     """One row per document: id, keep_id, group_size, kept and text_sha256.
 
     ``text_sha256`` is null for rows without an equal one, unless ``digest_all`` asks for it.
-    When more groups survive than may be broadcast, every row counts as surviving: more hashing, the
-    same result.
+    The surviving groups are broadcast while they are few, and joined by a shuffle of their keys beyond that, before any full hash.
     """
     rows = docs.select(F.col(id_col).alias("id"), ascii_lower(filled(text_col)).alias("t"))
     shape = (F.octet_length("t").alias("len"), F.xxhash64(F.substring("t", 1, prefix)).alias("ph"))
@@ -39,10 +38,11 @@ def exact_dedup(
         "exact-company",
     )
     rows = rows.select("id", "t", *shape)
-    if company.count() <= BROADCAST_GROUPS:
-        rows = rows.join(F.broadcast(company.withColumn("again", F.lit(True))), ["len", "ph"], "left")
-    else:
-        rows = rows.withColumn("again", F.lit(True))
+    marked = company.select(F.col("len").alias("len_"), F.col("ph").alias("ph_"), F.xxhash64("len", "ph").alias("key_"), F.lit(True).alias("again"))
+    few = company.count() <= BROADCAST_GROUPS
+    # The third key makes both sides of the join exchange anew, so a group with a third of all rows can be split.
+    same = (F.xxhash64("len", "ph") == F.col("key_")) & (F.col("len") == F.col("len_")) & (F.col("ph") == F.col("ph_"))
+    rows = rows.join(F.broadcast(marked) if few else marked, same, "left")
     again = F.coalesce("again", F.lit(False))
     sha = F.sha2(F.col("t").cast("binary"), 256)
     hashed = keep(
