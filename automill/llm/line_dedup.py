@@ -28,7 +28,7 @@ that a third of all texts have.
 Edge cases: null text stays null, empty text and texts of fewer than ``run_words`` words stay as they are unless
 they repeat themselves; of repeated rows (same id and text) none is later than the other, so they fare alike;
 with equal ids the text's hash decides which is earlier; null ids come first; an empty table gives an empty
-result; other columns pass through, whatever their names, but for ``__lines_gone``, which is replaced.
+result; other columns pass through, whatever their names, but for one called like the count, which is replaced.
 """
 
 from __future__ import annotations
@@ -46,6 +46,7 @@ GRAM = 8
 WORDS = 4096
 #: Bits of a window's place in its block.
 _BITS = 13
+_INDEX_BITS = 33  # of monotonically_increasing_id, below the partition's number
 #: Texts with repeated fingerprints, or groups of equal texts, whose keys are broadcast at most; 16 and 32 bytes each.
 BROADCAST_TEXTS = 200_000
 
@@ -121,12 +122,26 @@ def _repeated(marks: DataFrame) -> DataFrame:
     return found.select("id", "th", "block", ranges.alias("ranges"))
 
 
-def _numbered(found: DataFrame) -> DataFrame:
-    """The blocks with uid, which grows with id, th and block, and with the uid of the block before it in its text."""
+def _placed(found: DataFrame) -> DataFrame:
+    """The blocks in the order of id, th and block, with their partition and place in it."""
     key = [F.col("id").asc_nulls_first(), F.col("th"), F.col("block")]
-    out = found.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("uid", F.monotonically_increasing_id())
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
+    dealt = found.repartitionByRange(*key).sortWithinPartitions(*key)
+    return dealt.withColumn("part", F.spark_partition_id()).withColumn("place", place)
+
+
+def _numbered(placed: DataFrame) -> DataFrame:
+    """The blocks with uid, their rank by id, th and block, and with the uid of the block before it in its text.
+
+    Ranks are places shifted by the rows of the partitions before, so they fit beside a window's place for any number of partitions.
+    """
+    counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"))
+    shift = F.sum("n").over(Window.orderBy("part")) - F.col("n") - F.col("least")  # a row for each partition
+    counts = counts.select(F.col("part").alias("part_"), shift.alias("shift"))
+    out = placed.join(F.broadcast(counts), F.col("part") == F.col("part_")).withColumn("uid", F.col("place") + F.col("shift"))
     text = Window.partitionBy("id", "th").orderBy("block")
-    return out.withColumn("before", F.when(F.lag("block").over(text) == F.col("block") - 1, F.lag("uid").over(text)))
+    out = out.withColumn("before", F.when(F.lag("block").over(text) == F.col("block") - 1, F.lag("uid").over(text)))
+    return out.drop("part", "part_", "place", "shift")
 
 
 def _windows(texts: DataFrame, found: DataFrame, run_words: int, ahead: int) -> DataFrame:
@@ -179,10 +194,10 @@ def _rest(text: Column, gone: Column) -> Column:
     return _once(F.split(text, f"(?<=[{_SPACE}])(?=[{_WORD}])", -1), stay)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run_words: int = MIN_WORDS) -> DataFrame:
-    """The documents without later repeated runs, with one more column: ``__lines_gone``, the number of runs that went."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run_words: int = MIN_WORDS, count_col: str = "__lines_gone") -> DataFrame:
+    """The documents without later repeated runs, with one more column: ``count_col``, the number of runs that went."""
     gram = min(GRAM, run_words)
-    columns = [c for c in docs.columns if c != "__lines_gone"]
+    columns = [c for c in docs.columns if c != count_col]
     both = F.xxhash64(text_col).alias("th"), F.when(F.col(text_col).isNotNull(), F.xxhash64(F.lit(1), text_col)).alias("tk")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(c) for c in columns if c != text_col]).alias("rest"), *both)
     equal = keep(first_of_equal(rows.select("id", "text", "th", "tk")), "line-equal")
@@ -195,8 +210,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = keep(_marked(fresh, run_words, gram), "line-marks")
     found = keep(_repeated(marks), "line-found")
     drop(marks)
-    blocks = keep(_numbered(found), "line-blocks")
+    placed = keep(_placed(found), "line-placed")
     drop(found)
+    blocks = keep(_numbered(placed), "line-blocks")
+    drop(placed)
     texts = keep(blocks.select(F.col("id").alias("id_"), F.col("th").alias("th_")).distinct(), "line-texts")
     keys = F.broadcast(texts) if texts.count() <= BROADCAST_TEXTS else texts
     on = lambda a, b: a["id"].eqNullSafe(b["id_"]) & (a["th"] == b["th_"])
@@ -213,4 +230,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bare = F.regexp_extract("text", f"^[{_SPACE}]*", 0)
     others = others.select("rest", F.when(whole, bare).otherwise(F.col("text")).alias("text"), F.when(whole, 1).otherwise(0).alias("runs"))
     out = others.unionByName(touched)
-    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in columns], F.col("runs").alias("__lines_gone"))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in columns], F.col("runs").alias(count_col))
