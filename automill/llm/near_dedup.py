@@ -13,7 +13,8 @@ Groups of any size are handled without making all pairs:
    pivot it meets most often, and confirmed links form trees that pointer jumping resolves.
 3. Buckets that still hold several components are compared across components, each class outside
    the bucket's largest component with every class of another one, so no link between components is
-   lost; pairs whose sizes or signatures rule a link out are skipped. Confirmed links join components.
+   lost; pairs whose sizes, common shingles or signatures rule a link out are skipped, first by kinds of classes that
+   have the same size and number of common shingles, so texts of one template that are not linked make no pairs. Confirmed links join components.
 
 Edge cases: null and empty text, or text without words, has an empty set and no links; ties go to the
 smallest id; repeated rows share their component; null ids count as documents of their own whose
@@ -242,13 +243,20 @@ def _across(members: DataFrame, trees: DataFrame, classes: DataFrame, texts: Dat
     mixed = placed.join(main, (F.xxhash64("band") == F.col("key_")) & (F.col("band") == F.col("band_")))
     mixed = keep(mixed.select("band", "id", "n", "tree", "main"), "near-mixed")
     shared = _shared_shingles(texts, mixed.select(F.col("id").alias("i")).distinct())
-    mixed = keep(mixed.join(shared, mixed["id"] == shared["i"]).drop("i"), "near-mixed")
+    total = F.aggregate(F.array(*[F.col(f"c{k}") for k in range(PARTS)]), F.lit(0).cast("long"), lambda acc, c: acc + c)
+    mixed = keep(mixed.join(shared, mixed["id"] == shared["i"]).drop("i").withColumn("total", total), "near-mixed")
+    # Classes of a bucket by size and common shingles: what rules out two such kinds rules out all pairs of their members, unseen.
+    bound = lambda most: 100 * most >= LEAST * (F.col("n") + F.col("n_") - most)
+    kinds = keep(mixed.groupBy("band", "n", "total").agg(F.max(F.col("tree") != F.col("main")).alias("apart")), "near-kinds")
+    others = kinds.where("apart").select(*[F.col(c).alias(f"{c}_") for c in ("band", "n", "total")])
+    kinds = kinds.join(others, (F.col("band") == F.col("band_")) & bound(F.least("total", "total_"))).select("band", "n", "total", "n_", "total_")
+    left = mixed.join(kinds, ["band", "n", "total"])
     few = mixed.where("tree <> main")
-    few = few.select(*[F.col(c).alias(f"{c}_") for c in few.columns if c != "main"])
-    near = (F.col("band") == F.col("band_")) & (F.col("tree") != F.col("tree_"))
-    most = reduce(lambda x, k: x + F.least(f"c{k}", f"c{k}_"), range(1, PARTS), F.least("c0", "c0_"))
-    near &= (100 * most >= LEAST * (F.col("n") + F.col("n_") - most)) & ((F.col("tree") == F.col("main")) | (F.col("id") < F.col("id_")))
-    pairs = mixed.join(few, near).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+    few = few.select(*[F.col(c).alias(f"{c}_") for c in few.columns if c not in ("main", "n", "total")], F.col("n").alias("few_n"), F.col("total").alias("few_total"))
+    near = (F.col("band") == F.col("band_")) & (F.col("n_") == F.col("few_n")) & (F.col("total_") == F.col("few_total")) & (F.col("tree") != F.col("tree_"))
+    near &= bound(reduce(lambda x, k: x + F.least(f"c{k}", f"c{k}_"), range(1, PARTS), F.least("c0", "c0_")))
+    near &= (F.col("tree") == F.col("main")) | (F.col("id") < F.col("id_"))
+    pairs = left.join(few, near).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
     sign = lambda c: classes.select(F.col("id").alias(f"{c}_id"), F.col("sign").alias(f"{c}_sign"))
     pairs = pairs.join(sign("a"), F.col("a") == F.col("a_id")).join(sign("b"), F.col("b") == F.col("b_id"))
     return pairs.select("a", "b", "a_sign", "b_sign").mapInArrow(_agree, "a long, b long")
