@@ -8,8 +8,8 @@ mapped back to spans of the original text.
 
 An automaton has at most thirty nodes for each word of the benchmark, so a bound on its words bounds a worker's
 memory: ``BLOCK_WORDS`` take some 200 MB. Items are collected only behind that check. A larger benchmark is
-dealt by a hash of its items into blocks of about that size, and each block is one more pass over the texts,
-whose hits are carried along in a written table.
+dealt by a hash of its items into blocks of about that size. Then the documents are written once with numbers, each block is
+a pass over the numbers and texts that keeps hits only, and the hits are joined at the end.
 
 Edge cases: null text has no words and no hits; null items have no windows; items with equal ids are
 one item, equal windows of different items count for each; a null item id is the id '' in digests; empty
@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from automill.llm.scratch import keep
+from automill.llm.text import free_prefix
 
 #: Words of a window.
 WINDOW = 10
@@ -102,14 +104,16 @@ def _here(shared: Broadcast) -> Matcher:
     return _built[1]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> list[DataFrame]:
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
     items = items.where(F.col("text").isNotNull())
     total = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(_WORDS))), F.lit(0))).first()[0]
     n = max(1, -(-total // block_words))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"], r["text"]) for r in part.distinct().collect()]
+    return [items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def _items(block: DataFrame) -> list[tuple[str, str]]:
+    return [(r["item"], r["text"]) for r in block.distinct().collect()]
 
 
 def find_benchmark(
@@ -125,57 +129,88 @@ def find_benchmark(
 ) -> DataFrame:
     """The documents with ``__words`` (count), ``__runs`` (hit runs of words), ``__items`` and ``__spans`` (of characters)."""
     new = [f"{prefix}{n}" for n in ("words", "runs", "items", "spans")]
-    out, again = docs.select(*[c for c in docs.columns if c not in new]), False
-    at, names = out.columns.index(text_col), [*out.columns, *new]
-    for items in _blocks(benchmark, item_col, item_text_col, block_words):
-        if again:
-            out = keep(out, "benchmark-hits")
-        out, again = _pass(out, items, at, names, again, with_spans), True
-    return out
+    out = docs.select(*[c for c in docs.columns if c not in new])
+    blocks = _blocks(benchmark, item_col, item_text_col, block_words)
+    if len(blocks) == 1:
+        return _pass(out, _items(blocks[0]), text_col, new, with_spans)
+    names = free_prefix([*out.columns, *new])
+    row, found_runs, found_items = f"{names}row", f"{names}runs", f"{names}items"
+    out = keep(out.withColumn(row, F.monotonically_increasing_id()), "benchmark-rows")
+    texts = out.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
+    hits = [keep(_hits(texts, _items(block)), "benchmark-hits") for block in blocks]
+    of_row = reduce(DataFrame.unionByName, hits).groupBy(F.col("row").alias(f"{names}r"))
+    of_row = of_row.agg(F.flatten(F.collect_list("runs")).alias(found_runs), F.array_distinct(F.flatten(F.collect_list("items"))).alias(found_items))
+    out = out.join(of_row, F.col(row) == F.col(f"{names}r"), "left").drop(row, f"{names}r")
+    return _merged(out, text_col, new, with_spans)
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents, all columns as they are, in which no window occurs."""
-    prefix = "__"
-    while any(c.startswith(prefix) for c in docs.columns):
-        prefix += "_"
+    prefix = free_prefix(docs.columns)
     out = find_benchmark(docs, benchmark, text_col, with_spans=False, prefix=prefix)
     return out.where(F.size(f"{prefix}runs") == 0).select(*docs.columns)
 
 
 _RUN = pa.struct([("a", pa.int32()), ("b", pa.int32())])
+_RUNS = ArrayType(StructType([StructField("a", IntegerType()), StructField("b", IntegerType())]))
+
+
+def _as_runs(rows: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"a": a, "b": b} for a, b in r] for r in rows], pa.list_(_RUN))
 
 
-def _pass(rows: DataFrame, items: list, at: int, names: list[str], again: bool, with_spans: bool) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(items)
-    run_type = ArrayType(StructType([StructField("a", IntegerType()), StructField("b", IntegerType())]))
-    kept = rows.schema.fields[: len(names) - 4]
-    kinds = (LongType(), run_type, ArrayType(StringType()), run_type)
-    schema = StructType([*kept, *[StructField(n, k) for n, k in zip(names[-4:], kinds)]])
+def _with(rows: DataFrame, gone: int, new: list[str], each: Callable[[pa.RecordBatch, int], tuple]) -> DataFrame:
+    """The rows without their last ``gone`` columns, and with the four new ones that each row gives."""
+    kept = rows.schema.fields[: len(rows.columns) - gone]
+    schema = StructType([*kept, *[StructField(n, k) for n, k in zip(new, (LongType(), _RUNS, ArrayType(StringType()), _RUNS))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _here(shared)
         for batch in batches:
-            texts = batch.column(at)
-            old = [batch.column(len(kept) + i).to_pylist() for i in (1, 2)] if again else None
-            n_words, runs, items, places = [], [], [], []
-            for i in range(batch.num_rows):
-                text = texts[i].as_py() or ""
-                n, r, x = found.scan(text)
-                if old and old[0][i]:
-                    r = _union(r, [(p["a"], p["b"]) for p in old[0][i]])
-                    x = x | set(old[1][i])
-                n_words.append(n)
-                runs.append(r)
-                items.append(sorted(x))
-                places.append(spans(text, r) if r and with_spans else [])
-            as_runs = lambda rs: pa.array([[{"a": a, "b": b} for a, b in r] for r in rs], pa.list_(_RUN))
-            more = [pa.array(n_words, pa.int64()), as_runs(runs), pa.array(items, pa.list_(pa.string())), as_runs(places)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *more], names)
+            n_words, runs, items, places = zip(*[each(batch, i) for i in range(batch.num_rows)]) if batch.num_rows else ((),) * 4
+            more = [pa.array(n_words, pa.int64()), _as_runs(runs), pa.array([sorted(x) for x in items], pa.list_(pa.string())), _as_runs(places)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *more], [*[f.name for f in kept], *new])
 
     return rows.mapInArrow(run, schema)
 
 
+def _pass(rows: DataFrame, items: list, text_col: str, new: list[str], with_spans: bool) -> DataFrame:
+    shared, at = rows.sparkSession.sparkContext.broadcast(items), rows.columns.index(text_col)
+
+    def each(batch: pa.RecordBatch, i: int) -> tuple:
+        text = batch.column(at)[i].as_py() or ""
+        n, runs, found = _here(shared).scan(text)
+        return n, runs, found, spans(text, runs) if runs and with_spans else []
+
+    return _with(rows, 0, new, each)
+
+
+def _hits(texts: DataFrame, items: list) -> DataFrame:
+    """row, runs and items of the rows (row, text) in which an item occurs."""
+    shared = texts.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_here(shared).scan(batch.column(1)[i].as_py())[1:] for i in range(batch.num_rows)]
+            hit = [i for i, (runs, _) in enumerate(found) if runs]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(hit, pa.int64())), _as_runs([found[i][0] for i in hit]), pa.array([sorted(found[i][1]) for i in hit], pa.list_(pa.string()))], ["row", "runs", "items"]
+            )
+
+    return texts.mapInArrow(run, StructType([StructField("row", LongType()), StructField("runs", _RUNS), StructField("items", ArrayType(StringType()))]))
+
+
+def _merged(rows: DataFrame, text_col: str, new: list[str], with_spans: bool) -> DataFrame:
+    """The rows, whose last two columns are all blocks' runs and items, with the four columns instead."""
+    at, last = rows.columns.index(text_col), len(rows.columns)
+
+    def each(batch: pa.RecordBatch, i: int) -> tuple:
+        text = batch.column(at)[i].as_py() or ""
+        runs = _union([(r["a"], r["b"]) for r in batch.column(last - 2)[i].as_py() or []], [])
+        return len(normalised(text)), runs, batch.column(last - 1)[i].as_py() or [], spans(text, runs) if runs and with_spans else []
+
+    return _with(rows, 2, new, each)
+
+
 def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for x, y in sorted([*a, *b]):

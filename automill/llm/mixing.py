@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from automill.llm.scratch import keep
-from automill.llm.text import WORD, filled
+from automill.llm.text import WORD, filled, free_prefix
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -114,14 +114,17 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed corpus: every document as often as its source's rate says, with ``copy`` counting from 0."""
+    """The mixed corpus: every document as often as its source's rate says, with ``copy`` counting from 0.
+
+    All columns of the documents stay, whatever they are called; where ``copy`` is one, the count's name begins with two or more underscores.
+    """
     _, rates = mix_plan(docs, id_col, text_col, source_col)
-    names = {c: f"__mix_{c}" for c in ("source_size", "target", "rate", "seed")}
+    p = free_prefix(docs.columns)
     few = rates.count() <= BROADCAST_SOURCES
-    sources = rates.select(F.col("source").alias("__mix_source"), *[F.col(c).alias(n) for c, n in names.items()])
-    rows = docs.join(F.broadcast(sources) if few else sources, docs[source_col].eqNullSafe(sources["__mix_source"]))
-    whole = F.floor("__mix_rate")
-    times = (whole + F.when(draw(id_col, F.col("__mix_seed")) < F.col("__mix_rate") - whole, 1).otherwise(0)).cast("int")
-    rows = rows.withColumn("__mix_times", times).where("__mix_times > 0")
-    extra = "copy" if "copy" not in docs.columns else "__mix_copy"
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("__mix_times") - 1)).alias(extra))
+    sources = rates.select(*[F.col(c).alias(f"{p}{c}") for c in ("source", "rate", "seed")])
+    rows = docs.join(F.broadcast(sources) if few else sources, docs[source_col].eqNullSafe(sources[f"{p}source"]))
+    whole, rate = F.floor(f"{p}rate"), F.col(f"{p}rate")
+    times = (whole + F.when(draw(id_col, F.col(f"{p}seed")) < rate - whole, 1).otherwise(0)).cast("int")
+    rows = rows.withColumn(f"{p}times", times).where(F.col(f"{p}times") > 0)
+    extra = "copy" if "copy" not in [c.lower() for c in docs.columns] else f"{p}copy"
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(f"{p}times") - 1)).alias(extra))

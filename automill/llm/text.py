@@ -21,3 +21,10 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(
         F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
     )
+
+
+def free_prefix(columns: list[str], prefix: str = "__") -> str:
+    """The prefix, longer by underscores until no column begins with it, in any case."""
+    while any(c.lower().startswith(prefix.lower()) for c in columns):
+        prefix += "_"
+    return prefix
