@@ -72,6 +72,27 @@ def test_near_dedup_groups(spark):
     assert len({c for _, c in want.values()}) < len(rows) - 40
 
 
+@pytest.mark.parametrize("limit", [near_dedup.BROADCAST_IDS, -1])
+def test_near_dedup_tables(spark, monkeypatch, limit):
+    """The given documents against brute force, with the ids of candidates broadcast and joined."""
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", limit)
+    folder = SF if limit < 0 else SF.replace("sf0.001", "sf0.01")
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    want = brute.near_components([(r.doc_id, r.text) for r in df.collect()])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_dedup(df).collect()} == want
+
+
+def test_near_dedup_template(spark):
+    """Texts of one template, just not similar enough, make no pairs: kinds of classes are ruled out, not members one by one."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(base + [f"x{r.randrange(10**9)}" for _ in range(20)])) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 600, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_dedup.near_dedup(df).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+
+
 def test_near_dedup_edges(spark):
     assert near(spark, []) == {}
     got = near_dedup.near_dedup(spark.createDataFrame([(1, "a b", 1), (1, "a b", 1), (None, "a b", 1)], "doc_id long, text string, id long")).collect()

@@ -21,7 +21,7 @@ def docs(spark, rows):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "pages"):
+    for t in ("documents", "benchmark", "conversations", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = registry.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
@@ -50,6 +50,32 @@ def test_exact_dedup_digests_either_way(spark, monkeypatch):
         assert out == {1: hashlib.sha256(b"ab").hexdigest(), 2: hashlib.sha256(b"ab").hexdigest(), 3: None, 4: None, 5: None}
 
 
+def test_long_texts(spark):
+    """One very long text beside short ones, equal but for the case, or but for one letter at its end."""
+    long = "word and Word again " * 60_000
+    out = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs(spark, [(1, long, "s"), (2, long.upper(), "s"), (3, long + "x", "s"), (4, "a", "s")])).collect()}
+    assert out == {1: (2, 2), 2: (2, 2), 3: (3, 1), 4: (4, 1)}
+    rows = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long + "### x")], "conv_id long, turn long, role string, text string")
+    (chat_,) = chat.format_chats(rows).collect()
+    assert chat_.exact and [t.text for t in chat_.parsed] == [long, long + "### x"]
+    sizes = {r.doc_id: r.size for r in mixing.mix_counts(docs(spark, [(1, long, "s"), (2, "a b", "t")])).collect()}
+    assert sizes == {1: 240_000, 2: 2}
+
+
+def test_line_order_over_partitions(spark):
+    """Ranks of blocks go on from one partition to the next, in order, without gaps."""
+    rows = [(i, 7 * i % 5, b) for i in range(40) for b in range(3)]
+    found = spark.createDataFrame(rows, "id long, th long, block int").repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = line_dedup._numbered(line_dedup.keep(line_dedup._placed(found), "test-placed")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r.id, r.th, r.block) for r in sorted(got, key=lambda r: r.uid)] == sorted(rows)
+    assert sorted(r.uid for r in got) == list(range(120))
+    assert all(r.before == (None if r.block == 0 else r.uid - 1) for r in got)
+
+
 def test_line_dedup_random(spark, monkeypatch):
     """Texts with runs of blanks, tabs, line ends and any punctuation, and repeats of any length, against brute force."""
     monkeypatch.setattr(line_dedup, "WORDS", 64)  # several blocks in a text

@@ -84,5 +84,37 @@ def test_odd_rows(spark):
     assert empty.count() == 0
 
 
+NAMES = ["__id", "__ID2", "__mix_source", "__mix_rate", "__mix_times", "__mix_copy", "copy", "__lines_gone", "__runs", "__row", "__x", "kept", "id", "rest"]
+
+
+def test_clashing_names(spark):
+    """Columns of any name go through all stages and keep their values; the count of copies takes a name that is free."""
+    said = "A fine text with several words in it, and more of them. " * 4
+    rows = [(i, said + f"Number {i} of {i * 7919}.", "en", f"s{i % 2}", 10, *[f"{n} {i}" for n in NAMES]) for i in range(30)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in pipeline.STAGES:
+        docs = pipeline.keep(stage(spark, docs, SF), "test-names")
+        if name != "mixing":
+            assert docs.columns == [*schema_names(schema)]
+    assert docs.columns[:-1] == schema_names(schema) and docs.columns[-1] not in schema_names(schema)
+    found = docs.collect()
+    assert found and all(r[n] == f"{n} {r.doc_id}" for r in found for n in NAMES)
+
+
+def schema_names(schema):
+    return [x.split()[0].strip("`") for x in schema.split(", ")]
+
+
+def test_which_of_repeated_ids(spark):
+    """Of rows that repeat an id the one with the greatest text stays, whatever their order."""
+    rows = [(1, "b b b b b b", "x"), (1, "c c c c c c", "y"), (1, None, "z"), (2, "d", "u"), (2, "d", "v")]
+    for order in (rows, rows[::-1]):
+        got = sorted(tuple(r) for r in pipeline.one_of_each(spark, spark.createDataFrame(order, "doc_id long, text string, lang string"), SF).collect())
+        assert len(got) == 2 and got[0] == (1, "c c c c c c", "y") and got[1][:2] == (2, "d")
+        assert order is rows or got == first
+        first = got
+
+
 def test_engine_does_not_need_this():
     assert not [m for m in ("automill.queries", "automill.operators.match", "automill.cli") if "automill.llm" in open(sys.modules[m].__file__ if m in sys.modules else __import__(m, fromlist=["x"]).__file__).read()]
