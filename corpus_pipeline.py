@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from automill.llm import decontaminate, line_dedup, mixing, near_dedup, quality
 from automill.llm.queries_models import GOOD, quality_model
 from automill.llm.scratch import keep
+from automill.llm.text import free_prefix
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and empty texts stay as they are; ``n_chars`` follows the text where it changes.
     """
-    out = line_dedup.line_dedup(docs)
-    changed = F.col("__lines_gone") > 0
+    runs = f"{free_prefix(docs.columns)}runs"
+    out = line_dedup.line_dedup(docs, count_col=runs)
+    changed = F.col(runs) > 0
     out = out.where(~changed | (F.btrim("text", F.lit(" \t\r\n\x0b\x0c")) != ""))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -37,16 +39,20 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; of rows that repeat an id, one."""
-    found = keep(near_dedup.near_dedup(docs).select(F.col("doc_id").alias("__id"), "kept"), "pipeline-near")
-    gone = found.where("not kept").select("__id").distinct()
+    """One document of each group of near duplicates; of rows that repeat an id, the one with the greatest text, then by a hash of all columns."""
+    name = f"{free_prefix(docs.columns)}id"
+    found = keep(near_dedup.near_dedup(docs).select(F.col("doc_id").alias(name), "kept"), "pipeline-near")
+    gone = found.where("not kept").select(name).distinct()
     few = gone.count() <= near_dedup.BROADCAST_IDS
-    out = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__id"), "left_anti")
-    again = keep(found.where("__id is not null").groupBy("__id").count().where("count > 1").select("__id"), "pipeline-again")
+    out = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col(name), "left_anti")
+    again = keep(found.where(F.col(name).isNotNull()).groupBy(name).count().where("count > 1").select(name), "pipeline-again")
     if again.isEmpty():
         return out
-    once = out.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return out.join(again, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(once)
+    twice = out.join(again, F.col("doc_id") == F.col(name), "left_semi")
+    order = F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))
+    once = twice.groupBy(F.col("doc_id").alias(name)).agg(F.max_by(F.struct(*docs.columns), order).alias("row"))
+    once = once.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return out.join(again, F.col("doc_id") == F.col(name), "left_anti").unionByName(once)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +67,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's rate says; ``copy`` counts from 0.
 
     Sources without words, and null or empty texts in them, are not emitted; a null source is one of its own; rows that
-    repeat an id are drawn alike. A column ``copy`` of the documents stays, and the count is ``__mix_copy`` then.
+    repeat an id are drawn alike. A column ``copy`` of the documents stays, and the count has another name then.
     """
     return mixing.mix(docs)
 
