@@ -23,4 +23,13 @@ def keep(df: DataFrame) -> DataFrame:
     """df written to the shared folder, and read again: a lost executor costs a reread, and plans do not grow."""
     path = f"{folder(df.sparkSession)}/kept-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def still_there(df: DataFrame) -> bool:
+    """Whether the files of a table of ``keep`` have not been deleted since."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(df._kept_path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

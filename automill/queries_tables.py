@@ -14,7 +14,7 @@ from automill import bench
 from automill.functions import symbolset
 from automill.model import from_frames, keywords, to_frames
 from automill.operators import analysis, graph, graph_tables, match as matching, sinks, transforms
-from automill.operators.scratch import folder, keep
+from automill.operators.scratch import folder, keep, still_there
 from automill.plans import planner
 from automill.sources import anml, dictionary, skipping, streams, tables
 
@@ -33,7 +33,16 @@ def _path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid4().hex}"
 
 
-# The automata.
+# The automata. Their tables are made once for a session and folder of tables.
+
+_made: dict[tuple, tuple[DataFrame, ...]] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _made or not all(map(still_there, _made[key])):
+        _made[key] = tuple(keep(x) for x in make())
+    return _made[key]
 
 
 def _part_patterns(spark, sf_dir, names: str = "names", types: str = "names") -> DataFrame:
@@ -46,26 +55,26 @@ def _part_patterns(spark, sf_dir, names: str = "names", types: str = "names") ->
 
 def _names(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """One automaton of both: letters in either case, and a blank stands for anything."""
-    return dictionary.tries(_part_patterns(spark, sf_dir), keep, gap=b" ", fold_case=True)
+    return _once(spark, sf_dir, "names", lambda: dictionary.tries(_part_patterns(spark, sf_dir), keep, gap=b" ", fold_case=True))
 
 
 def _three(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Names, types and brands, an automaton each."""
     brands = _table(spark, sf_dir, "part").select(F.lit("brands").alias("nfa_id"), F.col("p_brand").alias("pattern"), F.lit("all-input").alias("start"), F.lit(False).alias("repeat"))
     rows = _part_patterns(spark, sf_dir, types="types").unionByName(brands.distinct())
-    return dictionary.tries(rows, keep, gap=b" ", fold_case=True)
+    return _once(spark, sf_dir, "three", lambda: dictionary.tries(rows, keep, gap=b" ", fold_case=True))
 
 
 def _words(rows: DataFrame, nfa_id, text: str) -> DataFrame:
     return rows.select(nfa_id.alias("nfa_id"), F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))).alias("pattern")).distinct()
 
 
-def _components(states: DataFrame, edges: DataFrame) -> DataFrame:
-    return keep(transforms.with_components(transforms.component_table(states, edges, keep)))
+def _components(spark, sf_dir) -> DataFrame:
+    return _once(spark, sf_dir, "components", lambda: (transforms.with_components(transforms.component_table(*_names(spark, sf_dir), keep)),))[0]
 
 
-def _labels(states: DataFrame, edges: DataFrame) -> DataFrame:
-    return graph_tables.graph_labels(states, edges, keep)
+def _labels(spark, sf_dir) -> DataFrame:
+    return _once(spark, sf_dir, "labels", lambda: (graph_tables.graph_labels(*_names(spark, sf_dir), keep),))[0]
 
 
 def _item_words(spark, sf_dir) -> DataFrame:
@@ -115,12 +124,12 @@ def match_folded(spark, sf_dir):
 
 def nfa_summary(spark, sf_dir):
     states, edges = _names(spark, sf_dir)
-    return analysis.summary(states, _components(states, edges))
+    return analysis.summary(states, _components(spark, sf_dir))
 
 
 def nfa_extended_summary(spark, sf_dir):
     states, edges = _names(spark, sf_dir)
-    return analysis.extended_summary(states, edges, _components(states, edges))
+    return analysis.extended_summary(states, edges, _components(spark, sf_dir))
 
 
 def nfa_degree_hist(spark, sf_dir):
@@ -136,7 +145,7 @@ def nfa_log_degree_hist(spark, sf_dir):
 
 
 def nfa_components(spark, sf_dir):
-    return _components(*_names(spark, sf_dir))
+    return _components(spark, sf_dir)
 
 
 def nfa_counts(spark, sf_dir):
@@ -144,7 +153,7 @@ def nfa_counts(spark, sf_dir):
 
 
 def nfa_layers(spark, sf_dir):
-    return _labels(*_names(spark, sf_dir))
+    return _labels(spark, sf_dir)
 
 
 def nfa_alphabet(spark, sf_dir):
@@ -179,7 +188,7 @@ def incompatible_pairs(spark, sf_dir):
 def compatible_groups(spark, sf_dir):
     states, edges = _names(spark, sf_dir)
     pairs = graph_tables.incompatible_pairs(states, edges, keep)
-    return analysis.compatible_group_summary(graph_tables.compatible_groups(pairs, _components(states, edges)), states)
+    return analysis.compatible_group_summary(graph_tables.compatible_groups(pairs, _components(spark, sf_dir)), states)
 
 
 def start_states(spark, sf_dir):
@@ -194,7 +203,7 @@ def neighbours(spark, sf_dir):
 
 
 def hot_by_layer(spark, sf_dir):
-    return analysis.assign_hot(_labels(*_names(spark, sf_dir)), 5, 2).select("cc_id", "state_id", "hot_degree")
+    return analysis.assign_hot(_labels(spark, sf_dir), 5, 2).select("cc_id", "state_id", "hot_degree")
 
 
 def memo_length_hist(spark, sf_dir):
@@ -272,7 +281,7 @@ def renumbered(spark, sf_dir):
 def renumber_policies(spark, sf_dir):
     """The states in the order of each policy."""
     states, edges = _names(spark, sf_dir)
-    labels = _labels(states, edges)
+    labels = _labels(spark, sf_dir)
     more = states.join(labels.select(*KEY, "topo_order", "bfs_layer"), KEY).join(analysis.degrees(states, edges).select(*KEY, "out_degree"), KEY)
     more = more.join(analysis.completeness(states).select(*KEY, "complete"), KEY).join(analysis.assign_hot(labels, 5, 2).select(*KEY, "hot_degree"), KEY)
     more = keep(more)
@@ -292,7 +301,7 @@ def induced_subgraph(spark, sf_dir):
 
 def cut_by_depth(spark, sf_dir):
     states, edges = _names(spark, sf_dir)
-    return transforms.cut_table_by_depth(states, edges, _labels(states, edges), 0.5)[0].select("state_id", "str_id")
+    return transforms.cut_table_by_depth(states, edges, _labels(spark, sf_dir), 0.5)[0].select("state_id", "str_id")
 
 
 def edited(spark, sf_dir):
@@ -307,7 +316,7 @@ def edited(spark, sf_dir):
 def split_parts(spark, sf_dir):
     """Every component as an automaton of its own."""
     states, edges = _names(spark, sf_dir)
-    parts, inside = transforms.split_table(states, edges, _components(states, edges))
+    parts, inside = transforms.split_table(states, edges, _components(spark, sf_dir))
     n_edges = inside.groupBy("nfa_id").agg(F.count(F.lit(1)).alias("edges"))
     return parts.groupBy("nfa_id").agg(F.count(F.lit(1)).alias("states")).join(n_edges, "nfa_id", "left").fillna(0, ["edges"])
 
@@ -316,7 +325,7 @@ def component_groups(spark, sf_dir):
     """The components by every way of grouping: their number, their states, their hot states, and places in blocks."""
     states, edges = _names(spark, sf_dir)
     hot = F.count_if((F.col("start_kind") > 0) | (F.col("state_id") % 3 == 0))
-    rows = _components(states, edges).join(states, KEY).groupBy("cc_id").agg(F.count(F.lit(1)).alias("n"), hot.alias("hot"), F.count_if("is_report").alias("reports"))
+    rows = _components(spark, sf_dir).join(states, KEY).groupBy("cc_id").agg(F.count(F.lit(1)).alias("n"), hot.alias("hot"), F.count_if("is_report").alias("reports"))
     sizes = sorted(rows.collect())  # a row for each component
     ways = {
         "count": graph.group_by_count(len(sizes), 4),
@@ -330,7 +339,7 @@ def component_groups(spark, sf_dir):
 def component_order(spark, sf_dir):
     """Places of components by packing policy, and their numbers by turns and by pairs."""
     states, edges = _names(spark, sf_dir)
-    rows = _components(states, edges).join(states, KEY).groupBy("nfa_id", "cc_id").agg(F.count(F.lit(1)).alias("n"), (F.count_if("is_report") / 100).alias("ratio"))
+    rows = _components(spark, sf_dir).join(states, KEY).groupBy("nfa_id", "cc_id").agg(F.count(F.lit(1)).alias("n"), (F.count_if("is_report") / 100).alias("ratio"))
     rows = keep(rows)
     orders = [transforms.pack_components(rows.drop("ratio"), k, rows.drop("n")).select(F.lit(k).alias("policy"), "cc_id", "place") for k in (0, 2, 3)]
     turn, pair = transforms.round_robin(F.col("cc_id"), 2), transforms.merge_every(F.col("cc_id"), 2)
@@ -338,7 +347,7 @@ def component_order(spark, sf_dir):
 
 
 def small_components(spark, sf_dir):
-    labels = _components(*_names(spark, sf_dir))
+    labels = _components(spark, sf_dir)
     one = transforms.one_component(labels, state_id=4).select(F.lit("with state 4").alias("kind"), "state_id")
     return transforms.small_components(labels, 12).select(F.lit("at most 12").alias("kind"), "state_id").unionByName(one)
 
@@ -352,7 +361,7 @@ def gr_output(spark, sf_dir):
 
 def node_output(spark, sf_dir):
     states, edges = _names(spark, sf_dir)
-    return sinks.node_table(states, edges, _labels(states, edges))
+    return sinks.node_table(states, edges, _labels(spark, sf_dir))
 
 
 def edge_output(spark, sf_dir):
