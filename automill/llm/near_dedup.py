@@ -249,11 +249,12 @@ def _across(members: DataFrame, trees: DataFrame, classes: DataFrame, texts: Dat
     bound = lambda most: 100 * most >= LEAST * (F.col("n") + F.col("n_") - most)
     kinds = keep(mixed.groupBy("band", "n", "total").agg(F.max(F.col("tree") != F.col("main")).alias("apart")), "near-kinds")
     others = kinds.where("apart").select(*[F.col(c).alias(f"{c}_") for c in ("band", "n", "total")])
-    kinds = kinds.join(others, (F.col("band") == F.col("band_")) & bound(F.least("total", "total_"))).select("band", "n", "total", "n_", "total_")
-    left = mixed.join(kinds, ["band", "n", "total"])
-    few = mixed.where("tree <> main")
-    few = few.select(*[F.col(c).alias(f"{c}_") for c in few.columns if c not in ("main", "n", "total")], F.col("n").alias("few_n"), F.col("total").alias("few_total"))
-    near = (F.col("band") == F.col("band_")) & (F.col("n_") == F.col("few_n")) & (F.col("total_") == F.col("few_total")) & (F.col("tree") != F.col("tree_"))
+    could = (F.col("band") == F.col("band_")) & bound(F.least("total", "total_"))
+    one = kinds.join(others, could, "left_semi").select("band", "n", "total")
+    two = others.join(kinds.drop("apart"), could, "left_semi").select(F.col("band_").alias("band"), F.col("n_").alias("n"), F.col("total_").alias("total"))
+    left, few = mixed.join(one, ["band", "n", "total"], "left_semi"), mixed.where("tree <> main").join(two, ["band", "n", "total"], "left_semi")
+    few = few.select(*[F.col(c).alias(f"{c}_") for c in few.columns if c != "main"])
+    near = (F.col("band") == F.col("band_")) & (F.col("tree") != F.col("tree_"))
     near &= bound(reduce(lambda x, k: x + F.least(f"c{k}", f"c{k}_"), range(1, PARTS), F.least("c0", "c0_")))
     near &= (F.col("tree") == F.col("main")) | (F.col("id") < F.col("id_"))
     pairs = left.join(few, near).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
